@@ -1,6 +1,6 @@
 """All registered queries."""
 
 from tollspan.plans.registry import ORACLES, QUERIES
-from tollspan.plans import q_flow, q_plate, q_scalars  # noqa: F401
+from tollspan.plans import q_flow, q_plate, q_road, q_scalars  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]
