@@ -127,15 +127,20 @@ def densest_windows(accidents: DataFrame, ranges: DataFrame, window_days: Sequen
         .groupBy(*SECTION, "_t", "_end")
         .agg(F.count(F.lit(1)).alias("_w"))
     )
-    lengths = F.array(*[F.lit(int(d * day)).cast("bigint") for d in window_days])
-    starts = times.withColumn("_len", F.explode(lengths)).filter(F.col("_t") <= F.col("_end") - F.col("_len"))
-    data = times.select(*SECTION, F.col("_t").alias("_at"), F.lit(1).alias("_kind"), F.col("_w").alias("_add"),
-                        F.lit(None).cast("bigint").alias("_t"), F.lit(None).cast("bigint").alias("_len"))
     # kind 0 reads the count before equal times, kind 1 is data, kind 2 reads after them
-    zero = F.lit(0).cast("bigint").alias("_add")
-    opens = starts.select(*SECTION, F.col("_t").alias("_at"), F.lit(0).alias("_kind"), zero, "_t", "_len")
-    closes = starts.select(*SECTION, (F.col("_t") + F.col("_len")).alias("_at"), F.lit(2).alias("_kind"), zero, "_t", "_len")
-    line = data.unionByName(opens).unionByName(closes).withColumn("_bucket", floor_div(F.col("_at"), 3_600_000_000))
+    def mark(at: Column, kind: int, add: Column, length: Column) -> Column:
+        return F.struct(at.alias("_at"), F.lit(kind).alias("_kind"), add.alias("_add"), length.alias("_len"))
+
+    zero, none, t = F.lit(0).cast("bigint"), F.lit(None).cast("bigint"), F.col("_t")
+    lengths = F.array(*[F.lit(int(round(d * day))).cast("bigint") for d in window_days])
+    fitting = F.filter(lengths, lambda n: t <= F.col("_end") - n)
+    reads = F.flatten(F.transform(fitting, lambda n: F.array(mark(t, 0, zero, n), mark(t + n, 2, zero, n))))
+    marks = F.concat(F.array(mark(t, 1, F.col("_w"), none)), reads)
+    line = (
+        times.select(*SECTION, "_t", F.explode(marks).alias("_p"))
+        .select(*SECTION, "_t", "_p.*")
+        .withColumn("_bucket", floor_div(F.col("_at"), 3_600_000_000))
+    )
     order = [F.col("_at"), F.col("_kind"), F.col("_len"), F.col("_t")]
     counted = running_totals(line, SECTION, order, {"_cum": "_add"})
     signed = F.when(F.col("_kind") == 2, F.col("_cum")).otherwise(-F.col("_cum"))

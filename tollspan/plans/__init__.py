@@ -1,6 +1,8 @@
 """All registered queries."""
 
-from tollspan.plans.registry import ORACLES, QUERIES
-from tollspan.plans import q_flow, q_plate, q_road, q_scalars  # noqa: F401
+from tollspan.plans import q_flow, q_plate, q_road, q_scalars, q_study  # noqa: F401
+from tollspan.plans.registry import QUERIES, oracles
+
+ORACLES = oracles()
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -12,7 +12,7 @@ from tollspan.plans.views import duck_views
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+TWINS: dict[str, tuple[str, str]] = {}
 CTES: dict[str, tuple[str, list[str]]] = dict(duck_views())
 
 
@@ -24,12 +24,17 @@ def query(key: str, sql: str | None = None, uses: str = "") -> Callable[[Query],
             raise ValueError(f"{key} is registered twice")
         QUERIES[key] = fn
         if sql is not None:
-            ORACLES[key] = expand_r4(with_ctes(sql, uses))
+            TWINS[key] = (sql, uses)
         return fn
 
     return add
 
 
+def oracles() -> dict[str, str]:
+    """Complete SQL text of every twin."""
+    return {key: expand_r4(with_ctes(sql, uses)) for key, (sql, uses) in TWINS.items()}
+
+
 def cte(name: str, sql: str, uses: str = "") -> None:
     """Define a named SQL step for the twins."""
     CTES[name] = (sql, uses.split())
