@@ -217,6 +217,16 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return _sql_over(spark, sql, frames)
 
 
+def stream_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A derived view over streamed tables."""
+    if name not in VIEWS:
+        from tollspan.streaming.streams import table_stream
+
+        return table_stream(spark, sf_dir, f"{name}.parquet")
+    build, needs = VIEWS[name]
+    return _sql_over(spark, build(Spark()), {need: stream_view(spark, sf_dir, need) for need in needs})
+
+
 def _sql_over(spark: SparkSession, sql: str, frames: dict[str, DataFrame]) -> DataFrame:
     """Run SQL text over named DataFrames."""
     for name, df in frames.items():

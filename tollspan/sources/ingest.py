@@ -264,7 +264,7 @@ def write_features(df: DataFrame, path: str, ts: str | None = None, mode: str =
     if ts is None:
         df.write.mode(mode).parquet(path)
     else:
-        df.withColumn("month", S.month_key(F.col(ts))).repartition("month", "gantry").write.mode(mode).partitionBy(
+        df.withColumn("month", S.month_key(F.col(ts))).repartitionByRange("month", ts).write.mode(mode).partitionBy(
             "month"
         ).parquet(path)
 
