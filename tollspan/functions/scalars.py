@@ -10,28 +10,29 @@ from pyspark.sql import functions as F
 # Tokens that mean "no value" in text columns.
 NULL_TOKENS = ["", "NAN", "NULL", "NONE"]
 
-# Accepted date layouts of detection files, in order of trial.
-# The last element tells whether the layout carries a zone offset.
+# Accepted date layouts of detection files, in order of trial, each with
+# the shape of its texts. The last element tells whether the layout carries a zone offset.
+_D, _Y, _HMS, _HM = "[0-9]{1,2}", "[0-9]{4}", "[0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}", "[0-9]{1,2}:[0-9]{1,2}"
 DETECTION_TIME_FORMATS = [
-    ("d/M/yyyy H:m:s", False),
-    ("d-M-yyyy H:m:s", False),
-    ("yyyy-M-d H:m:s", False),
-    ("yyyy/M/d H:m:s", False),
-    ("yyyy-M-d'T'H:m:s'Z'", False),
-    ("yyyy-M-d'T'H:m:s.[SSSSSS][SSS]'Z'", False),
-    ("yyyy-M-d'T'H:m:sXX", True),
-    ("d/M/yyyy H:m", False),
-    ("yyyy-M-d H:m", False),
+    ("d/M/yyyy H:m:s", f"^{_D}/{_D}/{_Y} {_HMS}$", False),
+    ("d-M-yyyy H:m:s", f"^{_D}-{_D}-{_Y} {_HMS}$", False),
+    ("yyyy-M-d H:m:s", f"^{_Y}-{_D}-{_D} {_HMS}$", False),
+    ("yyyy/M/d H:m:s", f"^{_Y}/{_D}/{_D} {_HMS}$", False),
+    ("yyyy-M-d'T'H:m:s'Z'", f"^{_Y}-{_D}-{_D}T{_HMS}Z$", False),
+    ("yyyy-M-d'T'H:m:s.SSSSSS'Z'", f"^{_Y}-{_D}-{_D}T{_HMS}[.][0-9]+Z$", False),
+    ("yyyy-M-d'T'H:m:sXX", f"^{_Y}-{_D}-{_D}T{_HMS}[+-][0-9]{{4}}$", True),
+    ("d/M/yyyy H:m", f"^{_D}/{_D}/{_Y} {_HM}$", False),
+    ("yyyy-M-d H:m", f"^{_Y}-{_D}-{_D} {_HM}$", False),
 ]
 
 # Day-first layouts of event logs.
 EVENT_TIME_FORMATS = [
-    "d/M/yyyy H:m:s",
-    "d-M-yyyy H:m:s",
-    "yyyy-M-d H:m:s",
-    "d/M/yyyy H:m",
-    "d-M-yyyy H:m",
-    "yyyy-M-d H:m",
+    ("d/M/yyyy H:m:s", f"^{_D}/{_D}/{_Y} {_HMS}$", False),
+    ("d-M-yyyy H:m:s", f"^{_D}-{_D}-{_Y} {_HMS}$", False),
+    ("yyyy-M-d H:m:s", f"^{_Y}-{_D}-{_D} {_HMS}$", False),
+    ("d/M/yyyy H:m", f"^{_D}/{_D}/{_Y} {_HM}$", False),
+    ("d-M-yyyy H:m", f"^{_D}-{_D}-{_Y} {_HM}$", False),
+    ("yyyy-M-d H:m", f"^{_Y}-{_D}-{_D} {_HM}$", False),
 ]
 
 # Raw class to feature class, and its label.
@@ -107,23 +108,26 @@ def normalise_gantry(c: Column) -> Column:
     return F.when(~text.isin(NULL_TOKENS), code)
 
 
-def parse_detection_time(c: Column) -> Column:
-    """First matching layout; a zone offset is applied and then dropped."""
-    tries = []
-    for layout, zoned in DETECTION_TIME_FORMATS:
+def _parse_by_shape(c: Column, formats: list[tuple[str, str, bool]]) -> Column:
+    """Parse with the one layout a text has the shape of, so that no parser fails on the way to it."""
+    out = None
+    for layout, shape, zoned in formats:
         at = F.try_to_timestamp(c, F.lit(layout))
         if zoned:
             at = F.to_utc_timestamp(at, F.current_timezone())
-        tries.append(at.cast("timestamp_ntz"))
-    return F.coalesce(*tries)
+        at = at.cast("timestamp_ntz")
+        out = F.when(c.rlike(shape), at) if out is None else out.when(c.rlike(shape), at)
+    return out
+
+
+def parse_detection_time(c: Column) -> Column:
+    """First matching layout; a zone offset is applied and then dropped."""
+    return _parse_by_shape(c, DETECTION_TIME_FORMATS)
 
 
 def parse_event_time(date_text: Column, time_text: Column) -> Column:
     """Day-first date text plus time text."""
-    both = F.concat_ws(" ", strip(date_text), strip(time_text))
-    return F.coalesce(
-        *[F.try_to_timestamp(both, F.lit(layout)).cast("timestamp_ntz") for layout in EVENT_TIME_FORMATS]
-    )
+    return _parse_by_shape(F.concat_ws(" ", strip(date_text), strip(time_text)), EVENT_TIME_FORMATS)
 
 
 def with_slot(df: DataFrame, ts: str = "ts", minutes: int = 5, name: str = "interval_start") -> DataFrame:

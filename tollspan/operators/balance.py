@@ -29,13 +29,15 @@ def neighbours(rows: DataFrame, features: Sequence[str], k: int, *, block_rows:
     )
     others = F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))
     left = base.select("row_id", "x", F.col("_b").alias("_i"), F.explode(others).alias("_j"))
-    right = base.select("row_id", "x", F.explode(others).alias("_i"), F.col("_b").alias("_j"))
+    right = base.select(
+        F.col("row_id").alias("near_id"), F.col("x").alias("y"), F.explode(others).alias("_ri"), F.col("_b").alias("_rj")
+    )
 
     def closest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if len(a) == 0 or len(b) == 0:
-            return pd.DataFrame({"row_id": [], "near_id": [], "d": []})
-        b = b.sort_values("row_id")
-        y, ids = np.stack(b["x"].to_numpy()), b["row_id"].to_numpy()
+            return pd.DataFrame({"row_id": [], "near_id": [], "d": []}).astype({"row_id": "int64", "near_id": "int64"})
+        b = b.sort_values("near_id")
+        y, ids = np.stack(b["y"].to_numpy()), b["near_id"].to_numpy()
         parts = []
         for at in range(0, len(a), 256):
             part = a.iloc[at : at + 256]
@@ -57,7 +59,7 @@ def neighbours(rows: DataFrame, features: Sequence[str], k: int, *, block_rows:
 
     found = (
         left.groupBy("_i", "_j")
-        .cogroup(right.groupBy("_i", "_j"))
+        .cogroup(right.groupBy("_ri", "_rj"))
         .applyInPandas(closest, "row_id bigint, near_id bigint, d double")
         .filter(F.col("d") < float("inf"))
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tollspan.functions import scalars as S
-from tollspan.session import sized
+from tollspan.session import durable, sized
 from tollspan.skew import exact_quantiles, floor_div, micros
 
 
@@ -76,7 +76,13 @@ def limit_outliers(
 
 
 def behaviour_input(df: DataFrame, action: str = "winsorize") -> DataFrame:
-    return limit_outliers(dedupe_passes(clean_passes(df)), action)
+    """Clean, deduplicate and limit outliers.
+
+    The quantiles need a pass of their own, so the deduplicated passes are written once
+    rather than shuffled twice.
+    """
+    rows = dedupe_passes(clean_passes(df))
+    return rows if action == "none" else limit_outliers(durable(rows), action)
 
 
 def trajectory_input(df: DataFrame, catalogue: DataFrame, max_speed: float = 200.0) -> DataFrame:

@@ -242,7 +242,7 @@ def _shape_covariances(s0, s1, s2, kind: str, floor: float) -> np.ndarray:
 
 
 def fit_mixture(
-    scaled: DataFrame, k: int, kind: str = "full", max_iter: int = 60, tol: float = 1e-4, seed: int = 42, floor: float = 1e-6
+    scaled: DataFrame, k: int, kind: str = "full", max_iter: int = 100, tol: float = 1e-3, seed: int = 42, floor: float = 1e-6
 ) -> Mixture:
     """Expectation-maximisation for any covariance kind.
 
@@ -289,8 +289,8 @@ def _weighted_sums(data: DataFrame, m: Mixture) -> np.ndarray:
         if total is not None:
             yield pd.DataFrame({"i": np.arange(len(total)), "s": total})
 
-    rows = data.mapInPandas(reduce_rows, "i int, s double").groupBy("i").agg(F.sum("s").alias("s")).orderBy("i").collect()
-    return np.array([r["s"] for r in rows])
+    rows = data.mapInPandas(reduce_rows, "i int, s double").groupBy("i").agg(F.sum("s").alias("s")).collect()
+    return np.array([r["s"] for r in sorted(rows)])
 
 
 def with_responsibilities(df: DataFrame, m: Mixture) -> DataFrame:

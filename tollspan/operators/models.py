@@ -88,11 +88,14 @@ def fit_model(train: DataFrame, features: Sequence[str], kind: str = "forest", p
         stages += [
             LinearSVC(featuresCol="x", labelCol="target", regParam=1.0 / (float(p.get("c", 1.0)) * max(n, 1)),
                       maxIter=int(p.get("max_iter", 50)), rawPredictionCol="margin", predictionCol="side"),
-            LogisticRegression(featuresCol="margin", labelCol="target", maxIter=25),
+            LogisticRegression(featuresCol="margin", labelCol="target", maxIter=int(p.get("max_iter", 50))),
         ]
     else:
         raise ValueError(f"kind must be one of {KINDS}")
-    return Pipeline(stages=stages).fit(data)
+    data = data.persist()
+    model = Pipeline(stages=stages).fit(data)
+    data.unpersist()
+    return model
 
 
 def with_score(model: PipelineModel, df: DataFrame, features: Sequence[str]) -> DataFrame:

@@ -33,14 +33,10 @@ def draw_params(kind: str, rng: np.random.Generator, space: dict | None = None)
     return out
 
 
-def _threshold(scored: DataFrame, far_cap: float) -> float | None:
-    return evaluate.far_threshold(scored, far_cap).first()["threshold"]
-
-
-def _rates(scored: DataFrame, threshold: float | None) -> dict:
+def _rates(scored: DataFrame, threshold: float | None, auc: bool = True) -> dict:
     alarm = F.lit(False) if threshold is None else F.col("score") >= threshold
     row = evaluate.evaluation(scored, alarm).first().asDict()
-    row["auc"] = evaluate.roc_auc(scored).first()["auc"]
+    row["auc"] = evaluate.roc_auc(scored).first()["auc"] if auc else None
     return row
 
 
@@ -77,8 +73,11 @@ def search(
             made = balance.smote(train, features, ratio=ratio, seed=seed).persist()
             model = models.fit_model(made, features, kind, params, seed)
             scored = models.with_score(model, val, features).select("target", "score").persist()
-            threshold = _threshold(scored, far_cap)
-            value = _objective(_rates(scored, threshold), objective)
+            point = evaluate.far_threshold(scored, far_cap).first()
+            threshold, rates = point["threshold"], point.asDict()
+            if objective not in ("far", "sensitivity"):
+                rates = _rates(scored, threshold, auc=objective == "auc")
+            value = _objective(rates, objective)
             made.unpersist()
             scored.unpersist()
         except Exception:  # noqa: BLE001 - a bad draw must not end the sweep

@@ -128,7 +128,7 @@ def _(spark, sf):
 
 @query("ML05_sweep_mixture")
 def _(spark, sf):
-    return cluster.sweep_mixture(scaled(spark, sf), [1, 2, 3])
+    return cluster.sweep_mixture(scaled(spark, sf), [1, 2])
 
 
 @query("ML06_mixture_comparison")
@@ -247,8 +247,8 @@ def _fit_query(kind, params):
 
 query("ML11_forest")(_fit_query("forest", FOREST))
 query("ML12_boosting")(_fit_query("boosting", {"n_trees": 5, "max_depth": 3, "subsample": 0.8, "column_sample": 0.8}))
-query("ML13_svm_linear")(_fit_query("svm", {"c": 1.0, "max_iter": 20}))
-query("ML13_svm_radial")(_fit_query("svm", {"c": 1.0, "kernel": "rbf", "width": 24, "max_iter": 20}))
+query("ML13_svm_linear")(_fit_query("svm", {"c": 1.0, "max_iter": 8}))
+query("ML13_svm_radial")(_fit_query("svm", {"c": 1.0, "kernel": "rbf", "width": 16, "max_iter": 8}))
 
 
 @query("ML14_feature_importance")
@@ -315,5 +315,5 @@ def _(spark, sf):
     data = dataset(spark, sf)
     features = numeric_features(data, exclude=["row_id"])
     train, test = evaluate.temporal_split(data, 0.2)
-    model = models.fit_model(train, features, "svm", {"max_iter": 15})
+    model = models.fit_model(train, features, "svm", {"max_iter": 8})
     return models.with_score(model, test, features).select("row_id", "target", "score")

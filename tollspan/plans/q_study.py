@@ -226,9 +226,24 @@ def _(spark, sf):
     return rounded(z.join(m, "cluster_label"))
 
 
-@query("AG27_column_profile")
+_PROFILE = """SELECT '{c}' AS column_name, count({c}) AS n_values, count(DISTINCT {c}) AS n_unique,
+    (SELECT v FROM (SELECT CAST({c} AS VARCHAR) AS v, count(*) AS n FROM detections GROUP BY 1) q ORDER BY n DESC, v DESC LIMIT 1) AS top,
+    (SELECT max(n) FROM (SELECT count(*) AS n FROM detections GROUP BY {c}) q) AS freq, {rest} FROM detections"""
+_NUMBERS = """r4(avg({c})) AS mean, r4(stddev_samp({c})) AS std, r4(min({c})) AS min, r4(quantile_cont({c}, 0.25)) AS q25,
+    r4(quantile_cont({c}, 0.5)) AS q50, r4(quantile_cont({c}, 0.75)) AS q75, r4(max({c})) AS max"""
+_NONE = ", ".join(f"CAST(NULL AS DOUBLE) AS {n}" for n in ("mean", "std", "min", "q25", "q50", "q75", "max"))
+
+
+@query(
+    "AG27_column_profile",
+    " UNION ALL ".join(
+        _PROFILE.format(c=c, rest=_NUMBERS.format(c=c) if c in ("speed_kmh", "lane") else _NONE)
+        for c in ("speed_kmh", "lane", "gantry", "plate")
+    ),
+    "detections",
+)
 def _(spark, sf):
-    return explore.column_profile(view(spark, sf, "detections"), ["speed_kmh", "lane", "gantry", "plate"])
+    return rounded(explore.column_profile(view(spark, sf, "detections"), ["speed_kmh", "lane", "gantry", "plate"]))
 
 
 @query(
@@ -414,7 +429,7 @@ def _(spark, sf):
     return per.orderBy(F.desc("total_passes"), "plate")
 
 
-@query("RT01_append_results")
+@query("RT01_append_results", "SELECT * FROM runs", "runs")
 def _(spark, sf):
     path = fresh_path(spark, "results")
     r = view(spark, sf, "runs")
@@ -482,22 +497,22 @@ def _(spark, sf):
     return ingest.read_detections_csv(spark, as_files(spark, sf))
 
 
-@query("SRC02_import_append")
+@query("SRC02_import_append", "SELECT 2 * count(*) AS stored, 2 * count(*) AS inserted FROM parsed WHERE ts IS NOT NULL AND category IS NOT NULL", "parsed")
 def _(spark, sf):
     path = fresh_path(spark, "table")
     rows = ingest.parse_detections(view(spark, sf, "raw_detections"), ["event_id"])
     n1 = ingest.write_detections(rows, path, "overwrite")
     n2 = ingest.write_detections(rows, path, "append")
     stored = ingest.read_detections(spark, path)
-    return stored.agg(F.count(F.lit(1)).alias("stored"), F.lit(n1 + n2).alias("inserted"))
+    return stored.agg(F.count(F.lit(1)).alias("stored"), F.lit(n1 + n2).cast("bigint").alias("inserted"))
 
 
-@query("SRC03_empty_table")
+@query("SRC03_empty_table", "SELECT CAST(0 AS BIGINT) AS n_left, count(*) AS removed FROM detections", "detections")
 def _(spark, sf):
     path = fresh_path(spark, "table")
     ingest.write_features(view(spark, sf, "detections"), path)
     n = ingest.empty_table(spark, path)
-    return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("left")).withColumn("removed", F.lit(n))
+    return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n_left")).withColumn("removed", F.lit(n).cast("bigint"))
 
 
 @query(
@@ -546,14 +561,14 @@ def _(spark, sf):
     )
 
 
-@query("SRC10_sniffed_csv")
+@query("SRC10_sniffed_csv", "SELECT ts, speed_kmh, category, plate, gantry, lane FROM parsed WHERE ts IS NOT NULL AND category IS NOT NULL", "parsed")
 def _(spark, sf):
     path = fresh_path(spark, "sniff") + ".csv"
     view(spark, sf, "raw_detections").write.csv(path, header=True, sep=";")
-    return ingest.read_sniffed(spark, path)
+    return ingest.parse_detections(ingest.read_sniffed(spark, path))
 
 
-@query("SRC11_resolve_columns")
+@query("SRC11_resolve_columns", "SELECT * FROM raw_detections", "raw_detections")
 def _(spark, sf):
     d = view(spark, sf, "raw_detections")
     odd = d.select(*[F.col(c).alias(c.replace("_", " ").title()) for c in d.columns])
@@ -614,11 +629,15 @@ def _(spark, sf):
     return ingest.read_events(spark, path)
 
 
-@query("SRC16_feature_table")
+@query(
+    "SRC16_feature_table",
+    "SELECT gantry, interval_start, r4(flow_light) AS flow_light, r4(speed_heavy) AS speed_heavy FROM flow_matrix",
+    "flow_matrix",
+)
 def _(spark, sf):
     path = fresh_path(spark, "features")
-    ingest.write_features(flow.flow_matrix(view(spark, sf, "detections_long")), path, "interval_start")
-    return ingest.read_features(spark, path)
+    ingest.write_features(flow.flow_matrix(view(spark, sf, "detections")), path, "interval_start")
+    return rounded(ingest.read_features(spark, path).select("gantry", "interval_start", "flow_light", "speed_heavy"))
 
 
 @query(
@@ -632,7 +651,7 @@ def _(spark, sf):
     return ingest.feature_extent(flow.flow_core(view(spark, sf, "detections_long")))
 
 
-@query("SRC18_exports")
+@query("SRC18_exports", "SELECT plate, CAST(cluster_label AS VARCHAR) AS cluster_label FROM plate_labels", "plate_labels")
 def _(spark, sf):
     path = fresh_path(spark, "labels") + ".csv"
     ingest.export_table(view(spark, sf, "plate_labels"), path)
@@ -662,18 +681,23 @@ def _(spark, sf):
     return ingest.road_points(spark.read.json(path, schema=ingest.ROAD_SCHEMA)).drop("ref")
 
 
-@query("SRC20_artifacts")
+@query("SRC20_artifacts", "SELECT run_id, section, metric, CAST(k AS BIGINT) AS k FROM runs", "runs")
 def _(spark, sf):
     path = fresh_path(spark, "runs") + ".jsonl"
     view(spark, sf, "runs").write.json(path)
-    return ingest.read_artifact(spark, path)
+    return ingest.read_artifact(spark, path).select("run_id", "section", "metric", "k")
 
 
-@query("CL11_column_families")
+@query(
+    "CL11_column_families",
+    """SELECT gantry_last, gantry_next, r4(last_flow_light) AS last_flow_light, r4(last_flow_heavy) AS last_flow_heavy,
+    r4(last_flow_motorcycles) AS last_flow_motorcycles, '{"clusters": 0, "missing": ["no_such"]}' AS facts FROM section_matrix""",
+    "section_matrix",
+)
 def _(spark, sf):
     from tollspan.plans.q_road import sec_matrix
 
     m = sec_matrix(spark, sf)
     found, missing = ingest.pick_features(m.columns, ["Last Flow Light", "no_such"])
     facts = json.dumps({"clusters": len(ingest.cluster_features(m.columns)), "missing": missing})
-    return m.select("gantry_last", "gantry_next", *found, *ingest.numeric_features(m)[:2], F.lit(facts).alias("facts"))
+    return rounded(m).select("gantry_last", "gantry_next", *found, *ingest.numeric_features(m)[1:3], F.lit(facts).alias("facts"))

@@ -47,12 +47,15 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: cuts the lineage and survives the loss of executors."""
+    """Write a result to the shared folder and go on from there.
+
+    Cuts the lineage, survives the loss of executors, and lets later steps read only
+    the columns they need.
+    """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint()
+    path = fresh_path(spark, "step")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def sized(df: DataFrame) -> DataFrame:

@@ -121,8 +121,9 @@ def write_detections(df: DataFrame, path: str, mode: str = "append") -> int:
     from pyspark.sql import Observation
 
     seen = Observation()
-    counted = df.withColumn("day", F.to_date("ts")).observe(seen, F.count(F.lit(1)).alias("n"))
-    counted.repartitionByRange("day", "ts").write.mode(mode).partitionBy("day").parquet(path)
+    # counted behind the range shuffle, whose sampling pass would count every row twice
+    rows = df.withColumn("day", F.to_date("ts")).repartitionByRange("day", "ts")
+    rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode(mode).partitionBy("day").parquet(path)
     return seen.get["n"]
 
 
