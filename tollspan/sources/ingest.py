@@ -88,10 +88,11 @@ def read_text_table(
 
 def read_sniffed(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """CSV whose separator (`,` or `;`) and encoding (UTF-8, else Latin-1) are found from its first line."""
-    head = spark.read.text(path).limit(1).select(F.col("value"), F.contains("value", F.lit("�"))).first()
+    lines = spark.read.text(path)
+    head = lines.first()
     line = head[0] if head else ""
     sep = ";" if line.count(";") > line.count(",") else ","
-    bad = spark.read.text(path).filter(F.contains("value", F.lit("�"))).limit(1).count() > 0
+    bad = not lines.filter(~F.is_valid_utf8("value")).isEmpty()
     return read_text_table(spark, path, sep, "ISO-8859-1" if bad else "UTF-8", limit)
 
 
