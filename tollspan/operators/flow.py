@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tollspan.functions import scalars as S
@@ -81,19 +81,15 @@ def flow_with_deltas(df: DataFrame, minutes: int = 5, lanes: int = 1, **kw) -> D
     )
 
 
-def pivot_metrics(
-    df: DataFrame, index: Sequence[str], by: str, values: dict[str, Column], columns: dict[str, str]
-) -> DataFrame:
-    """One column per metric and class, 0 where absent, in one aggregation.
-
-    `values` maps a class suffix to the test for it, `columns` a prefix to a metric column.
-    """
-    cells = [
-        F.coalesce(F.max(F.when(test, F.col(source))), F.lit(0.0)).alias(f"{prefix}_{suffix}")
-        for prefix, source in columns.items()
-        for suffix, test in values.items()
-    ]
-    return df.groupBy(*index).agg(*cells)
+def deltas_where_present(df: DataFrame, keys: Sequence[str], values: dict[str, str]) -> DataFrame:
+    """Deltas of pivoted columns (`{output: input}`) to the last interval that had a value; 0 without one."""
+    earlier = Window.partitionBy(*keys).orderBy("interval_start").rowsBetween(Window.unboundedPreceding, -1)
+    return df.withColumns(
+        {
+            out: F.coalesce(F.col(src) - F.last(src, ignorenulls=True).over(earlier), F.lit(0.0))
+            for out, src in values.items()
+        }
+    )
 
 
 def flow_matrix(
@@ -103,13 +99,43 @@ def flow_matrix(
     metrics: Sequence[str] = ("flow", "speed", "density"),
     labels: Sequence[str] = LABELS,
 ) -> DataFrame:
-    """Gantry x interval matrix with one block of class columns per metric."""
-    core = flow_core(df, minutes, lanes, labels)
-    if any(m.startswith("delta") for m in metrics):
-        core = with_deltas(
-            core, ["gantry", "class_label"], {"delta_speed": "speed_mean", "delta_density": "density"}
+    """Gantry x interval matrix with one block of class columns per metric.
+
+    The classes are conditional aggregates, so one shuffle makes the matrix; deltas add
+    one by gantry over the far smaller matrix.
+    """
+    rows = df.select(
+        "ts",
+        F.col("speed_kmh").cast("double").alias("speed_kmh"),
+        S.strip(F.col("gantry")).alias("gantry"),
+        S.category_label(F.col("category").cast("int")).alias("class_label"),
+    ).filter(
+        F.col("speed_kmh").isNotNull() & F.col("gantry").isNotNull() & F.col("class_label").isin(*labels)
+    )
+    names = {label: label.lower() for label in labels}
+    cells = []
+    for label, c in names.items():
+        hit = F.col("class_label") == label
+        speed = F.when(hit, F.col("speed_kmh"))
+        cells += [F.count_if(hit).alias(f"_n_{c}"), F.avg(speed).alias(f"_speed_{c}"), F.stddev_samp(speed).alias(f"_std_{c}")]
+    out = S.with_slot(rows, minutes=minutes).groupBy("gantry", "interval_start").agg(*cells)
+    for c in names.values():
+        # an absent class has no value here, which the deltas look past; it becomes 0 below
+        flow = F.when(F.col(f"_n_{c}") > 0, F.col(f"_n_{c}") * (60.0 / max(1, minutes)) / max(1, lanes))
+        out = out.withColumn(f"_flow_{c}", flow).withColumn(
+            f"_density_{c}", S.density(F.col(f"_flow_{c}"), F.col(f"_speed_{c}"))
         )
-    tests = {label.lower(): F.col("class_label") == label for label in labels}
-    return pivot_metrics(
-        core, ["gantry", "interval_start"], "class_label", tests, {m: METRICS[m] for m in metrics if m in METRICS}
+    if any(m.startswith("delta") for m in metrics):
+        wanted = {f"_delta_{m}_{c}": f"_{m}_{c}" for m in ("speed", "density") for c in names.values()}
+        out = deltas_where_present(out, ["gantry"], wanted)
+    source = {"speed_std": "std"}
+    return out.select(
+        "gantry",
+        "interval_start",
+        *[
+            F.coalesce(f"_{source.get(m, m)}_{c}", F.lit(0.0)).alias(f"{m}_{c}")
+            for m in metrics
+            if m in METRICS
+            for c in names.values()
+        ],
     )

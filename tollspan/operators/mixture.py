@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tollspan.functions import scalars as S
-from tollspan.operators.flow import pivot_metrics, with_deltas
+from tollspan.operators.flow import deltas_where_present, with_deltas
 from tollspan.skew import hot_keys, join_on_hot
 
 # Metric name and the column that holds it.
@@ -73,17 +73,47 @@ def label_suffix(label: int) -> str:
 
 
 def mixture_matrix(
-    core: DataFrame, label_list: Sequence[int], metrics: Sequence[str] = tuple(METRICS), entropy: bool = True
+    df: DataFrame,
+    labels: DataFrame,
+    label_list: Sequence[int],
+    metrics: Sequence[str] = tuple(METRICS),
+    entropy: bool = True,
+    minutes: int = 5,
+    lanes: int = 1,
 ) -> DataFrame:
-    """Gantry x interval matrix with one block of label columns per metric."""
-    rows = mixture_deltas(core) if any(m.startswith("delta") for m in metrics) else core
-    rows = rows.withColumn("_h", S.entropy_term(F.col("share")))
-    tests = {label_suffix(k): F.col("cluster_label") == k for k in label_list}
-    index = ["gantry", "interval_start"]
-    out = pivot_metrics(rows, index, "cluster_label", tests, {f"cluster_{m}": METRICS[m] for m in metrics})
-    if not entropy:
-        return out
-    return out.join(mixture_entropy(core), index)
+    """Gantry x interval matrix with one block of label columns per metric.
+
+    `label_list` names every label there is. The labels are conditional aggregates, so
+    after the label join one shuffle makes the matrix.
+    """
+    rows = S.with_slot(attach_labels(df, labels), minutes=minutes)
+    names = {k: label_suffix(k) for k in label_list}
+    cells = []
+    for k, c in names.items():
+        hit = F.col("cluster_label") == k
+        cells += [F.count_if(hit).alias(f"_n_{c}"), F.avg(F.when(hit, F.col("speed_kmh"))).alias(f"_speed_{c}")]
+    out = rows.groupBy(S.strip(F.col("gantry")).alias("gantry"), "interval_start").agg(
+        F.count(F.lit(1)).alias("_total"), *cells
+    )
+    for c in names.values():
+        present = F.col(f"_n_{c}") > 0
+        per_hour = F.col(f"_n_{c}") * (60.0 / max(1, minutes)) / max(1, lanes)
+        out = out.withColumns(
+            {
+                f"_share_{c}": F.when(present, F.col(f"_n_{c}") / F.col("_total")),
+                f"_flow_{c}": F.when(present, per_hour),
+            }
+        ).withColumn(
+            f"_density_{c}", F.when(present, F.coalesce(S.density(F.col(f"_flow_{c}"), F.col(f"_speed_{c}")), F.lit(0.0)))
+        )
+    if any(m.startswith("delta") for m in metrics):
+        wanted = {f"_delta_{m}_{c}": f"_{m}_{c}" for m in ("speed", "density") for c in names.values()}
+        out = deltas_where_present(out, ["gantry"], wanted)
+    columns = [F.coalesce(f"_{m}_{c}", F.lit(0.0)).alias(f"cluster_{m}_{c}") for m in metrics for c in names.values()]
+    if entropy:
+        parts = [S.entropy_term(F.coalesce(f"_share_{c}", F.lit(0.0))) for c in names.values()]
+        columns.append(sum(parts, F.lit(0.0)).alias("cluster_entropy"))
+    return out.select("gantry", "interval_start", *columns)
 
 
 def pivoted_deltas(matrix: DataFrame, label_list: Sequence[int]) -> DataFrame:

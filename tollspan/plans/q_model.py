@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from tollspan.operators import balance, catalog, cluster, evaluate, explore, flow, mixture, models, plate, sections, study
+from tollspan.operators import balance, catalog, cluster, evaluate, explore, flow, models, plate, sections, study
 from tollspan.plans import q_plate, q_road
 from tollspan.plans.registry import cte, query, rounded
 from tollspan.plans.views import view
@@ -218,10 +218,8 @@ def _(spark, sf):
 
 def dataset(spark, sf):
     """Section matrix with flow and cluster features and the accident target."""
-    d = view(spark, sf, "detections")
-    core = mixture.mixture_core(d, view(spark, sf, "plate_labels"))
     both = sections.combine_features(
-        flow.flow_matrix(d), mixture.mixture_matrix(core, q_plate.LABELS, ("share",), entropy=True)
+        flow.flow_matrix(view(spark, sf, "detections")), q_plate.mix_matrix(spark, sf, ("share",))
     )
     matrix = sections.section_matrix(catalog.consecutive_sections(q_road.gantries(spark, sf)), both)
     out = sections.add_target(matrix, q_road.acc(spark, sf))

@@ -381,6 +381,12 @@ def core(spark, sf):
     return mixture.mixture_core(view(spark, sf, "detections"), view(spark, sf, "plate_labels"))
 
 
+def mix_matrix(spark, sf, metrics, entropy=True):
+    return mixture.mixture_matrix(
+        view(spark, sf, "detections"), view(spark, sf, "plate_labels"), LABELS, metrics, entropy
+    )
+
+
 @query(
     "JN03_labelled_detections",
     "SELECT event_id, d.plate, cluster_label FROM detections d JOIN plate_labels l ON d.plate = l.plate",
@@ -436,7 +442,7 @@ def _(spark, sf):
     "mixture_delta",
 )
 def _(spark, sf):
-    return rounded(mixture.mixture_matrix(core(spark, sf), LABELS))
+    return rounded(mix_matrix(spark, sf, tuple(mixture.METRICS)))
 
 
 _PD = ", ".join(
@@ -452,6 +458,6 @@ _PD = ", ".join(
     "mixture_matrix",
 )
 def _(spark, sf):
-    matrix = mixture.mixture_matrix(core(spark, sf), LABELS, ("speed", "density"), entropy=False)
+    matrix = mix_matrix(spark, sf, ("speed", "density"), entropy=False)
     out = mixture.pivoted_deltas(matrix, LABELS)
     return rounded(out.select("gantry", "interval_start", *[c for c in out.columns if "delta" in c]))

@@ -291,7 +291,7 @@ def _(spark, sf):
     "flow_matrix mixture_matrix",
 )
 def _(spark, sf):
-    mixm = mix.mixture_matrix(q_plate.core(spark, sf), q_plate.LABELS, ("share", "speed", "density"))
+    mixm = q_plate.mix_matrix(spark, sf, ("share", "speed", "density"))
     return rounded(sections.combine_features(matrix(spark, sf), mixm))
 
 
