@@ -66,6 +66,16 @@ SELECT event_id, {d.shifted(n)} AS ts,
 FROM events"""
 
 
+_TEXTS = """  CASE event_id % 30 WHEN 1 THEN 'nan' WHEN 2 THEN ' NULL' WHEN 3 THEN '' WHEN 4 THEN NULL WHEN 5 THEN 'none'
+       WHEN 6 THEN substr(plate, 1, 4) WHEN 8 THEN concat(plate, 'xy') WHEN 9 THEN concat(' ', lower(plate), ' ')
+       WHEN 10 THEN concat('ab-', substr(plate, 3, 3)) ELSE plate END AS plate_txt,
+  CASE event_id % 20 WHEN 1 THEN concat(gantry, '.0') WHEN 2 THEN concat(gantry, ',0') WHEN 3 THEN concat(' ', gantry)
+       WHEN 4 THEN 'nan' WHEN 5 THEN concat(gantry, '.5') WHEN 6 THEN concat('a', gantry) WHEN 7 THEN NULL
+       WHEN 8 THEN '' ELSE gantry END AS gantry_txt,
+  CASE event_id % 25 WHEN 1 THEN '4' WHEN 2 THEN NULL WHEN 3 THEN '' WHEN 4 THEN 'left'
+       ELSE CAST(lane AS VARCHAR(20)) END AS lane_txt"""
+
+
 def _raw(d) -> str:
     """Detections as dirty text, in every accepted time layout."""
     t = "ts"
@@ -86,14 +96,7 @@ SELECT event_id,
        THEN replace(CAST(speed_kmh AS VARCHAR(20)), '.', ',') ELSE CAST(speed_kmh AS VARCHAR(20)) END AS speed_txt,
   CASE WHEN event_id % 40 = 7 THEN 'x' WHEN event_id % 40 = 8 THEN '' WHEN event_id % 40 = 11 THEN NULL
        WHEN event_id % 40 = 12 THEN '2.0' ELSE concat(' ', CAST(category AS VARCHAR(20))) END AS category_txt,
-  CASE event_id % 30 WHEN 1 THEN 'nan' WHEN 2 THEN ' NULL' WHEN 3 THEN '' WHEN 4 THEN NULL WHEN 5 THEN 'none'
-       WHEN 6 THEN substr(plate, 1, 4) WHEN 8 THEN concat(plate, 'xy') WHEN 9 THEN concat(' ', lower(plate), ' ')
-       WHEN 10 THEN concat('ab-', substr(plate, 3, 3)) ELSE plate END AS plate_txt,
-  CASE event_id % 20 WHEN 1 THEN concat(gantry, '.0') WHEN 2 THEN concat(gantry, ',0') WHEN 3 THEN concat(' ', gantry)
-       WHEN 4 THEN 'nan' WHEN 5 THEN concat(gantry, '.5') WHEN 6 THEN concat('a', gantry) WHEN 7 THEN NULL
-       WHEN 8 THEN '' ELSE gantry END AS gantry_txt,
-  CASE event_id % 25 WHEN 1 THEN '4' WHEN 2 THEN NULL WHEN 3 THEN '' WHEN 4 THEN 'left'
-       ELSE CAST(lane AS VARCHAR(20)) END AS lane_txt
+{_TEXTS}
 FROM detections"""
 
 
@@ -101,8 +104,8 @@ def _dirty(d) -> str:
     """Typed but unclean passes, with duplicates."""
     return """
 SELECT event_id, ts, speed_kmh, category, plate_txt AS plate, gantry_txt AS gantry, lane_txt AS lane
-FROM (SELECT r.plate_txt, r.gantry_txt, CASE WHEN r.lane_txt = 'left' THEN NULL ELSE r.lane_txt END AS lane_txt, t.*
-      FROM raw_detections r JOIN detections t ON r.event_id = t.event_id) a
+FROM (SELECT plate_txt, gantry_txt, nullif(lane_txt, 'left') AS lane_txt, event_id, ts, speed_kmh, category
+      FROM (SELECT ts, speed_kmh, category, event_id, """ + _TEXTS + """ FROM detections) t) a
 UNION ALL
 SELECT event_id + 1000000000 AS event_id, ts, speed_kmh + 5 - event_id % 3 * 5 AS speed_kmh, category, plate, gantry,
        CAST(lane AS VARCHAR(20)) AS lane
@@ -191,7 +194,7 @@ VIEWS = {
     "detections": (lambda d: _detections(d, d.idiv(d.elapsed("ts"), "60")), ["events"]),
     "detections_long": (lambda d: _detections(d, f"{d.elapsed('ts')} * 6"), ["events"]),
     "raw_detections": (_raw, ["detections"]),
-    "dirty": (_dirty, ["raw_detections", "detections"]),
+    "dirty": (_dirty, ["detections"]),
     "gantries": (_gantries, []),
     "road_posts": (_road_posts, ["supplier"]),
     "accident_log": (_accident_log, ["detections"]),
