@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tollspan.llm.hmm import op10_hmm
+from tollspan.llm.lz import op1_lz_fingerprint
 from tollspan.llm.packing import op8_packing
 from tollspan.llm.simhash import op6_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lz_fingerprint": op1_lz_fingerprint,
     "op6_simhash": op6_simhash,
     "op8_packing": op8_packing,
+    "op10_hmm": op10_hmm,
 }
 ORACLES: dict[str, str] = {}
