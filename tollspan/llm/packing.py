@@ -19,7 +19,7 @@ GROUP_TOKENS = 1 << 19
 LEAST_FREE = 0.001
 #: Longest piece that differencing moves as a whole; shorter pieces balance better.
 PIECE = 512
-KEPT_CHUNKS = 400_000
+KEPT_CHUNKS = 700_000
 #: Characters tokenized at once.
 TEXT_CHARS = 1 << 20
 PIECES = "doc_id {id}, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
@@ -111,7 +111,7 @@ def plan(lengths: list[int], capacity: int = CAPACITY, piece: int = PIECE) -> li
     return pieces
 
 
-class _Chunks(dict):
+class _Chunks:
     """Ids, as little-endian bytes, of chunks between blanks; forgets all when it grows too long."""
 
     def __init__(self, path: str) -> None:
@@ -119,6 +119,7 @@ class _Chunks(dict):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[str, bytes] = {}  # a plain dict: a set's difference from any other kind walks all of it
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -129,35 +130,35 @@ class _Chunks(dict):
         met: set[str] = set()
         for chunks in parted:
             met.update(chunks)
-        if len(self) + len(met) > KEPT_CHUNKS:
-            self.clear()
-        self._learn(met.difference(self))
-        return [b"".join(map(self.__getitem__, chunks)) for chunks in parted]
+        if len(self.known) + len(met) > KEPT_CHUNKS:
+            self.known.clear()
+        self._learn(met.difference(self.known))
+        return [b"".join(map(self.known.__getitem__, chunks)) for chunks in parted]
 
     def _learn(self, new: set[str]) -> None:
         """Plain words, also those with a stop or comma behind, go as one text cut at its word ends; others singly."""
         cut = {c: c.rstrip(".,") for c in new}
         plain = {c for c, word in cut.items() if word and max(word) < "\u0180" and word.lower().isalpha()}
-        words = list({cut[c] for c in plain}.difference(self))
+        words = list({cut[c] for c in plain}.difference(self.known))
         found = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
         ends = np.flatnonzero(self.ends_word[found]) + 1
         if len(ends) == len(words):
             raw, at = found.tobytes(), 0
             for word, end in zip(words, ends.tolist(), strict=True):
-                self[word] = raw[4 * at : 4 * end]
+                self.known[word] = raw[4 * at : 4 * end]
                 at = end
         else:
             self._singly(words)
-        self._singly(list({c[len(cut[c]) :] for c in plain}.difference(self)))
+        self._singly(list({c[len(cut[c]) :] for c in plain}.difference(self.known)))
         for c in plain:
-            self[c] = self[cut[c]] + self[c[len(cut[c]) :]]
+            self.known[c] = self.known[cut[c]] + self.known[c[len(cut[c]) :]]
         self._singly([c for c in new if c not in plain])
 
     def _singly(self, chunks: list[str]) -> None:
         for at in range(0, len(chunks), 4096):
             part = chunks[at : at + 4096]
             for chunk, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self[chunk] = np.array(found.ids, "<u4").tobytes()
+                self.known[chunk] = np.array(found.ids, "<u4").tobytes()
 
 
 @lru_cache(maxsize=2)
