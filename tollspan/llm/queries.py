@@ -7,14 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tollspan.llm.hmm import op10_hmm
+from tollspan.llm.langid import op3_language
 from tollspan.llm.lz import op1_lz_fingerprint
 from tollspan.llm.packing import op8_packing
 from tollspan.llm.simhash import op6_simhash
+from tollspan.llm.toxicity import op9_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lz_fingerprint": op1_lz_fingerprint,
+    "op3_language": op3_language,
     "op6_simhash": op6_simhash,
     "op8_packing": op8_packing,
+    "op9_toxicity": op9_toxicity,
     "op10_hmm": op10_hmm,
 }
 ORACLES: dict[str, str] = {}
