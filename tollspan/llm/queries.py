@@ -12,13 +12,18 @@ from tollspan.llm.lz import op1_lz_fingerprint
 from tollspan.llm.packing import op8_packing
 from tollspan.llm.simhash import op6_simhash
 from tollspan.llm.toxicity import op9_toxicity
+from tollspan.llm.urls import ORACLE as URL_ORACLE
+from tollspan.llm.urls import op4_url_cascade
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lz_fingerprint": op1_lz_fingerprint,
     "op3_language": op3_language,
+    "op4_url_cascade": op4_url_cascade,
     "op6_simhash": op6_simhash,
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
     "op10_hmm": op10_hmm,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_url_cascade": URL_ORACLE,
+}
