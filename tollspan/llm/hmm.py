@@ -10,19 +10,22 @@ the executors, and its size does not grow with the corpus.
 from __future__ import annotations
 
 import heapq
-import pickle
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tollspan.llm.common import free_name, remainder, words_of
+from tollspan.llm.common import remainder, table, words_of
 from tollspan.session import durable
 
-END = ""  # no word is empty
+END = b""  # no word is empty
+SYMBOL = np.dtype("<u2")
+ENCODED = ("_row", "_symbols", "_rest", "_times")
 FREQUENT = 1 << 15
 STATES = 8
 ROUNDS = 5
@@ -44,7 +47,7 @@ def count_tokens(texts: DataFrame, text_col: str) -> DataFrame:
         for frame in frames:
             for text in frame.iloc[:, 0]:
                 seen.update(words_of(text))
-                seen[b""] += 1
+                seen[END] += 1
                 if len(seen) > PARTIAL_WORDS:
                     yield _counted(seen)
                     seen = Counter()
@@ -154,75 +157,116 @@ def forward(docs: list[np.ndarray], p: Parameters, counts: tuple[np.ndarray, np.
     return score
 
 
-def _blocks(frames: Iterator[pd.DataFrame], index: dict[bytes, int]) -> Iterator[tuple[list, list[list[bytes]], list[np.ndarray]]]:
-    """Row ids, words and symbols of about BLOCK_TOKENS tokens at a time; the last symbol is the end's."""
-    rare, end = len(index), index.get(END.encode(), len(index))
-    get = index.get
-    ids, words, docs, size = [], [], [], 0
+def _blocks(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[list, list[np.ndarray]]]:
+    """Row numbers and symbols of about BLOCK_TOKENS tokens at a time."""
+    rows, docs, size = [], [], 0
     for frame in frames:
-        for row, text in zip(frame.iloc[:, 0], frame.iloc[:, 1], strict=True):
-            these = words_of(text)
-            ids.append(row)
-            words.append(these)
-            docs.append(np.array([*(get(w, rare) for w in these), end], np.int32))
-            size += len(these) + 1
+        for row, symbols in zip(frame.iloc[:, 0], frame.iloc[:, 1], strict=True):
+            rows.append(row)
+            docs.append(np.frombuffer(symbols, SYMBOL))
+            size += len(docs[-1])
             if size >= BLOCK_TOKENS:
-                yield ids, words, docs
-                ids, words, docs, size = [], [], [], 0
-    if ids:
-        yield ids, words, docs
+                yield rows, docs
+                rows, docs, size = [], [], 0
+    if rows:
+        yield rows, docs
 
 
-class Model:
-    """A trained model: parameters, the frequent words with their counts, and the table of all counts."""
+@dataclass
+class Vocabulary:
+    """Count table of the training tokens, its frequent words with their counts, and its sums."""
 
-    def __init__(self, counts: DataFrame, frequent: pd.DataFrame, totals: dict[str, int], p: Parameters) -> None:
-        self.counts, self.frequent, self.totals, self.parameters = counts, frequent, totals, p
+    counts: DataFrame
+    words: list[bytes]
+    n: np.ndarray
+    tokens: int
+    distinct: int
 
+    @property
+    def index(self) -> dict[bytes, int]:
+        return {w: i for i, w in enumerate(self.words)}
 
-def train(
-    docs: DataFrame, text_col: str = "text", *, states: int = STATES, rounds: int = ROUNDS, frequent: int = FREQUENT, seed: int = SEED
-) -> Model:
-    """Counts all tokens of `docs` and runs `rounds` Baum-Welch rounds over all of them.
+    @property
+    def symbol_counts(self) -> np.ndarray:
+        return np.r_[self.n, self.tokens - self.n.sum()].astype(float)
+
+
+def vocabulary(docs: DataFrame, text_col: str = "text", frequent: int = FREQUENT) -> Vocabulary:
+    """Counts of all tokens of `docs`. Frequent words are those with the largest counts, ties to the smaller bytes."""
+    if not 0 < frequent < 1 << 16:
+        raise ValueError("frequent must be from 1 to 65535")
+    counts = durable(count_tokens(docs, text_col))
+    tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    top = counts.orderBy(F.desc("n"), "word").limit(frequent).collect()
+    return Vocabulary(counts, [bytes(r[0]) for r in top], np.array([r[1] for r in top], np.int64), tokens, distinct)
+
+
+def encode(docs: DataFrame, vocab: Vocabulary, text_col: str = "text") -> DataFrame:
+    """`docs` without the text, with `_row` (unique), `_symbols` (16-bit numbers, the end last), `_rest`, `_times`.
+
+    `_rest` are the words outside the frequent list, each once a document, and `_times` how often they occur. A
+    null text is empty. The table is written, as training and scoring read it many times. Columns of those names
+    in `docs` are an error.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(vocab.index)
+    if set(ENCODED) & {c.lower() for c in docs.columns}:
+        raise ValueError(f"columns {ENCODED} are taken")
+
+    @F.pandas_udf("symbols binary, rest array<binary>, times array<int>")
+    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        index = sent.value
+        rare, get = len(index), index.get
+        end = get(END, rare)
+        for texts in batches:
+            symbols, rest, times = [], [], []
+            for text in texts:
+                words = words_of(text)
+                found = np.fromiter(map(get, words, repeat(rare)), SYMBOL, len(words))
+                unlisted = Counter([words[i] for i in np.flatnonzero(found == rare).tolist()])
+                if end == rare:
+                    unlisted[END] = 1
+                symbols.append(found.tobytes() + np.array([end], SYMBOL).tobytes())
+                rest.append(list(unlisted))
+                times.append(list(unlisted.values()))
+            yield pd.DataFrame({"symbols": symbols, "rest": rest, "times": times})
+
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id()).withColumn("_e", encoded(F.col(text_col)))
+    kept = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    return durable(numbered.select(*kept, "_row", *[F.col(f"_e.{c}").alias(f"_{c}") for c in ("symbols", "rest", "times")]))
+
+
+def train(encoded: DataFrame, vocab: Vocabulary, *, states: int = STATES, rounds: int = ROUNDS, seed: int = SEED) -> Parameters:
+    """`rounds` Baum-Welch rounds over all rows of an encoded table.
 
     A task adds up its expected counts and hands on one row for each symbol it met; they are summed by symbol
-    and read by the driver, which holds (frequent + 1) x states numbers, however large the corpus is. Frequent
-    words are those with the largest counts, ties to the smaller bytes. Null texts are empty. An empty table
-    gives a model without words, in which only the end is possible.
+    and read by the driver, which holds (frequent + 1) x states numbers, however large the corpus is. Without
+    tokens the first parameters stay.
     """
-    spark = docs.sparkSession
-    counts = durable(count_tokens(docs, text_col))
-    totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count(F.lit(1)).alias("distinct")).first().asDict()
-    top = counts.orderBy(F.desc("n"), "word").limit(frequent).toPandas()
-    top["word"] = [bytes(w) for w in top["word"]]
-    totals |= {"rare": int(totals["tokens"] - top["n"].sum()), "rare_distinct": totals["distinct"] - len(top)}
-    index = {w: i for i, w in enumerate(top["word"])}
-    symbol_counts = np.r_[top["n"].to_numpy(np.float64), totals["rare"]]
+    context = encoded.sparkSession.sparkContext
+    symbol_counts = vocab.symbol_counts
     p = Parameters.first(symbol_counts, states, seed)
     columns = ", ".join(f"s{k} double" for k in range(states))
-    for _ in range(rounds if totals["tokens"] else 0):
-        sent = spark.sparkContext.broadcast(pickle.dumps((index, p)))
+    for _ in range(rounds if vocab.tokens else 0):
+        sent = context.broadcast(p)
 
         def expect(frames: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            index, p = pickle.loads(sent.value)
-            start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros((states, len(index) + 1))
-            pairs = (f.assign(row=0)[["row", f.columns[0]]] for f in frames)
-            for _, _, block in _blocks(pairs, index):
-                forward(block, p, (start, move, emit))
+            p = sent.value
+            start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros(p.emit.shape)
+            for _, docs in _blocks(frames):
+                forward(docs, p, (start, move, emit))
             met = np.flatnonzero(emit.sum(0))
-            every = np.vstack([start, move, emit[:, met].T])
-            frame = pd.DataFrame(every, columns=[f"s{k}" for k in range(states)])
+            frame = pd.DataFrame(np.vstack([start, move, emit[:, met].T]), columns=[f"s{k}" for k in range(states)])
             frame.insert(0, "symbol", np.r_[np.arange(-states - 1, 0), met])
             yield frame
 
         expected = (
-            docs.select(text_col)
+            encoded.select("_row", "_symbols")
             .mapInPandas(expect, f"symbol bigint, {columns}")
             .groupBy("symbol")
             .agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(states)])
             .toPandas()
             .set_index("symbol")
-            .reindex(np.arange(-states - 1, len(index) + 1), fill_value=0.0)
+            .reindex(np.arange(-states - 1, len(symbol_counts)), fill_value=0.0)
             .to_numpy()
         )
         sent.unpersist()
@@ -231,75 +275,65 @@ def train(
             _rows(expected[1 : states + 1] + PSEUDO),
             _rows(expected[states + 1 :].T + PSEUDO * symbol_counts / symbol_counts.sum()),
         )
-    return Model(counts, top, totals, p)
+    return p
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """`docs` with n_tokens, n_known, train_tokens (longs), base_score and score (log10 probabilities).
+def score(encoded: DataFrame, vocab: Vocabulary, p: Parameters) -> DataFrame:
+    """Encoded rows with n_tokens, n_known, train_tokens (longs), base_score and score (log10 probabilities).
 
     The base score adds log10((c + 1) / (N + V + 1)) over all tokens, with counts from the whole table. Words
     outside the frequent list are joined with the count table, each word once a document. Rows are told apart
-    by a row number of their own, so null and repeated ids do no harm. Null texts are empty: one token, the end.
+    by their own number, so null and repeated ids do no harm. An empty text is one token, the end.
     """
-    spark = docs.sparkSession
-    t = model.totals
-    index = {w: i for i, w in enumerate(model.frequent["word"])}
-    known = model.frequent["n"].to_numpy(np.float64)
-    size = t["tokens"] + t["distinct"] + 1
-    base_of = np.r_[np.log10((known + 1) / size), 0.0]
-    unseen_end = END.encode() not in index
-    sent = spark.sparkContext.broadcast(pickle.dumps((index, base_of, model.parameters)))
-    row = free_name(docs.columns, "_row")
+    size = vocab.tokens + vocab.distinct + 1
+    rare_size = int(vocab.symbol_counts[-1]) + vocab.distinct - len(vocab.words) + 1
+    sent = encoded.sparkSession.sparkContext.broadcast((p, np.r_[np.log10((vocab.n + 1) / size), 0.0]))
+    rare = len(vocab.words)
 
     def scored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index, base_of, p = pickle.loads(sent.value)
-        rare = len(index)
-        for ids, words, block in _blocks(frames, index):
-            rest = [Counter(w for w in these if w not in index) for these in words]
-            if unseen_end:
-                for c in rest:
-                    c[END.encode()] += 1
-            for at in range(0, len(ids), 2000):
-                part = slice(at, at + 2000)
-                yield pd.DataFrame(
-                    {
-                        "row": ids[part],
-                        "n_tokens": [len(d) for d in block[part]],
-                        "n_frequent": [int((d != rare).sum()) for d in block[part]],
-                        "base": [float(base_of[d].sum()) for d in block[part]],
-                        "rest": [list(c.items()) for c in rest[part]],
-                        "part": np.nan,
-                    }
-                ).assign(part=forward(block[part], p))
-
-    numbered = durable(docs.withColumn(row, F.monotonically_increasing_id()).select(row, *docs.columns))
-    first = durable(
-        numbered.select(row, text_col).mapInPandas(
-            scored,
-            "row bigint, n_tokens bigint, n_frequent bigint, base double, rest array<struct<word: binary, tf: bigint>>, part double",
-        )
+        p, base_of = sent.value
+        for rows, docs in _blocks(frames):
+            yield pd.DataFrame(
+                {
+                    "_row": rows,
+                    "n_tokens": [len(d) for d in docs],
+                    "n_listed": [int((d != rare).sum()) for d in docs],
+                    "base": [float(base_of[d].sum()) for d in docs],
+                    "part": forward(docs, p),
+                }
+            )
+
+    first = encoded.select("_row", "_symbols").mapInPandas(
+        scored, "_row bigint, n_tokens bigint, n_listed bigint, base double, part double"
     )
-    rest = first.select("row", F.inline("rest")).join(model.counts, "word", "left")
+    rest = encoded.select("_row", F.inline(F.arrays_zip(F.col("_rest").alias("word"), F.col("_times").alias("times"))))
     c = F.coalesce("n", F.lit(0)) + 1
-    summed = rest.groupBy("row").agg(
-        F.sum(F.when(F.col("n").isNotNull(), F.col("tf")).otherwise(0)).alias("n_rest_known"),
-        F.sum(F.col("tf") * F.log10(c / F.lit(float(size)))).alias("rest_base"),
-        F.sum(F.col("tf") * F.log10(c / F.lit(float(t["rare"] + t["rare_distinct"] + 1)))).alias("rest_score"),
+    summed = (
+        rest.join(vocab.counts, "word", "left")
+        .groupBy("_row")
+        .agg(
+            F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("n_rest_known"),
+            F.sum(F.col("times") * F.log10(c / F.lit(float(size)))).alias("rest_base"),
+            F.sum(F.col("times") * F.log10(c / F.lit(float(rare_size)))).alias("rest_part"),
+        )
     )
-    sums = first.join(summed, "row", "left").select(
-        F.col("row").alias(row),
-        "n_tokens",
-        (F.col("n_frequent") + F.coalesce("n_rest_known", F.lit(0))).alias("n_known"),
-        F.lit(t["tokens"]).cast("bigint").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rest_base", F.lit(0.0))).alias("base_score"),
-        (F.col("part") + F.coalesce("rest_score", F.lit(0.0))).alias("score"),
+    return (
+        encoded.drop(*ENCODED[1:])
+        .join(first, "_row")
+        .join(summed, "_row", "left")
+        .select(
+            *[c for c in encoded.columns if c not in ENCODED],
+            "n_tokens",
+            (F.col("n_listed") + F.coalesce("n_rest_known", F.lit(0))).alias("n_known"),
+            F.lit(vocab.tokens).cast("bigint").alias("train_tokens"),
+            (F.col("base") + F.coalesce("rest_base", F.lit(0.0))).alias("base_score"),
+            (F.col("part") + F.coalesce("rest_part", F.lit(0.0))).alias("score"),
+        )
     )
-    return numbered.join(sums, row).drop(row)
 
 
 def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tollspan.llm.common import table
-
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (remainder("doc_id", 7) == 2).alias("held_out"))
-    model = train(docs.filter("not held_out"))
-    return score(docs, model).drop("text")
+    vocab = vocabulary(docs.filter("not held_out"))
+    encoded = encode(docs, vocab)
+    return score(encoded, vocab, train(encoded.filter("not held_out"), vocab))

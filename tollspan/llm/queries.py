@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tollspan.llm.hmm import op10_hmm
 from tollspan.llm.langid import op3_language
+from tollspan.llm.licenses import op5_licenses
 from tollspan.llm.lz import op1_lz_fingerprint
 from tollspan.llm.packing import op8_packing
 from tollspan.llm.simhash import op6_simhash
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lz_fingerprint": op1_lz_fingerprint,
     "op3_language": op3_language,
     "op4_url_cascade": op4_url_cascade,
+    "op5_licenses": op5_licenses,
     "op6_simhash": op6_simhash,
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
