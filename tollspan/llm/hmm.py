@@ -10,6 +10,7 @@ the executors, and its size does not grow with the corpus.
 from __future__ import annotations
 
 import heapq
+from bisect import bisect
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,8 +34,9 @@ SEED = 7
 #: Added to expected counts, so that no probability is zero.
 PSEUDO = 0.1
 #: Tokens scored together, and the lanes they are dealt over.
-BLOCK_TOKENS = 1 << 19
+BLOCK_TOKENS = 3 << 18
 LANES = 512
+LENGTHS = (512, 2048, 8192)
 #: Distinct words a task counts before it hands partial counts on.
 PARTIAL_WORDS = 200_000
 
@@ -158,18 +160,23 @@ def forward(docs: list[np.ndarray], p: Parameters, counts: tuple[np.ndarray, np.
 
 
 def _blocks(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[list, list[np.ndarray]]]:
-    """Row numbers and symbols of about BLOCK_TOKENS tokens at a time."""
-    rows, docs, size = [], [], 0
+    """Row numbers and symbols of about BLOCK_TOKENS tokens at a time, texts of a like length together.
+
+    A block takes as many steps as its longest text has tokens, so long texts wait for one another.
+    """
+    held: list[tuple[list, list[np.ndarray]]] = [([], []) for _ in range(len(LENGTHS) + 1)]
+    size = [0] * len(held)
     for frame in frames:
         for row, symbols in zip(frame.iloc[:, 0], frame.iloc[:, 1], strict=True):
-            rows.append(row)
-            docs.append(np.frombuffer(symbols, SYMBOL))
-            size += len(docs[-1])
-            if size >= BLOCK_TOKENS:
-                yield rows, docs
-                rows, docs, size = [], [], 0
-    if rows:
-        yield rows, docs
+            found = np.frombuffer(symbols, SYMBOL)
+            k = bisect(LENGTHS, len(found))
+            held[k][0].append(row)
+            held[k][1].append(found)
+            size[k] += len(found)
+            if size[k] >= BLOCK_TOKENS:
+                yield held[k]
+                held[k], size[k] = ([], []), 0
+    yield from (block for block in held if block[0])
 
 
 @dataclass

@@ -10,6 +10,8 @@ from tollspan.llm.hmm import op10_hmm
 from tollspan.llm.langid import op3_language
 from tollspan.llm.licenses import op5_licenses
 from tollspan.llm.lz import op1_lz_fingerprint
+from tollspan.llm.neighbours import ORACLE as NEIGHBOUR_ORACLE
+from tollspan.llm.neighbours import op2_rotated_codes
 from tollspan.llm.packing import op8_packing
 from tollspan.llm.simhash import op6_simhash
 from tollspan.llm.toxicity import op9_toxicity
@@ -18,6 +20,7 @@ from tollspan.llm.urls import op4_url_cascade
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lz_fingerprint": op1_lz_fingerprint,
+    "op2_rotated_codes": op2_rotated_codes,
     "op3_language": op3_language,
     "op4_url_cascade": op4_url_cascade,
     "op5_licenses": op5_licenses,
@@ -27,5 +30,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_hmm": op10_hmm,
 }
 ORACLES: dict[str, str] = {
+    "op2_rotated_codes": NEIGHBOUR_ORACLE,
     "op4_url_cascade": URL_ORACLE,
 }
