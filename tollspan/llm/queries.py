@@ -13,6 +13,7 @@ from tollspan.llm.lz import op1_lz_fingerprint
 from tollspan.llm.neighbours import ORACLE as NEIGHBOUR_ORACLE
 from tollspan.llm.neighbours import op2_rotated_codes
 from tollspan.llm.packing import op8_packing
+from tollspan.llm.pieces import op7_pieces
 from tollspan.llm.simhash import op6_simhash
 from tollspan.llm.toxicity import op9_toxicity
 from tollspan.llm.urls import ORACLE as URL_ORACLE
@@ -25,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_cascade": op4_url_cascade,
     "op5_licenses": op5_licenses,
     "op6_simhash": op6_simhash,
+    "op7_pieces": op7_pieces,
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
     "op10_hmm": op10_hmm,
