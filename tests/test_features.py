@@ -6,6 +6,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from tollspan.functions import scalars as S
 from tollspan.operators import catalog, clean, evaluate, flow, plate, sections, trajectory
 from tollspan.plans.views import view
 from tollspan.sources import ingest
@@ -203,3 +204,47 @@ def test_flow_stream_equals_batch_on_closed_windows(spark, in_files):
     want = flow.flow_core(whole).select("gantry", "interval_start", "class_label", "flow_count")
     assert set(rows(got)) <= set(rows(want))
     assert got.count() > 0.9 * want.count()
+
+
+def test_event_times_in_any_day_first_layout(spark):
+    cases = {
+        ("05/01/2024", "10:00:00"): "2024-01-05 10:00:00", ("5-1-24", "9:05"): "2024-01-05 09:05:00",
+        ("05.01.2024", "12:30 AM"): "2024-01-05 00:30:00", ("13/01/2024", "1:02:03 pm"): "2024-01-13 13:02:03",
+        ("01/13/2024", "00:00"): "2024-01-13 00:00:00", ("2024-01-05T10:11:12.25", ""): "2024-01-05 10:11:12.250000",
+        ("05/01/70", ""): "1970-01-05 00:00:00", ("31/02/2024", "10:00"): None, ("soon", "10:00"): None,
+    }
+    df = spark.createDataFrame([(d, t) for d, t in cases], "d string, t string")
+    got = {(r["d"], r["t"]): r["x"] for r in df.select("d", "t", S.parse_event_time(F.col("d"), F.col("t")).alias("x")).collect()}
+    assert {k: str(v) if v else None for k, v in got.items()} == cases
+
+
+def test_detection_times_do_not_depend_on_the_session_zone(spark):
+    cases = {
+        "2024-09-08 00:30:00": "2024-09-08 00:30:00", "05/01/2024   10:00:00": "2024-01-05 10:00:00",
+        "2024-01-05T10:00:00+02:00": "2024-01-05 08:00:00", "2024-01-05T10:00:00+02": "2024-01-05 08:00:00",
+        "2024-01-05T10:00:00-0330": "2024-01-05 13:30:00", "2024-01-05T10:00:00Z": "2024-01-05 10:00:00",
+    }
+    df = spark.createDataFrame([(t,) for t in cases], "t string")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Santiago")
+        got = {r["t"]: str(r["x"]) for r in df.select("t", S.parse_detection_time(F.col("t")).alias("x")).collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert got == cases
+
+
+def test_range_scan_skips_day_folders(spark, tmp_path):
+    df = spark.sql("SELECT id AS event_id, 1 AS category, timestampadd(HOUR, id, TIMESTAMP_NTZ'2024-01-01 00:00:00') AS ts FROM range(240)")
+    ingest.write_detections(df, str(tmp_path / "t"), "overwrite")
+    part = ingest.range_scan(ingest.read_detections(spark, str(tmp_path / "t")), "2024-01-02 05:00:00", "2024-01-03 00:00:00")
+    assert part.count() == 19
+    plan = part._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan
+
+
+def test_missed_alarm_rate_is_minimised():
+    from tollspan.operators.study import _objective
+
+    assert _objective({"fnr": 0.1}, "fnr") > _objective({"fnr": 0.4}, "fnr")
+    assert _objective({"far": None, "sensitivity": 0.5}, "far") == 0.0005

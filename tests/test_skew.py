@@ -13,7 +13,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tollspan import skew
-from tollspan.operators import clean, evaluate, plate, trajectory
+from tollspan.functions import scalars as S
+from tollspan.operators import clean, evaluate, mixture, plate, trajectory
 
 
 @pytest.fixture(scope="module")
@@ -63,14 +64,11 @@ def test_quantile_of_any_list(spark, values, p):
     assert got == pytest.approx(float(np.quantile(values, p)), abs=1e-9)
 
 
-def test_hot_keys_and_join(spark, passes):
-    hot = skew.hot_keys(passes, ["plate"], min_rows=500)
-    assert [r["plate"] for r in hot.collect()] == ["HOT01"]
-    assert skew.hot_keys(passes, ["plate"], min_rows=10**6) is None
-    labels = passes.select("plate").distinct().withColumn("label", F.length("plate"))
-    assert rows(skew.join_on_hot(passes, labels, "plate", hot).select("event_id", "label")) == rows(
-        passes.join(labels, "plate").select("event_id", "label")
-    )
+def test_labelled_slots_equal_row_join(spark, passes):
+    labels = passes.select("plate").distinct().withColumn("cluster_label", F.length("plate") % 3)
+    got = mixture.labelled_slots(passes, labels, 5).groupBy("gantry", "interval_start", "cluster_label")
+    want = S.with_slot(mixture.attach_labels(passes, labels), minutes=5).groupBy("gantry", "interval_start", "cluster_label")
+    assert rows(got.agg(F.sum("n").cast("bigint").alias("n"))) == rows(want.agg(F.count(F.lit(1)).alias("n")))
 
 
 def test_hot_plate_trajectories_equal_plain(spark, passes):
@@ -80,8 +78,8 @@ def test_hot_plate_trajectories_equal_plain(spark, passes):
     )
     rows_in = clean.trajectory_input(passes, posts)
     cols = ["event_id", "trip_no", "trip_break", "delta_t_s", "prev_gantry"]
-    plain = trajectory.trajectories(rows_in).select(*cols)
-    cut = trajectory.trajectories(rows_in, hot_rows=300).select(*cols)
+    plain = trajectory.trajectories(rows_in, bucket_s=10**8).select(*cols)
+    cut = trajectory.trajectories(rows_in).select(*cols)
     assert rows(plain) == rows(cut)
     trips = trajectory.trajectories(rows_in)
     longest = trips.groupBy("trip_id").count().agg(F.max("count")).first()[0]

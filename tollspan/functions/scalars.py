@@ -20,21 +20,11 @@ DETECTION_TIME_FORMATS = [
     ("yyyy/M/d H:m:s", f"^{_Y}/{_D}/{_D} {_HMS}$", False),
     ("yyyy-M-d'T'H:m:s'Z'", f"^{_Y}-{_D}-{_D}T{_HMS}Z$", False),
     ("yyyy-M-d'T'H:m:s.SSSSSS'Z'", f"^{_Y}-{_D}-{_D}T{_HMS}[.][0-9]+Z$", False),
-    ("yyyy-M-d'T'H:m:sXX", f"^{_Y}-{_D}-{_D}T{_HMS}[+-][0-9]{{4}}$", True),
+    ("yyyy-M-d'T'H:m:sXX", f"^{_Y}-{_D}-{_D}T{_HMS}[+-][0-9]{{2}}(:?[0-9]{{2}})?$", True),
     ("d/M/yyyy H:m", f"^{_D}/{_D}/{_Y} {_HM}$", False),
     ("yyyy-M-d H:m", f"^{_Y}-{_D}-{_D} {_HM}$", False),
 ]
 
-# Day-first layouts of event logs.
-EVENT_TIME_FORMATS = [
-    ("d/M/yyyy H:m:s", f"^{_D}/{_D}/{_Y} {_HMS}$", False),
-    ("d-M-yyyy H:m:s", f"^{_D}-{_D}-{_Y} {_HMS}$", False),
-    ("yyyy-M-d H:m:s", f"^{_Y}-{_D}-{_D} {_HMS}$", False),
-    ("d/M/yyyy H:m", f"^{_D}/{_D}/{_Y} {_HM}$", False),
-    ("d-M-yyyy H:m", f"^{_D}-{_D}-{_Y} {_HM}$", False),
-    ("yyyy-M-d H:m", f"^{_Y}-{_D}-{_D} {_HM}$", False),
-]
-
 # Raw class to feature class, and its label.
 CATEGORY_REMAP = {1: 1, 2: 2, 3: 2, 4: 3}
 CATEGORY_LABELS = {1: "Light", 2: "Heavy", 3: "Motorcycles"}
@@ -108,26 +98,58 @@ def normalise_gantry(c: Column) -> Column:
     return F.when(~text.isin(NULL_TOKENS), code)
 
 
-def _parse_by_shape(c: Column, formats: list[tuple[str, str, bool]]) -> Column:
-    """Parse with the one layout a text has the shape of, so that no parser fails on the way to it."""
+def parse_detection_time(c: Column) -> Column:
+    """First matching layout, runs of blanks as one; a zone offset (`+hh`, `+hhmm`, `+hh:mm`) is applied and dropped.
+
+    Each text meets the one layout that it has the shape of, so no parser fails on the way to it. All texts are
+    read as UTC, so the session's zone and its clock changes play no part.
+    """
+    c = F.regexp_replace(strip(c), " +", " ")
     out = None
-    for layout, shape, zoned in formats:
-        at = F.try_to_timestamp(c, F.lit(layout))
+    for layout, shape, zoned in DETECTION_TIME_FORMATS:
         if zoned:
-            at = F.to_utc_timestamp(at, F.current_timezone())
-        at = at.cast("timestamp_ntz")
+            whole = F.regexp_replace(c, "([+-][0-9]{2}):?([0-9]{2})$", "$1$2")
+            text = F.when(whole.rlike("[+-][0-9]{4}$"), whole).otherwise(F.concat(c, F.lit("00")))
+        else:
+            text, layout = F.concat(c, F.lit(" +0000")), f"{layout} XX"
+        micros = F.unix_micros(F.try_to_timestamp(text, F.lit(layout)))
+        at = F.timestamp_add("MICROSECOND", micros, F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"))
         out = F.when(c.rlike(shape), at) if out is None else out.when(c.rlike(shape), at)
     return out
 
 
-def parse_detection_time(c: Column) -> Column:
-    """First matching layout; a zone offset is applied and then dropped."""
-    return _parse_by_shape(c, DETECTION_TIME_FORMATS)
+_EVENT_TIME = (
+    r"^([0-9]{1,4})[/.-]([0-9]{1,2})[/.-]([0-9]{1,4})"
+    r"(?:[ T]+([0-9]{1,2}):([0-9]{1,2})(?::([0-9]{1,2}(?:[.][0-9]{1,6})?))? ?([AaPp][Mm])?)?$"
+)
 
 
 def parse_event_time(date_text: Column, time_text: Column) -> Column:
-    """Day-first date text plus time text."""
-    return _parse_by_shape(F.concat_ws(" ", strip(date_text), strip(time_text)), EVENT_TIME_FORMATS)
+    """Day-first date text plus time text, in any mix of layouts.
+
+    Parts are parted by `/`, `-` or `.`; a four-digit first part is the year; two-digit years from 69 on lie in
+    the 1900s. A month above 12 changes places with a day that is not. The time may be missing, be joined by
+    `T`, have a fraction, or AM or PM.
+    """
+    text = strip(F.concat_ws(" ", strip(date_text), strip(time_text)))
+    part = [F.regexp_extract(text, _EVENT_TIME, i) for i in range(1, 8)]
+    first_is_year = F.length(part[0]) == 4
+    year_text = F.when(first_is_year, part[0]).otherwise(part[2])
+    short = year_text.try_cast("int")
+    year = F.when(F.length(year_text) == 4, short).when(
+        F.length(year_text) <= 2, short + F.when(short >= 69, F.lit(1900)).otherwise(F.lit(2000))
+    )
+    day = F.when(first_is_year, part[2]).otherwise(part[0]).try_cast("int")
+    month = part[1].try_cast("int")
+    swap = ~first_is_year & (month > 12) & (day <= 12)
+    hour = F.coalesce(part[3].try_cast("int"), F.lit(0))
+    half = F.lower(part[6])
+    hour = F.when(half == "", hour).when(hour.between(1, 12), F.pmod(hour, F.lit(12)) + F.when(half == "pm", F.lit(12)).otherwise(F.lit(0)))
+    made = F.try_make_timestamp_ntz(
+        year, F.when(swap, day).otherwise(month), F.when(swap, month).otherwise(day), hour,
+        F.coalesce(part[4].try_cast("int"), F.lit(0)), F.coalesce(part[5].try_cast("decimal(16,6)"), F.lit(0).cast("decimal(16,6)")),
+    )
+    return F.when(text.rlike(_EVENT_TIME), made)
 
 
 def with_slot(df: DataFrame, ts: str = "ts", minutes: int = 5, name: str = "interval_start") -> DataFrame:

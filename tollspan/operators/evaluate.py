@@ -163,7 +163,7 @@ def evaluation(df: DataFrame, predicted: Column, target: str = "target", by: Seq
 
 def objective(name: str) -> Column:
     """Value to maximise for a named objective over evaluation columns."""
-    # Objectives; the false-alarm rate is minimised, sensitivity breaks its ties.
+    # Objectives; the false-alarm rate (sensitivity breaks its ties) and the miss rate are minimised.
     table = {
         "accuracy": F.col("accuracy"),
         "precision": F.col("precision"),
@@ -172,6 +172,7 @@ def objective(name: str) -> Column:
         "sensitivity": F.col("sensitivity"),
         "auc": F.col("auc"),
         "far": -(F.col("far") - F.lit(0.001) * F.col("sensitivity")),
+        "fnr": -F.col("fnr"),
     }
     return table[name]
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tollspan.functions import scalars as S
 from tollspan.operators.flow import deltas_where_present, with_deltas
-from tollspan.skew import hot_keys, join_on_hot
+from tollspan.session import sized
 
 # Metric name and the column that holds it.
 METRICS = {
@@ -32,19 +32,34 @@ def label_table(labels: DataFrame) -> DataFrame:
     )
 
 
-def attach_labels(df: DataFrame, labels: DataFrame) -> DataFrame:
-    """Detections of labelled plates. Very frequent plates do not end up in one task."""
-    rows = df.withColumn("plate", S.normalise_plate(F.col("plate"))).filter(
+def _labelled_input(df: DataFrame) -> DataFrame:
+    return df.withColumn("plate", S.normalise_plate(F.col("plate"))).filter(
         F.col("plate").isNotNull() & F.col("ts").isNotNull() & F.col("gantry").isNotNull()
     )
-    return join_on_hot(rows, label_table(labels), "plate", hot_keys(rows, ["plate"]))
+
+
+def attach_labels(df: DataFrame, labels: DataFrame) -> DataFrame:
+    """Detections of labelled plates, row by row; Spark splits the partition of a very frequent plate."""
+    return _labelled_input(df).join(sized(label_table(labels)), "plate")
+
+
+def labelled_slots(df: DataFrame, labels: DataFrame, minutes: int) -> DataFrame:
+    """Detections and sums of speeds per gantry, interval and label.
+
+    Detections are summed by plate, gantry and interval first, so a plate brings a row an interval to the join
+    however often it passes.
+    """
+    slots = S.with_slot(_labelled_input(df), minutes=minutes)
+    summed = slots.groupBy("plate", S.strip(F.col("gantry")).alias("gantry"), "interval_start").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("speed_kmh").alias("speed_sum"), F.count("speed_kmh").alias("n_speed")
+    )
+    return summed.join(sized(label_table(labels)), "plate").drop("plate")
 
 
 def mixture_core(df: DataFrame, labels: DataFrame, minutes: int = 5, lanes: int = 1) -> DataFrame:
     """Count, share, hourly flow, mean speed and density per gantry, interval and label."""
-    rows = S.with_slot(attach_labels(df, labels), minutes=minutes)
-    grouped = rows.groupBy(S.strip(F.col("gantry")).alias("gantry"), "interval_start", "cluster_label").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("speed_kmh").alias("speed_mean")
+    grouped = labelled_slots(df, labels, minutes).groupBy("gantry", "interval_start", "cluster_label").agg(
+        F.sum("n").alias("n"), F.try_divide(F.sum("speed_sum"), F.sum("n_speed")).alias("speed_mean")
     )
     total = grouped.groupBy("gantry", "interval_start").agg(F.sum("n").alias("total"))
     per_hour = F.col("n") * (60.0 / max(1, minutes)) / max(1, lanes)
@@ -86,15 +101,14 @@ def mixture_matrix(
     `label_list` names every label there is. The labels are conditional aggregates, so
     after the label join one shuffle makes the matrix.
     """
-    rows = S.with_slot(attach_labels(df, labels), minutes=minutes)
+    rows = labelled_slots(df, labels, minutes)
     names = {k: label_suffix(k) for k in label_list}
     cells = []
     for k, c in names.items():
         hit = F.col("cluster_label") == k
-        cells += [F.count_if(hit).alias(f"_n_{c}"), F.avg(F.when(hit, F.col("speed_kmh"))).alias(f"_speed_{c}")]
-    out = rows.groupBy(S.strip(F.col("gantry")).alias("gantry"), "interval_start").agg(
-        F.count(F.lit(1)).alias("_total"), *cells
-    )
+        mean = F.try_divide(F.sum(F.when(hit, F.col("speed_sum"))), F.sum(F.when(hit, F.col("n_speed"))))
+        cells += [F.coalesce(F.sum(F.when(hit, F.col("n"))), F.lit(0)).alias(f"_n_{c}"), mean.alias(f"_speed_{c}")]
+    out = rows.groupBy("gantry", "interval_start").agg(F.sum("n").alias("_total"), *cells)
     for c in names.values():
         present = F.col(f"_n_{c}") > 0
         per_hour = F.col(f"_n_{c}") * (60.0 / max(1, minutes)) / max(1, lanes)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Sequence
 
 import numpy as np
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,14 +15,16 @@ from tollspan.sources.ingest import cluster_features, numeric_features
 
 # Default search ranges.
 SPACES = {
-    "forest": {"n_trees": (10, 60), "max_depth": (3, 10)},
-    "boosting": {"n_trees": (5, 30), "max_depth": (2, 5), "rate": (0.02, 0.3), "subsample": (0.5, 1.0)},
+    "forest": {"n_trees": (50, 200), "max_depth": (3, 20)},
+    "boosting": {"n_trees": (50, 200), "max_depth": (2, 10), "rate": (0.01, 0.3), "subsample": (0.5, 1.0)},
     "svm": {"c": (0.1, 10.0)},
 }
 RESULT = (
     "section string, result_type string, k int, model string, trials int, pruned int, params string, threshold double, "
     "val_objective double, f1 double, far double, sensitivity double, accuracy double, auc double, error string"
 )
+#: Data that cannot be fitted. A lost executor or lack of memory is none of these and ends the run.
+UNFIT = (ValueError, IllegalArgumentException)
 _FIELDS = [part.split()[0] for part in RESULT.split(", ")]
 
 
@@ -40,10 +43,12 @@ def _rates(scored: DataFrame, threshold: float | None, auc: bool = True) -> dict
     return row
 
 
-def _objective(rates: dict, name: str) -> float:
+def _objective(rates: dict, name: str) -> float | None:
+    """Value to maximise; a rate that a single class leaves undefined counts as 0, so such a trial is no failure."""
+    rates = {k: 0.0 if v is None else v for k, v in rates.items()}
     if name == "far":
         return -(rates["far"] - 0.001 * rates["sensitivity"])
-    return rates[name]
+    return -rates[name] if name == "fnr" else rates[name]
 
 
 def search(
@@ -56,35 +61,41 @@ def search(
     trials: int = 20,
     far_cap: float = 0.2,
     objective: str = "far",
-    ratios: tuple[float, float] = (0.3, 1.0),
+    ratios: tuple[float, float] = (0.1, 1.0),
+    neighbours: tuple[int, int] = (1, 5),
     space: dict | None = None,
     seed: int = 42,
 ) -> dict:
     """Seeded random search: balance, fit, threshold and score on validation; then test the best.
 
-    Test rows never take part in the choice. A trial that fails is counted as pruned.
+    The number of neighbours of synthetic rows is drawn too. Test rows never take part in the choice. A draw
+    that cannot be fitted (too few rows of a class for it) is counted as pruned; any other failure ends the sweep.
     """
     rng = np.random.default_rng(seed)
     best, pruned = None, 0
     for _ in range(trials):
         params = draw_params(kind, rng, space)
-        ratio = float(rng.uniform(*ratios))
+        ratio, k = float(rng.uniform(*ratios)), int(rng.integers(neighbours[0], neighbours[1] + 1))
+        kept: list[DataFrame] = []
         try:
-            made = balance.smote(train, features, ratio=ratio, seed=seed).persist()
+            made = balance.smote(train, features, k=k, ratio=ratio, seed=seed).persist()
+            kept.append(made)
             model = models.fit_model(made, features, kind, params, seed)
             scored = models.with_score(model, val, features).select("target", "score").persist()
+            kept.append(scored)
             point = evaluate.far_threshold(scored, far_cap).first()
             threshold, rates = point["threshold"], point.asDict()
             if objective not in ("far", "sensitivity"):
                 rates = _rates(scored, threshold, auc=objective == "auc")
             value = _objective(rates, objective)
-            made.unpersist()
-            scored.unpersist()
-        except Exception:  # noqa: BLE001 - a bad draw must not end the sweep
+        except UNFIT:
             pruned += 1
             continue
+        finally:
+            for df in kept:
+                df.unpersist()
         if best is None or value > best["val_objective"]:
-            best = {"params": {**params, "ratio": round(ratio, 4)}, "threshold": threshold, "val_objective": value, "model": model}
+            best = {"params": {**params, "ratio": round(ratio, 4), "neighbours": k}, "threshold": threshold, "val_objective": value, "model": model}
     if best is None:
         raise ValueError("every trial failed")
     scored = models.with_score(best["model"], test, features).select("target", "score")
@@ -96,8 +107,8 @@ def _result(section: str, result_type: str, k: int, kind: str, run: Callable[[],
     try:
         found = run()
         row.update({f: found.get(f) for f in _FIELDS if f in found and f != "model"}, params=str(found["params"]))
-    except Exception as e:  # noqa: BLE001 - recorded as a row of the study
-        row["error"] = str(e)[:200]
+    except UNFIT as e:
+        row["error"] = str(e)
     return tuple(row.get(f) for f in _FIELDS)
 
 
@@ -114,7 +125,7 @@ def top_k_rows(
     features = numeric_features(data, exclude=["row_id"])
     clusters = set(cluster_features(features))
     train, valid, tested = (d.persist() for d in evaluate.three_way_split(data, test, val, of_whole=True))
-    ranked = [r["variable"] for r in models.feature_importance(train, features, n_trees=20, max_depth=6).collect()]
+    ranked = [r["variable"] for r in models.feature_importance(train, features).collect()]
     base = [c for c in ranked if c not in clusters]
     rows = []
     for k in ks:
@@ -149,9 +160,9 @@ def section_study(
         every = len(numeric_features(data, exclude=["row_id"]))
         try:
             rows += top_k_rows(part, ks or [every], kind, name, **kw)
-        except Exception as e:  # noqa: BLE001
+        except UNFIT as e:
             for kind_of in ("Base", "Base+Cluster"):
-                rows.append(_result(name, kind_of, every, kind, lambda e=e: _fail(str(e)[:200])))
+                rows.append(_result(name, kind_of, every, kind, lambda e=e: _fail(str(e))))
     return data.sparkSession.createDataFrame(rows, RESULT)
 
 
@@ -169,6 +180,6 @@ def window_study(data: DataFrame, windows: DataFrame, n: int, ks: Iterable[int],
         name = f"{w['gantry_last']}-{w['gantry_next']} from {w['window_start']}"
         try:
             rows += top_k_rows(part, ks, kind, name, **kw)
-        except Exception as e:  # noqa: BLE001
-            rows.append(_result(name, "Base", ks[0], kind, lambda e=e: _fail(str(e)[:200])))
+        except UNFIT as e:
+            rows.append(_result(name, "Base", ks[0], kind, lambda e=e: _fail(str(e))))
     return spark.createDataFrame(rows, RESULT)

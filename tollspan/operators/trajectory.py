@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tollspan.functions import geo as G
 from tollspan.functions import scalars as S
+from tollspan.session import durable
 from tollspan.skew import (
     exact_quantiles,
-    hot_keys,
-    hot_time_bucket,
     previous_row,
     running_totals,
     seconds_between,
@@ -24,17 +23,16 @@ MAX_SPEED_KMH = 160.0
 MIN_SPEED_KMH = 5.0
 
 
-def trajectories(passes: DataFrame, *, hot_rows: int | None = None) -> DataFrame:
+def trajectories(passes: DataFrame, *, bucket_s: int = 3600) -> DataFrame:
     """Cut each plate's passes into trips.
 
     A trip ends at a long gap, a long jump, an impossible or very low implied speed, or
-    a change of direction. All windows share one shuffle by plate; plates that hold very
-    many rows are cut by the hour instead.
+    a change of direction. Every plate is cut into buckets of time, and one row a bucket carries
+    over the borders, so no plate is too much for a task.
     """
-    hot = hot_keys(passes, ["plate"], hot_rows) if hot_rows else hot_keys(passes, ["plate"])
-    plain, order = hot is None, ["ts", "gantry"]
-    rows = hot_time_bucket(passes, ["plate"], "ts", 3600, hot)
-    rows = previous_row(rows, ["plate"], order, ["ts", "km", "speed_kmh", "gantry", "lane"], single_bucket=plain)
+    order = ["ts", "gantry"]
+    rows = passes.withColumn("_bucket", time_bucket_id("ts", bucket_s))
+    rows = previous_row(rows, ["plate"], order, ["ts", "km", "speed_kmh", "gantry", "lane"])
     rows = rows.withColumns(
         {"delta_t_s": seconds_between("prev_ts", "ts"), "delta_km": F.col("km") - F.col("prev_km")}
     ).withColumns(
@@ -43,7 +41,7 @@ def trajectories(passes: DataFrame, *, hot_rows: int | None = None) -> DataFrame
             "_sign": F.signum(F.coalesce("delta_km", F.lit(0.0))),
         }
     )
-    rows = previous_row(rows, ["plate"], order, ["_sign"], single_bucket=plain)
+    rows = previous_row(rows, ["plate"], order, ["_sign"])
     turned = (F.col("_sign") != F.col("prev__sign")) & (F.col("_sign") != 0) & (F.col("prev__sign") != 0)
     standstill_jump = (F.col("delta_t_s") == 0) & (F.abs("delta_km") > 0)
     ends = (
@@ -57,11 +55,7 @@ def trajectories(passes: DataFrame, *, hot_rows: int | None = None) -> DataFrame
     )
     rows = rows.withColumn("trip_break", F.coalesce(ends, F.lit(False)))
     rows = rows.withColumn("_one", F.col("trip_break").cast("int"))
-    if plain:
-        w = Window.partitionBy("plate", "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        rows = rows.withColumn("trip_no", F.sum("_one").over(w))
-    else:
-        rows = running_totals(rows, ["plate"], [F.col(c) for c in order], {"trip_no": "_one"})
+    rows = running_totals(rows, ["plate"], [F.col(c) for c in order], {"trip_no": "_one"})
     return rows.withColumn("trip_id", F.concat_ws("_", "plate", F.col("trip_no").cast("string"))).drop(
         "_bucket", "_sign", "prev__sign", "_one"
     )
@@ -215,7 +209,9 @@ def departure_summary(trip_table: DataFrame) -> DataFrame:
 
 
 def trajectory_bundle(passes: DataFrame, minutes: int = 15) -> dict[str, DataFrame]:
-    traj = trajectories(passes)
+    """All tables of a run; passes and trajectories are read several times and so written once."""
+    passes = durable(passes)
+    traj = durable(trajectories(passes))
     segs = segments(traj)
     return {
         "passes": passes,

@@ -285,17 +285,24 @@ def _(spark, sf):
 @query("ML25_window_study")
 def _(spark, sf):
     top = sections.top_candidates(q_road.windows(spark, sf), 6, by="n_accidents")
-    return study.window_study(dataset(spark, sf), top, 1, [6], **SMALL)
+    return study.window_study(dataset(spark, sf), top, 3, [6], **SMALL)
+
+
+def _sections(data):
+    """All sections of the data; a road network has few."""
+    return sorted(tuple(r) for r in data.select("gantry_last", "gantry_next").distinct().collect())
 
 
 @query("ML26_section_study")
 def _(spark, sf):
-    return study.section_study(dataset(spark, sf), [("1", "2"), ("2", "9")], **SMALL)
+    data = dataset(spark, sf)
+    return study.section_study(data, _sections(data), **SMALL)
 
 
 @query("ML27_section_k_study")
 def _(spark, sf):
-    return study.section_study(dataset(spark, sf), [("5", "6")], study.k_values(4, 8, 4, 30), **SMALL)
+    data = dataset(spark, sf)
+    return study.section_study(data, _sections(data), study.k_values(4, 8, 4, 30), **SMALL)
 
 
 @query("ML28_saved_model")

@@ -71,7 +71,7 @@ DUCK_TIMES = [
 _TIME = (
     "coalesce("
     + ", ".join(f"try_strptime(trim(ts_txt), '{f}')" for f in DUCK_TIMES)
-    + ", CASE WHEN ts_txt LIKE '%+0200' THEN try_strptime(trim(ts_txt[1:19]), '%Y-%m-%dT%H:%M:%S') - INTERVAL 2 HOUR END)"
+    + ", make_timestamp(CAST(epoch(try_strptime(trim(ts_txt), '%Y-%m-%dT%H:%M:%S%z')) * 1000000 AS BIGINT)))"
 )
 
 

@@ -82,13 +82,14 @@ def _raw(d) -> str:
     return f"""
 SELECT event_id,
   CASE event_id % 10
-    WHEN 0 THEN {d.fmt(t, "dd/MM/yyyy HH:mm:ss")}
+    WHEN 0 THEN replace({d.fmt(t, "dd/MM/yyyy HH:mm:ss")}, ' ', CASE WHEN event_id % 20 = 0 THEN '   ' ELSE ' ' END)
     WHEN 1 THEN {d.fmt(t, "dd-MM-yyyy HH:mm:ss")}
     WHEN 2 THEN concat(' ', {d.fmt(t, "yyyy-MM-dd HH:mm:ss")}, ' ')
     WHEN 3 THEN {d.fmt(t, "yyyy/MM/dd HH:mm:ss")}
     WHEN 4 THEN {d.fmt(t, "yyyy-MM-dd'T'HH:mm:ss'Z'")}
     WHEN 5 THEN {d.fmt(t, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")}
-    WHEN 6 THEN concat({d.fmt(t, "yyyy-MM-dd'T'HH:mm:ss")}, '+0200')
+    WHEN 6 THEN concat({d.fmt(t, "yyyy-MM-dd'T'HH:mm:ss")},
+      CASE event_id % 40 WHEN 6 THEN '+0200' WHEN 16 THEN '+02:00' WHEN 26 THEN '+02' ELSE '-03:30' END)
     WHEN 7 THEN {d.fmt(t, "dd/MM/yyyy HH:mm")}
     WHEN 8 THEN {d.fmt(t, "yyyy-MM-dd HH:mm")}
     ELSE CASE WHEN event_id % 20 = 9 THEN 'no date' ELSE NULL END END AS ts_txt,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -29,14 +31,19 @@ def build_session(app: str = "tollspan", master: str | None = None, **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's `spark.checkpoint.dir`.
 
-    Only where that setting is absent (tests, a laptop) a local folder is made
-    and remembered in the session.
+    Only where that setting is absent and all work runs in this process (tests, a laptop) a local
+    folder is made and remembered in the session. On a cluster the setting must be there, as its
+    executors would not see each other's files.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.conf.get("tollspan.local.scratch", None)
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="tollspan-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("tollspan.local.scratch", base)
     return base
 

@@ -13,8 +13,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_ROWS = 5_000_000
-MAX_HOT_KEYS = 100_000
 EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
 
@@ -37,39 +35,6 @@ def time_bucket_id(ts: str, seconds: int) -> Column:
     return floor_div(micros(ts), seconds * 1_000_000)
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_ROWS) -> DataFrame | None:
-    """Keys heavy enough to be cut, or None when there is none.
-
-    Only routes rows to a plan; the result never depends on it. The list is
-    limited to MAX_HOT_KEYS, so a key left out holds at most 1/MAX_HOT_KEYS of
-    the rows, and the list may always be broadcast.
-    """
-    heavy = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") >= min_rows)
-        .orderBy(F.desc("_n"))
-        .limit(MAX_HOT_KEYS)
-        .select(*keys)
-    )
-    rows = heavy.collect()
-    if not rows:
-        return None
-    return df.sparkSession.createDataFrame(rows, heavy.schema)
-
-
-def hot_time_bucket(
-    df: DataFrame, keys: Sequence[str], ts: str, seconds: int, hot: DataFrame | None
-) -> DataFrame:
-    """Add `_bucket`: the time bucket for hot keys, one bucket for all others."""
-    if hot is None:
-        return df.withColumn("_bucket", F.lit(0).cast("bigint"))
-    flagged = df.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), list(keys), "left")
-    return flagged.withColumn(
-        "_bucket", F.when(F.col("_hot"), time_bucket_id(ts, seconds)).otherwise(F.lit(0).cast("bigint"))
-    ).drop("_hot")
-
-
 def previous_row(
     df: DataFrame,
     keys: Sequence[str],
@@ -77,18 +42,14 @@ def previous_row(
     fields: Sequence[str],
     *,
     bucket: str = "_bucket",
-    single_bucket: bool = False,
     prefix: str = "prev_",
 ) -> DataFrame:
     """`lag` of `fields` per key, computed bucket by bucket.
 
     `order` columns must be non-null and the buckets must follow that order.
-    With `single_bucket` no key is cut and the plain window is used.
     """
     part = [*keys, bucket]
     within = Window.partitionBy(*part).orderBy(*order)
-    if single_bucket:
-        return df.select("*", *[F.lag(f).over(within).alias(prefix + f) for f in fields])
     payload = F.struct(*[F.col(f) for f in fields])
     marked = df.select(
         "*", F.lag(payload).over(within).alias("_lag"), F.row_number().over(within).alias("_rn")
@@ -219,18 +180,3 @@ def exact_quantiles(
             for out, p in probs.items()
         ],
     )
-
-
-def join_on_hot(left: DataFrame, right: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
-    """Inner join of a large table with one row per key in `right`.
-
-    Hot keys meet a broadcast of just their rows (at most MAX_HOT_KEYS);
-    all other keys take the ordinary join.
-    """
-    if hot is None:
-        return left.join(right, key)
-    flag = F.broadcast(hot.select(key))
-    few = right.join(flag, key, "left_semi")
-    heavy = left.join(F.broadcast(few), key)
-    rest = left.join(flag, key, "left_anti").join(right, key)
-    return heavy.unionByName(rest)
