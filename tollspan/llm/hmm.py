@@ -27,6 +27,7 @@ from tollspan.session import durable
 END = b""  # no word is empty
 SYMBOL = np.dtype("<u2")
 ENCODED = ("_row", "_symbols", "_rest", "_times")
+SCORED = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
 FREQUENT = 1 << 15
 STATES = 8
 ROUNDS = 5
@@ -290,7 +291,8 @@ def score(encoded: DataFrame, vocab: Vocabulary, p: Parameters) -> DataFrame:
 
     The base score adds log10((c + 1) / (N + V + 1)) over all tokens, with counts from the whole table. Words
     outside the frequent list are joined with the count table, each word once a document. Rows are told apart
-    by their own number, so null and repeated ids do no harm. An empty text is one token, the end.
+    by their own number, so null and repeated ids do no harm. An empty text is one token, the end. Columns of
+    the five names are replaced.
     """
     size = vocab.tokens + vocab.distinct + 1
     rare_size = int(vocab.symbol_counts[-1]) + vocab.distinct - len(vocab.words) + 1
@@ -325,11 +327,11 @@ def score(encoded: DataFrame, vocab: Vocabulary, p: Parameters) -> DataFrame:
         )
     )
     return (
-        encoded.drop(*ENCODED[1:])
+        encoded.drop(*ENCODED[1:], *SCORED)
         .join(first, "_row")
         .join(summed, "_row", "left")
         .select(
-            *[c for c in encoded.columns if c not in ENCODED],
+            *[F.col(f"`{c}`") for c in encoded.columns if c not in ENCODED and c.lower() not in SCORED],
             "n_tokens",
             (F.col("n_listed") + F.coalesce("n_rest_known", F.lit(0))).alias("n_known"),
             F.lit(vocab.tokens).cast("bigint").alias("train_tokens"),

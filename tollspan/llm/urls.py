@@ -174,9 +174,10 @@ def judge_urls(pages: DataFrame, url_col: str = "url", rules: Sequence[tuple[str
     taken = {"host", "path", "rule", "verdict", "listed"}
     plain = pages.select(*[c for c in pages.columns if c.lower() not in taken])
     parted = plain.withColumn("host", host_of(F.col(url_col))).withColumn("path", path_of(F.col(url_col)))
-    ruled = parted.withColumn("_rule", longest_rule(F.col("host"), F.col("path"), rules))
+    fit = free_name([*plain.columns, *taken], "_rule")
+    ruled = parted.withColumn(fit, longest_rule(F.col("host"), F.col("path"), rules))
     hosts = ruled.groupBy("host").agg(
-        F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("_rule.verdict") == "block", 1)).alias("blocked")
+        F.count(F.lit(1)).alias("n"), F.count(F.when(F.col(f"{fit}.verdict") == "block", 1)).alias("blocked")
     )
     if listed is None:
         keys = hosts.select(F.col("host").alias("key"), (BLOCKED_IN * F.col("blocked") >= F.col("n")).alias("listed"))
@@ -189,8 +190,8 @@ def judge_urls(pages: DataFrame, url_col: str = "url", rules: Sequence[tuple[str
         *plain.columns,
         "host",
         "path",
-        F.col("_rule.rule").alias("rule"),
-        F.coalesce("_rule.verdict", F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"),
+        F.col(f"{fit}.rule").alias("rule"),
+        F.coalesce(F.col(f"{fit}.verdict"), F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"),
         "listed",
     )
 
