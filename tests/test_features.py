@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -183,21 +185,48 @@ def stream_of(spark, folder):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
-def test_state_carries_over_batches(spark, in_files):
-    whole = spark.read.parquet(in_files)
-    got = streams.drain(streams.lane_change_stream(stream_of(spark, in_files)), "lanes")
+@pytest.fixture(scope="module")
+def late_files(spark, tmp_path_factory):
+    """Detections in six files; every fifth row comes a file late, but inside the delay of two hours."""
+    folder = str(tmp_path_factory.mktemp("late") / "t")
+    df = view(spark, "/root/testdata/sf0.001", "detections").withColumn("late", (F.col("event_id") % 5 == 0).cast("int"))
+    for h in range(7):
+        df.filter(F.floor(F.hour("ts") / 2) + F.col("late") == h).drop("late").coalesce(1).write.mode("append").parquet(folder)
+    return folder
+
+
+def passed(df, hours):
+    return df.filter(F.col("ts") <= df.agg(F.max("ts").alias("m")).first()["m"] - datetime.timedelta(hours=hours))
+
+
+DELAY = "150 minutes"
+
+
+def test_lane_changes_with_late_rows(spark, late_files):
+    whole = passed(spark.read.parquet(late_files), 2.5)
+    got = streams.drain(streams.lane_change_stream(stream_of(spark, late_files), delay=DELAY), "lanes")
     want = plate.plate_features(whole).select("plate", F.col("total_passes"), "lane_changes")
     assert rows(got.groupBy("plate").agg(F.sum("passes"), F.sum("lane_changes"))) == rows(want)
     assert got.count() > want.count()
 
 
-def test_headway_state_over_batches(spark, in_files):
-    whole = spark.read.parquet(in_files)
-    got = streams.drain(streams.headway_stream(stream_of(spark, in_files), keep_s=86_400), "headway")
-    want = trajectory.headways(whole).select("event_id", F.round("headway_s", 6))
+def test_headways_with_late_rows(spark, late_files):
+    whole = spark.read.parquet(late_files)
+    got = streams.drain(streams.headway_stream(stream_of(spark, late_files), delay=DELAY), "headway")
+    ids = passed(whole, 2.5).select("event_id")
+    want = trajectory.headways(whole).join(ids, "event_id").select("event_id", F.round("headway_s", 6))
     assert rows(got.select("event_id", F.round("headway_s", 6))) == rows(want)
 
 
+def test_trip_numbers_go_on_after_a_silence(spark, tmp_path):
+    data = [(1, "2024-01-01 10:00:00", 80.0, 1, "P1", "1", 1), (2, "2024-01-20 10:00:00", 80.0, 1, "P1", "1", 1),
+            (3, "2024-02-20 10:00:00", 80.0, 1, "P2", "1", 1)]
+    for row in data:
+        detections(spark, [row]).withColumn("km", F.lit(1.0)).coalesce(1).write.mode("append").parquet(str(tmp_path / "t"))
+    got = streams.drain(streams.trip_stream(stream_of(spark, str(tmp_path / "t"))), "trips")
+    assert rows(got.filter("plate = 'P1'").select("event_id", "trip_no")) == [(1, 1), (2, 2)]
+
+
 def test_flow_stream_equals_batch_on_closed_windows(spark, in_files):
     whole = spark.read.parquet(in_files)
     got = streams.drain(streams.flow_stream(stream_of(spark, in_files)), "flow").select("gantry", "interval_start", "class_label", "flow_count")

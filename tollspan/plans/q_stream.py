@@ -37,6 +37,11 @@ def _(spark, sf):
     return rounded(out.select("gantry", "interval_start", "class_label", "flow_count", "speed_mean"))
 
 
+def _settled(name: str) -> str:
+    """Rows that the final watermark, ten minutes before the last row, has passed."""
+    return f"epoch_us(ts) <= (SELECT (epoch_us(max(ts)) // 1000 - 600000) * 1000 FROM {name})"
+
+
 cte(
     "lead_vehicle",
     """SELECT *, date_diff('microsecond', lag(ts) OVER w, ts) / 1000000.0::DOUBLE AS headway_s, lag(speed_kmh) OVER w AS prev_speed
@@ -47,7 +52,8 @@ FROM detections WINDOW w AS (PARTITION BY gantry, lane ORDER BY ts, plate, event
 
 @query(
     "SS03_headway_stream",
-    """SELECT event_id, plate, gantry, lane, r4(headway_s) AS headway_s, r4(prev_speed) AS prev_speed FROM lead_vehicle WHERE headway_s IS NOT NULL""",
+    f"""SELECT event_id, plate, gantry, lane, r4(headway_s) AS headway_s, r4(prev_speed) AS prev_speed FROM lead_vehicle
+    WHERE headway_s IS NOT NULL AND {_settled("detections")}""",
     "lead_vehicle",
 )
 def _(spark, sf):
@@ -57,7 +63,8 @@ def _(spark, sf):
 
 @query(
     "SS03_conflict_stream",
-    "SELECT plate, r4(avg(conflict)) AS conflict_rate, count(conflict) AS conflict_count FROM follow_det GROUP BY 1 HAVING count(conflict) > 0",
+    f"""SELECT plate, r4(avg(conflict)) AS conflict_rate, count(conflict) AS conflict_count FROM follow_det
+    WHERE {_settled("detections")} GROUP BY 1 HAVING count(conflict) > 0""",
     "follow_det",
 )
 def _(spark, sf):
@@ -71,7 +78,8 @@ def _(spark, sf):
 
 @query(
     "SS04_lane_change_stream",
-    "SELECT plate, count(*) AS passes, CAST(sum(lane_change) AS BIGINT) AS lane_changes FROM follow_det GROUP BY 1",
+    f"""SELECT plate, count(*) AS passes, CAST(sum(lane_change) AS BIGINT) AS lane_changes FROM follow_det
+    WHERE {_settled("detections")} GROUP BY 1""",
     "follow_det",
 )
 def _(spark, sf):
@@ -91,7 +99,7 @@ def _(spark, sf):
     return streams.drain(streams.session_stream(stream_view(spark, sf, "detections"), "20 minutes"), "sessions")
 
 
-@query("SS05_trip_stream", "SELECT event_id, plate, trip_no, brk AS trip_break FROM traj", "traj")
+@query("SS05_trip_stream", f"SELECT event_id, plate, trip_no, brk AS trip_break FROM traj WHERE {_settled('traj')}", "traj")
 def _(spark, sf):
     from tollspan.plans.views import view
 

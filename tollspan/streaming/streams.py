@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -84,42 +85,61 @@ def flow_stream(
 TIMEOUT = GroupStateTimeout.EventTimeTimeout
 
 
-def _rows_in_order(parts: Iterator[pd.DataFrame], state: GroupState, order: list[str], keep_ms: int) -> pd.DataFrame:
-    """Rows of a key in a batch, in time order; forgets a key that stayed silent."""
+def _settled(parts: Iterator[pd.DataFrame], state: GroupState, order: list[str]) -> tuple[pd.DataFrame, list | None]:
+    """Rows of a key that the watermark has passed, in time order, and what the key carries from earlier rows.
+
+    No row can come before them any more, so rows that arrive late but within the delay take their right place.
+    The others wait in the state; the key is called again when the watermark reaches the first of them. What a
+    key carries is kept for good, however long it stays silent.
+    """
+    carried, waiting = json.loads(state.get[0]) if state.exists else (None, None)
     rows = list(parts)
-    if state.hasTimedOut:
-        state.remove()
-        return pd.DataFrame()
+    if waiting:
+        rows.append(pd.DataFrame(waiting))
     if not rows:
-        return pd.DataFrame()
-    out = pd.concat(rows).sort_values(order)
-    state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, int(out["us"].max() // 1000)) + keep_ms)
-    return out
+        return pd.DataFrame(), carried
+    every = pd.concat(rows, ignore_index=True).sort_values(order, ignore_index=True)
+    mark = state.getCurrentWatermarkMs()
+    ready = every["us"] <= mark * 1000
+    later = every[~ready]
+    if len(later):
+        state.setTimeoutTimestamp(max(mark + 1, int(later["us"].iloc[0]) // 1000 + 1))
+    _keep(state, carried, later)
+    return every[ready].reset_index(drop=True), carried
+
+
+def _keep(state: GroupState, carried: list | None, later: pd.DataFrame | None = None) -> None:
+    """Write what a key carries, and the rows that wait unless they stay as they are."""
+    waiting = json.loads(state.get[0])[1] if later is None else json.loads(later.to_json(orient="records"))
+    state.update((json.dumps([carried, waiting]),))
+
+
+STATE = "kept string"
 
 
-def headway_stream(df: DataFrame, delay: str = "10 minutes", keep_s: int = 3600) -> DataFrame:
-    """Gap and speed of the vehicle before at each gantry and lane, carried as state."""
+def headway_stream(df: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """Gap and speed of the vehicle before at each gantry and lane, once the watermark has passed a row."""
 
     def follow(key, parts, state: GroupState):
-        out = _rows_in_order(parts, state, ["us", "plate", "event_id"], keep_s * 1000)
+        out, last = _settled(parts, state, ["us", "plate", "event_id"])
         if len(out):
-            last = state.get if state.exists else (None, None)
-            out["prev_us"] = out["us"].shift().fillna(last[0] if last[0] is not None else float("nan"))
-            out["prev_speed"] = out["speed_kmh"].shift().fillna(last[1] if last[1] is not None else float("nan"))
+            before = last or [None, None]
+            out["prev_us"] = out["us"].shift().fillna(float("nan") if before[0] is None else before[0])
+            out["prev_speed"] = out["speed_kmh"].shift()
+            out.loc[0, "prev_speed"] = float("nan") if before[1] is None else before[1]
             out["headway_s"] = (out["us"] - out["prev_us"]) / 1e6
-            state.update((int(out["us"].iloc[-1]), float(out["speed_kmh"].iloc[-1])))
-            out = out[out["headway_s"].notna()]
+            speed = out["speed_kmh"].iloc[-1]
+            _keep(state, [int(out["us"].iloc[-1]), None if pd.isna(speed) else float(speed)])
+            out = out[out["headway_s"].notna()].assign(gantry=key[0], lane=key[1])
             yield out[["event_id", "plate", "gantry", "lane", "speed_kmh", "headway_s", "prev_speed"]]
 
     rows = df.withColumn("us", micros("ts")).filter(F.col("gantry").isNotNull() & F.col("lane").isNotNull())
     rows = event_time(rows, delay=delay).select("event_id", "plate", "gantry", "lane", "speed_kmh", "us", "event_at")
     return rows.groupBy("gantry", "lane").applyInPandasWithState(
-        follow,
+        lambda key, parts, state: follow(key, (p.drop(columns=["event_at", "gantry", "lane"]) for p in parts), state),
         "event_id bigint, plate string, gantry string, lane int, speed_kmh double, headway_s double, prev_speed double",
-        "last_us bigint, last_speed double",
-        "append",
-        TIMEOUT,
-    )
+        STATE, "append", TIMEOUT,
+    )
 
 
 def conflict_columns(headways: DataFrame, max_headway_s: float = 60.0) -> DataFrame:
@@ -131,22 +151,22 @@ def conflict_columns(headways: DataFrame, max_headway_s: float = 60.0) -> DataFr
     return headways.filter(ok).withColumn("conflict", hit)
 
 
-def lane_change_stream(df: DataFrame, delay: str = "10 minutes", keep_s: int = 30 * 86_400) -> DataFrame:
-    """Passes and lane changes each batch adds to a plate, its last lane carried as state."""
+def lane_change_stream(df: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """Passes and lane changes that the rows passed by the watermark add to a plate, its last lane carried as state."""
 
     def count(key, parts, state: GroupState):
-        out = _rows_in_order(parts, state, ["us", "gantry", "event_id"], keep_s * 1000)
+        out, last = _settled((p.drop(columns=["event_at", "plate"]) for p in parts), state, ["us", "gantry", "event_id"])
         if len(out):
             before = out["lane"].shift()
-            if state.exists:
-                before.iloc[0] = state.get[0]
-            state.update((int(out["lane"].iloc[-1]),))
+            if last is not None:
+                before.iloc[0] = last[0]
+            _keep(state, [int(out["lane"].iloc[-1])])
             n = int(((out["lane"] != before) & before.notna()).sum())
             yield pd.DataFrame({"plate": [key[0]], "passes": [len(out)], "lane_changes": [n]})
 
     rows = event_time(df.withColumn("us", micros("ts")), delay=delay).select("event_id", "plate", "gantry", "lane", "us", "event_at")
     return rows.groupBy("plate").applyInPandasWithState(
-        count, "plate string, passes bigint, lane_changes bigint", "lane int", "append", TIMEOUT
+        count, "plate string, passes bigint, lane_changes bigint", STATE, "append", TIMEOUT
     )
 
 
@@ -160,14 +180,16 @@ def session_stream(df: DataFrame, gap: str = "1 hour", delay: str = "10 minutes"
     )
 
 
-def trip_stream(df: DataFrame, delay: str = "10 minutes", keep_s: int = 7 * 86_400) -> DataFrame:
-    """Trips by all rules; `df` carries `km`. State: last time, km, direction and trip number."""
+def trip_stream(df: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """Trips by all rules, once the watermark has passed a row; `df` carries `km`.
+
+    A key carries its last time, km, direction and trip number, so numbers go on after any silence.
+    """
 
     def cut(key, parts, state: GroupState):
-        out = _rows_in_order(parts, state, ["us", "gantry"], keep_s * 1000)
+        out, last = _settled((p.drop(columns=["event_at", "plate"]) for p in parts), state, ["us", "gantry"])
         if not len(out):
             return
-        last = state.get if state.exists else None
         gap, step = out["us"].diff() / 1e6, out["km"].diff()
         if last is not None:
             gap.iloc[0], step.iloc[0] = (out["us"].iloc[0] - last[0]) / 1e6, out["km"].iloc[0] - last[1]
@@ -186,16 +208,15 @@ def trip_stream(df: DataFrame, delay: str = "10 minutes", keep_s: int = 7 * 86_4
             | ((sign != before) & before.notna() & (sign != 0) & (before != 0))
         )
         number = ends.cumsum() + (last[3] if last is not None else 0)
-        state.update((int(out["us"].iloc[-1]), float(out["km"].iloc[-1]), int(sign.iloc[-1]), int(number.iloc[-1])))
+        _keep(state, [int(out["us"].iloc[-1]), float(out["km"].iloc[-1]), int(sign.iloc[-1]), int(number.iloc[-1])])
         yield pd.DataFrame(
             {"event_id": out["event_id"], "plate": key[0], "trip_no": number.astype("int64"), "trip_break": ends}
         )
 
     rows = event_time(df.withColumn("us", micros("ts")), delay=delay).select("event_id", "plate", "gantry", "km", "us", "event_at")
     return rows.groupBy("plate").applyInPandasWithState(
-        cut, "event_id bigint, plate string, trip_no bigint, trip_break boolean",
-        "last_us bigint, last_km double, last_sign int, trip_no bigint", "append", TIMEOUT,
-    )
+        cut, "event_id bigint, plate string, trip_no bigint, trip_break boolean", STATE, "append", TIMEOUT
+    )
 
 
 # ---- ingest, dedupe, results -----------------------------------------------------------------
