@@ -94,8 +94,13 @@ def trajectory_input(df: DataFrame, catalogue: DataFrame, max_speed: float = 200
         F.col("plate").isNotNull() & F.col("ts").isNotNull() & F.col("speed_kmh").between(0, max_speed)
     )
     out = drop_duplicates_keep(out, ["plate", "gantry", "ts"], ["speed_kmh", "lane", "event_id"])
+    return attach_posts(out, catalogue)
+
+
+def attach_posts(df: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """Rows of catalogue gantries with the place of the post; of several posts with one code, the first in order."""
     posts = drop_duplicates_keep(catalogue, ["gantry"], ["seq"])
-    return out.join(posts.select("gantry", "km", "carriageway", "seq", "axis"), "gantry")
+    return df.join(posts.select("gantry", "km", "carriageway", "seq", "axis"), "gantry")
 
 
 def gantries_between(catalogue: DataFrame, axis: str, way: str, first: str, last: str) -> DataFrame:

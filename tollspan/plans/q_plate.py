@@ -120,8 +120,8 @@ behaviour_ctes("detections_long", "_long")
     "detections",
 )
 def _(spark, sf):
-    out = view(spark, sf, "detections").groupBy("plate")
-    return rounded(out.agg(F.count(F.lit(1)).alias("total_passes"), F.avg("speed_kmh").alias("avg_speed_kmh")))
+    out = plate.plate_features(view(spark, sf, "detections"), include_counts=True)
+    return rounded(out.select("plate", "total_passes", "avg_speed_kmh"))
 
 
 @query(
@@ -130,8 +130,8 @@ def _(spark, sf):
     "detections",
 )
 def _(spark, sf):
-    share = [(F.count_if(F.col("lane") == k) / F.count(F.lit(1))).alias(f"lane_prop_{k}") for k in (1, 2, 3)]
-    return rounded(view(spark, sf, "detections").groupBy("plate").agg(*share))
+    out = plate.plate_features(view(spark, sf, "detections"), include_counts=True)
+    return rounded(out.select("plate", *[f"lane_prop_{k}" for k in (1, 2, 3)]))
 
 
 def _follow(spark, sf):

@@ -668,8 +668,7 @@ def _(spark, sf):
     "detections gantries",
 )
 def _(spark, sf):
-    posts = gantries(spark, sf).select("gantry", "km", "axis", "carriageway", "seq")
-    return view(spark, sf, "detections").select("event_id", "gantry").join(posts, "gantry")
+    return clean.attach_posts(view(spark, sf, "detections").select("event_id", "gantry"), gantries(spark, sf))
 
 
 @query(
