@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark.errors import IllegalArgumentException
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA
@@ -242,9 +243,10 @@ def _shape_covariances(s0, s1, s2, kind: str, floor: float) -> np.ndarray:
 
 
 def fit_mixture(
-    scaled: DataFrame, k: int, kind: str = "full", max_iter: int = 100, tol: float = 1e-3, seed: int = 42, floor: float = 1e-6
-) -> Mixture:
-    """Expectation-maximisation for any covariance kind.
+    scaled: DataFrame, k: int, kind: str = "full", max_iter: int = 200, tol: float = 1e-3, seed: int = 42, floor: float = 1e-6,
+    restarts: int = 1,
+) -> Mixture:
+    """Expectation-maximisation for any covariance kind; of several starts, the likeliest.
 
     Each task reduces its rows to weighted sums, Spark adds them up, and only those
     k * (1 + d + d^2) numbers reach the driver.
@@ -252,6 +254,12 @@ def fit_mixture(
     if kind not in ("full", "tied", "diag", "spherical"):
         raise ValueError(f"unknown covariance kind {kind!r}")
     data = scaled.select("x").persist()
+    found = [_fit_once(data, k, kind, max_iter, tol, seed + i, floor) for i in range(max(1, restarts))]
+    data.unpersist()
+    return max(found, key=lambda m: m.log_likelihood)
+
+
+def _fit_once(data: DataFrame, k: int, kind: str, max_iter: int, tol: float, seed: int, floor: float) -> Mixture:
     means = fit_kmeans(data, k, restarts=1, seed=seed)
     d = means.shape[1]
     var = np.array(data.agg(*[F.var_pop(F.col("x")[j]) for j in range(d)]).first(), dtype=float)
@@ -268,7 +276,6 @@ def fit_mixture(
         if done:
             break
     last = _weighted_sums(data, m)
-    data.unpersist()
     return _ordered(m.weights, m.means, m.covariances, kind, float(last[-2]), int(round(last[-1])))
 
 
@@ -329,12 +336,14 @@ def mixture_labels(
     return a.unionByName(b).withColumnRenamed("max_prob", "confidence_score").drop("x")
 
 
-def sweep_mixture(scaled: DataFrame, ks: Sequence[int], kinds: Sequence[str] = ("full",), seed: int = 42) -> DataFrame:
-    """Log-likelihood, BIC and AIC per K and covariance kind."""
+def sweep_mixture(
+    scaled: DataFrame, ks: Sequence[int], kinds: Sequence[str] = ("full",), seed: int = 42, restarts: int = 3
+) -> DataFrame:
+    """Log-likelihood, BIC and AIC per K and covariance kind, of the likeliest of several starts."""
     rows = []
     for kind in kinds:
         for k in ks:
-            m = fit_mixture(scaled, k, kind, seed=seed)
+            m = fit_mixture(scaled, k, kind, seed=seed, restarts=restarts)
             rows.append((kind, k, m.log_likelihood, m.n_parameters, m.bic, m.aic))
     return scaled.sparkSession.createDataFrame(
         rows, "kind string, k int, log_likelihood double, n_parameters int, bic double, aic double"
@@ -376,12 +385,26 @@ def principal_plane(scaled: DataFrame, keep: Sequence[str]) -> DataFrame:
 
 def optimal_k(plates: DataFrame, features: Sequence[str], ks: Sequence[int], method: str = "kmeans", **kw) -> DataFrame:
     """K that leaves out the smallest share of rare plates, then the smallest K."""
-    out = None
+    rows = k_coverage(plates, features, ks, method, **kw)
+    return rows.filter("error IS NULL").drop("error").orderBy("rare_excluded_pct", "k").limit(1)
+
+
+def k_coverage(plates: DataFrame, features: Sequence[str], ks: Sequence[int], method: str = "kmeans", **kw) -> DataFrame:
+    """Coverage for each K; a K that cannot be fitted (too few plates for it) is a row with its error."""
+    spark = plates.sparkSession
+    out, failed = None, []
     for k in ks:
-        labels = (kmeans_labels if method == "kmeans" else mixture_labels)(plates, features, k, **kw)
-        row = assignment_coverage(labels).withColumn("k", F.lit(k))
+        try:
+            labels = (kmeans_labels if method == "kmeans" else mixture_labels)(plates, features, k, **kw)
+        except (ValueError, IllegalArgumentException) as e:
+            failed.append((k, str(e)))
+            continue
+        row = assignment_coverage(labels).withColumns({"k": F.lit(k), "error": F.lit(None).cast("string")})
         out = row if out is None else out.unionByName(row)
-    return out.orderBy("rare_excluded_pct", "k").limit(1)
+    if not failed:
+        return out
+    errors = spark.createDataFrame(failed, "k int, error string")
+    return errors if out is None else out.unionByName(errors, allowMissingColumns=True)
 
 
 def fit_all(plates: DataFrame, features: Sequence[str], k: int, method: str = "kmeans", restarts: int = 10, seed: int = 42) -> DataFrame:
