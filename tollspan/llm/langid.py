@@ -101,20 +101,23 @@ class Model:
         return lang, float(np.prod([1 / (1 + np.exp(-4.0 * np.clip(m, -9, 9))) for m in (first, second)]))
 
 
-def _machine(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4, rounds: int = 150) -> tuple[np.ndarray, float]:
-    """Linear machine with squared hinge loss, by accelerated gradient steps; classes weigh the same."""
+def _machine(grams: list[np.ndarray], shares: list[np.ndarray], y: np.ndarray, ridge: float = 1e-4, rounds: int = 150) -> tuple[np.ndarray, float]:
+    """Linear machine with squared hinge loss over sparse rows, by accelerated gradient steps; classes weigh the same."""
+    sizes = np.array([len(g) for g in grams])
+    starts = np.cumsum(sizes) - sizes
+    at, value = np.concatenate(grams), SCALE * np.concatenate(shares)
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    w, b = np.zeros(x.shape[1], np.float32), 0.0
+    w, b = np.zeros(1 << BITS), 0.0
     look_w, look_b, t = w, b, 1.0
-    rate = 1.0 / (2 * float((x * x).sum(1).max(initial=1e-9)) + 2.0)
+    rate = 1.0 / (2 * float(np.add.reduceat(value * value, starts).max()) + 2.0)
     for _ in range(rounds):
-        slack = np.maximum(0, 1 - y * (x @ look_w + look_b)) * weight * y
-        new_w = look_w + rate * (2 * (x.T @ slack.astype(np.float32)) - 2 * ridge * look_w)
+        slack = np.maximum(0, 1 - y * (np.add.reduceat(look_w[at] * value, starts) + look_b)) * weight * y
+        new_w = look_w + rate * 2 * (np.bincount(at, weights=value * np.repeat(slack, sizes), minlength=1 << BITS) - ridge * look_w)
         new_b = look_b + rate * 2 * slack.sum()
         nxt = (1 + np.sqrt(1 + 4 * t * t)) / 2
         look_w, look_b = new_w + (t - 1) / nxt * (new_w - w), new_b + (t - 1) / nxt * (new_b - b)
-        w, b, t = new_w.astype(np.float32), new_b, nxt
-    return w, float(b)
+        w, b, t = new_w, new_b, nxt
+    return w.astype(np.float32), float(b)
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id",
@@ -141,12 +144,10 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
                     out.append((lang, met.tolist(), (counts[met] / counts.sum()).tolist()))
             yield pd.DataFrame(out, columns=["lang", "grams", "shares"])
 
-    rows = few.select(lang_col, text_col).mapInPandas(count, "lang string, grams array<int>, shares array<double>").toPandas()
+    rows = few.select(lang_col, text_col).mapInPandas(count, "lang string, grams array<int>, shares array<float>").toPandas()
     if rows.empty:
         return Model()
-    x = np.zeros((len(rows), 1 << BITS), np.float32)
-    for i, (grams, shares) in enumerate(zip(rows["grams"], rows["shares"], strict=True)):
-        x[i, np.asarray(grams)] = SCALE * np.asarray(shares)
+    grams, shares = [np.asarray(g, np.int32) for g in rows["grams"]], [np.asarray(v, np.float32) for v in rows["shares"]]
     lang = rows["lang"].to_numpy()
     family = np.array([family_of(c) for c in lang])
     langs, families = sorted(set(lang)), sorted(set(family))
@@ -155,8 +156,8 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
         duels += [(a, b, lang) for a, b in combinations([c for c in langs if family_of(c) == f], 2)]
     weights, bias, column = [], [], {}
     for a, b, of in duels:
-        part = (of == a) | (of == b)
-        w, c = _machine(x[part], np.where(of[part] == a, 1.0, -1.0))
+        part = np.flatnonzero((of == a) | (of == b))
+        w, c = _machine([grams[i] for i in part], [shares[i] for i in part], np.where(of[part] == a, 1.0, -1.0))
         column[a, b] = len(bias)
         weights.append(w)
         bias.append(c)
