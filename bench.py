@@ -25,6 +25,10 @@ HEADLINE = {
     "roc_auc": "ML21_roc_auc",
     "batch_rollup": "AG11_batch_rollup",
     "parse_detections": "SRC01_parse_detections",
+    "snap_to_roads": "JN10_nearest_road_point",
+    "column_profile": "AG27_column_profile",
+    "oversampling": "ML16_smote",
+    "headway_stream": "SS03_headway_stream",
 }
 
 
