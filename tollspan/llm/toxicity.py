@@ -25,10 +25,11 @@ SAMPLE_DOCS = 3000
 WINDOW_WORDS = 12
 TOXIC_BYTES, ORDINARY_BYTES = 1024, 1 << 16
 #: A beginning counts as toxic from this share of the toxic documents and this log odds on.
-LEAST_SHARE, LEAST_ODDS = 0.02, 3.0
+LEAST_SHARE, LEAST_ODDS = 0.03, 3.0
 SHORTEST, LONGEST = 4, 12
 _EDGES = b".,;:!?()[]\"'"
 _TOP = 12.0
+FEATURES = 7
 
 
 def text_windows(text: str | None) -> list[bytes]:
@@ -41,26 +42,33 @@ def _beginnings(word: bytes) -> list[bytes]:
     return [word[:n] for n in range(SHORTEST, min(len(word), LONGEST) + 1)]
 
 
-def _document_counts(texts: list[str]) -> Counter:
-    counts: Counter = Counter()
+def _counts(texts: list[str]) -> tuple[Counter, Counter]:
+    """How often each beginning occurs, and in how many texts."""
+    times, holders = Counter(), Counter()
     for text in texts:
-        counts.update({b for word in {w.strip(_EDGES) for w in words_of(text)} for b in _beginnings(word)})
-    return counts
+        own = Counter(w.strip(_EDGES) for w in words_of(text))
+        found: Counter = Counter()
+        for word, n in own.items():
+            for b in _beginnings(word):
+                found[b] += n
+        times.update(found)
+        holders.update(found.keys())
+    return times, holders
 
 
 def toxic_dictionary(toxic: list[str], ordinary: list[str], size: int) -> bytes:
     """The beginnings of words that set toxic documents apart, each once, the weightiest last (and so nearest).
 
-    Every word of a toxic document stands for its weightiest beginning; a beginning weighs as its number of
-    documents times its log odds.
+    Every word of a toxic document stands for its weightiest beginning. A beginning weighs as its number of
+    documents times the log odds of how often it occurs in a toxic and in an ordinary one.
     """
-    mine, theirs = _document_counts(toxic), _document_counts(ordinary)
+    (mine, holders), (theirs, _) = _counts(toxic), _counts(ordinary)
 
     def odds(b: bytes) -> float:
         return math.log((mine[b] + 0.5) / (len(toxic) + 1)) - math.log((theirs[b] + 0.5) / (len(ordinary) + 1))
 
     least = max(3, LEAST_SHARE * len(toxic))
-    weight = {b: n * odds(b) for b, n in mine.items() if n >= least and odds(b) >= LEAST_ODDS}
+    weight = {b: n * odds(b) for b, n in holders.items() if n >= least and odds(b) >= LEAST_ODDS}
     stands: Counter = Counter()
     for text in toxic:
         met = set()
@@ -69,12 +77,16 @@ def toxic_dictionary(toxic: list[str], ordinary: list[str], size: int) -> bytes:
             if telling:
                 met.add(max(telling, key=lambda b: (weight[b], len(b))))
         stands.update(met)
+    stems = sorted((b for b, n in stands.items() if n >= least), key=lambda b: (-weight[b], b))
+    # longer beginnings with such a stem save more bytes where they fit
+    longer = {b for b, n in holders.items() if n >= least / 3 and b not in stands and any(b[:k] in stands for k in range(SHORTEST, len(b)))}
     content = b" "
-    for b in sorted((b for b, n in stands.items() if n >= least), key=lambda b: (-weight[b], b)):
-        if len(content) + len(b) + 1 > size:
+    for b in [*stems, *sorted(longer, key=lambda b: (-holders[b] * len(b), b))]:
+        if b" " + b not in content:
+            content = b" " + b + content
+        if len(content) > size:
             break
-        content = b" " + b + content
-    return content
+    return content[-size:]
 
 
 def _dictionary(samples: list[bytes], size: int, k: int, d: int) -> bytes:
@@ -97,14 +109,15 @@ class Model:
         return 1 / (1 + np.exp(-(features @ self.weights[:-1] + self.weights[-1])))
 
     def gains(self, text: str | None) -> list[float]:
-        """The three largest gains in bytes, the gain of all windows from 3 bytes on, and how many windows there are."""
+        """Of the bytes gained by window: the three largest, the sum of those from 3 on, the mean and the share from 1 on."""
         if not hasattr(self, "_compressors"):
             self._compressors = _compressor(self.ordinary), _compressor(self.toxic + self.ordinary)
         plain, toxic = self._compressors
         found = sorted((len(plain(w)) - len(toxic(w)) for w in text_windows(text)), reverse=True)
+        n = max(1, len(found))
         top = [min(max(g, 0), _TOP) for g in (*found[:3], 0, 0, 0)][:3]
-        clear = sum(g for g in found if g >= 3)
-        return [*top, math.log1p(clear), math.log1p(len(found))]
+        clear = math.log1p(sum(g for g in found if g >= 3))
+        return [*top, clear, min(sum(found) / n, _TOP), sum(g > 0 for g in found) / n, math.log1p(len(found))]
 
     def __getstate__(self) -> tuple:
         return self.toxic, self.ordinary, self.weights
@@ -170,7 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     model = Model(
         toxic_dictionary(parts[True][: cut[True]], parts[False][: cut[False]], TOXIC_BYTES),
         _dictionary(ordinary[::stride], ORDINARY_BYTES, 200, 8),
-        np.zeros(6),
+        np.zeros(FEATURES + 1),
     )
     rest = {y: p[cut[y] :] for y, p in parts.items()}
     x = np.array([model.gains(t) for y in (True, False) for t in rest[y]])
