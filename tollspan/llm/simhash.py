@@ -106,11 +106,11 @@ def near_duplicate_classes(
     nodes = durable(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     labels = components(near_links(nodes, radius))
     named = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left")
-    whole = named.filter("label is not null").groupBy("label").agg(F.min("first_id").alias("component_id"))
-    classes = (
-        named.join(whole, "label", "left")
-        .select("fp", F.when(F.col("label").isNull(), F.col("first_id")).otherwise(F.col("component_id")).alias("component_id"))
-    )
+    linked = named.filter("label IS NOT NULL")
+    whole = linked.groupBy("label").agg(F.min("first_id").alias("component_id"))
+    # fingerprints without a link stay out of the join by label, where they would all be one null key
+    alone = named.filter("label IS NULL").select("fp", F.col("first_id").alias("component_id"))
+    classes = linked.join(whole, "label").select("fp", "component_id").unionByName(alone)
     return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
