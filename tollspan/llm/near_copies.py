@@ -79,7 +79,7 @@ def near_copy_classes(
             every = shingle_hashes(text, shingle)
             one = np.unique(every)
             short = np.unique((one >> np.uint64(32)).astype(np.uint32)).view(np.int32)
-            rows.append((simhash(every), part_keys(one, similarity), short.tolist()))
+            rows.append((simhash(every), np.array(part_keys(one, similarity), np.int64), short))  # arrays: lists take ten times the room
         return pd.DataFrame(rows, columns=["fp", "keys", "hashes"])
 
     # a map over the rows: copies of a text are worked out again, but no text is shuffled for it
