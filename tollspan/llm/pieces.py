@@ -9,8 +9,9 @@ decoding gives the text back exactly.
 from __future__ import annotations
 
 import re
+import string
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -22,7 +23,7 @@ from tollspan.llm.common import table
 BLANK = "▁"
 #: How far a byte written for an uncovered character lies below the lowest score.
 PENALTY = 10.0
-KEPT_SEGMENTS = 400_000
+KEPT_SEGMENTS = 200_000
 _ID = np.dtype("<u4")
 
 
@@ -32,53 +33,58 @@ class Pieces:
     def __init__(self, path: str | None = None, pieces: list[tuple[str, float, int]] | None = None,
                  byte_ids: list[int] | None = None) -> None:
         """From a model file, or from (piece, score, id) and the ids of the 256 byte pieces."""
-        import ahocorasick
-
         if path:
             pieces, byte_ids = _read(path)
-        self.byte_ids = byte_ids
+        self.pieces, self.byte_ids = pieces, byte_ids
         self.lowest = min(score for _, score, _ in pieces) - PENALTY
-        self.words = ahocorasick.Automaton()
         self.raw: dict[int, bytes] = {i: bytes([b]) for b, i in enumerate(byte_ids)}
-        for piece, score, i in pieces:
-            self.words.add_word(piece, (len(piece), score, i))
-            self.raw[i] = piece.replace(BLANK, " ").encode()
-        self.words.make_automaton()
-        # where no piece has a blank behind another character, segments that begin with blanks are independent
-        crossing = any(BLANK in piece.lstrip(BLANK) for piece, _, _ in pieces)
-        self.segments = re.compile("(?s).+" if crossing else f"(?s){BLANK}+[^{BLANK}]*|[^{BLANK}]+")
+        self.raw.update((i, piece.replace(BLANK, " ").encode()) for piece, _, i in pieces)
+        # a character that no piece has behind another one opens a segment that is independent of what is before
+        behind = {b for piece, _, _ in pieces for a, b in zip(piece, piece[1:], strict=False) if a != b}
+        opening = [c for c in BLANK + string.punctuation + "\n\r\t" if c not in behind]
+        others = "".join(map(re.escape, opening))
+        runs = "|".join(f"{re.escape(c)}+" for c in opening)
+        self.segments = re.compile(f"(?s)(?:{runs})[^{others}]*|[^{others}]+" if opening else "(?s).+")
         self.known: dict[str, tuple[bytes, float]] = {}
 
+    @cached_property
+    def words(self):
+        """The automaton, built where texts are encoded; decoding does without."""
+        import ahocorasick
+
+        words = ahocorasick.Automaton()
+        for piece, score, i in self.pieces:
+            words.add_word(piece, (len(piece), score, i))
+        words.make_automaton()
+        return words
+
     def best(self, segment: str) -> tuple[bytes, float]:
         """Ids and score of the best way to cut a segment; of equal ways, the one with the longer last piece."""
-        n = len(segment)
+        n, lowest = len(segment), self.lowest
         score = [0.0] + [-np.inf] * n
-        back: list[tuple[int, int]] = [(0, -1)] * (n + 1)
-        settled = 0  # positions up to here may be left by a piece
-
-        def settle(to: int) -> None:
-            nonlocal settled
-            for at in range(settled + 1, to + 1):
-                if score[at - 1] + self.lowest > score[at]:
-                    score[at], back[at] = score[at - 1] + self.lowest, (at - 1, -1)
-            settled = max(settled, to)
-
-        for end, (length, gain, i) in self.words.iter(segment):
-            start = end + 1 - length
-            settle(start)
-            total = score[start] + gain
-            if total > score[end + 1] or total == score[end + 1] and start < back[end + 1][0]:
-                score[end + 1], back[end + 1] = total, (start, i)
-        settle(n)
+        start, piece = [0] * (n + 1), [-1] * (n + 1)
+        settled = 0  # no piece that is still to come ends at or before this position
+        for last, (length, gain, i) in self.words.iter(segment):
+            while settled < last:
+                settled += 1
+                if score[settled - 1] + lowest > score[settled]:
+                    score[settled], start[settled], piece[settled] = score[settled - 1] + lowest, settled - 1, -1
+            end = last + 1
+            total = score[end - length] + gain
+            if total > score[end]:  # of the pieces that end here, the longest comes first
+                score[end], start[end], piece[end] = total, end - length, i
+        while settled < n:
+            settled += 1
+            if score[settled - 1] + lowest > score[settled]:
+                score[settled], start[settled], piece[settled] = score[settled - 1] + lowest, settled - 1, -1
         ids: list[int] = []
         at = n
         while at:
-            start, i = back[at]
-            if i < 0:
-                ids += [self.byte_ids[b] for b in reversed(segment[start:at].encode("utf-8", "surrogatepass"))]
+            if piece[at] < 0:
+                ids += [self.byte_ids[b] for b in reversed(segment[at - 1].encode("utf-8", "surrogatepass"))]
             else:
-                ids.append(i)
-            at = start
+                ids.append(piece[at])
+            at = start[at]
         return np.array(ids[::-1], _ID).tobytes(), score[n]
 
     def encode(self, text: str) -> tuple[bytes, float]:
@@ -123,14 +129,20 @@ def _pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def encode(text: Column, path: str) -> Column:
-    """Struct `ids` (binary, little-endian 32-bit numbers) and `score` of whole texts; a null text is empty."""
+def encode(text: Column, path: str, *, back: bool = False) -> Column:
+    """Struct `ids` (binary, little-endian 32-bit numbers) and `score` of whole texts; a null text is empty.
+
+    With `back`, a third field is the text decoded from the ids, by the same worker.
+    """
 
-    @F.pandas_udf("ids binary, score double")
+    @F.pandas_udf("ids binary, score double" + ", back string" * back)
     def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         pieces = _pieces(path)
         for texts in batches:
-            yield pd.DataFrame([pieces.encode(t or "") for t in texts], columns=["ids", "score"])
+            frame = pd.DataFrame([pieces.encode(t or "") for t in texts], columns=["ids", "score"])
+            if back:
+                frame["back"] = pd.Series([pieces.decode(i) for i in frame["ids"]], dtype=object)
+            yield frame
 
     return encoded(text)
 
@@ -153,12 +165,12 @@ def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("piece_bpe_32k.model")
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    found = docs.withColumn("e", encode(F.col("text"), path)).withColumn("back", decode(F.col("e.ids"), path))
+    found = docs.withColumn("e", encode(F.col("text"), path, back=True))
     return found.select(
         "doc_id",
         (F.octet_length("e.ids") / 4).cast("bigint").alias("n_tokens"),
         F.crc32("e.ids").alias("ids_crc32"),
         "e.score",
-        F.sha2("back", 256).alias("decoded_sha256"),
-        (F.col("back") == F.col("text")).alias("round_trip"),
+        F.sha2("e.back", 256).alias("decoded_sha256"),
+        (F.col("e.back") == F.col("text")).alias("round_trip"),
     )
