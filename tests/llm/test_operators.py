@@ -320,6 +320,32 @@ def test_near_copies_reach_the_similarity(spark):
     assert kept == set(first)
 
 
+def kept_by_brute_force(texts, similarity=0.8):
+    """First number of every group of texts whose five-word shingle sets reach the similarity."""
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
+    first = list(range(len(sets)))
+
+    def root(i):
+        while first[i] != i:
+            i = first[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        if root(i) != root(j) and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+            first[max(root(i), root(j))] = min(root(i), root(j))
+    return {root(i) for i in first}
+
+
+def test_near_copies_of_short_texts(spark):
+    rows = []
+    for k in range(5, 16):
+        for g in range(8):
+            base = prose(9000 + 100 * k + g, k)
+            rows += [base, base + " end", "start " + base]
+    kept = near_copies.drop_near_copies(spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string"))
+    assert {r["doc_id"] for r in kept.collect()} == kept_by_brute_force(rows)
+
+
 # ---- 7 ----------------------------------------------------------------------------------
 
 

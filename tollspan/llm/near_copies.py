@@ -36,15 +36,20 @@ def part_keys(shingles: np.ndarray, similarity: float) -> list[int]:
     """Fingerprints of a text's parts, each mixed with the number of parts and its own number.
 
     The number of parts is a power of two that grows with the text. Texts near a border take both powers, so
-    that any two texts whose sizes allow the similarity have one in common.
+    that any two texts whose sizes allow the similarity have one in common. Texts too short for two parts give
+    their first shingles, as many as a text of that size must look at to meet every other: no pair is missed.
     """
     n = len(shingles)
     keys = []
     for power in {max(0, int(np.log2(max(n * stretch / PART, 1)))) for stretch in (1.0, 1 / similarity)}:
+        if not power:
+            lead = shingles[: n - int(np.ceil(similarity * n - 1e-9)) + 1]
+            keys += (_mixed(lead, 0) * _MIX).view(np.int64).tolist()
+            continue
         count = 1 << power
         for salt in range(-(-PARTS // count)):
             mixed = _mixed(shingles, salt + 1)
-            of = (mixed >> np.uint64(64 - power)).astype(np.int64) if power else np.zeros(n, np.int64)
+            of = (mixed >> np.uint64(64 - power)).astype(np.int64)
             first = of < PARTS
             order = np.argsort(of[first], kind="stable")
             member, of = shingles[first][order], of[first][order]
@@ -56,10 +61,8 @@ def part_keys(shingles: np.ndarray, similarity: float) -> list[int]:
             sizes = np.diff(np.r_[starts, len(of)])
             prints = np.packbits(sums * 2 > sizes[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
             tag = np.uint64(power << 40 | salt << 20) + of[starts].astype(np.uint64)
-            usable = (sizes >= min(3, n)) if power else np.ones(len(sizes), bool)
+            usable = sizes >= min(3, n)
             keys += ((prints ^ _mixed(tag, 0)) * _MIX)[usable].view(np.int64).tolist()
-            if not power:
-                break
     return keys
 
 
