@@ -346,6 +346,23 @@ def test_near_copies_of_short_texts(spark):
     assert {r["doc_id"] for r in kept.collect()} == kept_by_brute_force(rows)
 
 
+def test_near_copy_keys_miss_few_pairs_of_any_length():
+    rng = np.random.default_rng(4)
+    missed = pairs = 0
+    for n in (1, 5, 9, 12, 18, 24, 30, 37, 60, 153, 306, 612):
+        for turn in range(300):
+            similarity = (0.8, 0.82, 0.85)[turn % 3]
+            m = int(rng.integers(n, int(n / similarity) + 1)) if turn % 2 else n
+            both = math.ceil((n + m) * similarity / (1 + similarity) - 1e-9)
+            if both > n:
+                continue
+            pool = rng.integers(0, 1 << 63, n + m - both, dtype=np.uint64) * np.uint64(2)
+            a, b = np.unique(pool[:n]), np.unique(np.r_[pool[:both], pool[n:]])
+            missed += not set(near_copies.part_keys(a, 0.8)) & set(near_copies.part_keys(b, 0.8))
+            pairs += 1
+    assert missed <= pairs / 500
+
+
 # ---- 7 ----------------------------------------------------------------------------------
 
 

@@ -1,14 +1,17 @@
-"""Near copies by word shingles at a given Jaccard similarity, found through SimHash fingerprints.
+"""Near copies by word shingles at a given Jaccard similarity, found through fingerprints of parts.
 
 One 64-bit fingerprint of a whole text tells copies apart only when they share almost all shingles: at a
 similarity of 0.8 about ten bits differ. So besides it, fingerprints of small random parts of the shingles are
 taken: a part that two texts have in common whole gives both the same fingerprint. Whole-text fingerprints are
 linked by the bit-count grid of `simhash`, those of parts where they are equal, and every candidate is then
-checked exactly on the shingle sets.
+checked exactly on the shingle sets. Short texts give single shingles instead of parts, which misses no pair.
 """
 
 from __future__ import annotations
 
+import math
+from functools import cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,9 +23,10 @@ from tollspan.llm.graph import components
 from tollspan.llm.simhash import near_links, shingle_hashes, simhash
 from tollspan.session import durable
 
-#: Shingles in a part, on average, and parts of a text that are fingerprinted. Two texts at similarity 0.8 share
-#: a given part with a chance of about exp(-0.222 * PART), and so at least one of PARTS but for 1 in 1,500.
-PART, PARTS = 6, 24
+#: Fewest shingles in a part, on average, and the factor between one class of sizes and the next.
+PART, STEP = 6, 1.25
+#: Pairs at the very similarity that may have no part in common; classes of fewer parts give single shingles.
+MISSED, LEAST_PARTS = 1 / 1500, 4
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -32,36 +36,52 @@ def _mixed(h: np.ndarray, salt: int) -> np.ndarray:
     return x * _MIX
 
 
+@cache
+def _parts(count: float, similarity: float) -> int:
+    """Parts to take so that a pair at the similarity misses one another in MISSED cases.
+
+    The two texts hold at most STEP * PART * (1 + similarity) * count shingles where they share no second
+    class. A part is of use when none of those they do not share is in it and three or more of the others are.
+    """
+    differ = STEP * PART * (1 - similarity) * count
+    both = STEP * PART * similarity
+    share = (1 - 1 / count) ** differ * (1 - math.exp(-both) * (1 + both + both * both / 2))
+    return math.ceil(math.log(MISSED) / math.log(1 - share))
+
+
 def part_keys(shingles: np.ndarray, similarity: float) -> list[int]:
-    """Fingerprints of a text's parts, each mixed with the number of parts and its own number.
+    """Fingerprints of a text's parts, each mixed with the class of the text's size and the part's number.
 
-    The number of parts is a power of two that grows with the text. Texts near a border take both powers, so
-    that any two texts whose sizes allow the similarity have one in common. Texts too short for two parts give
-    their first shingles, as many as a text of that size must look at to meet every other: no pair is missed.
+    The shingles (distinct, ascending) of a text are dealt to STEP ** k parts in class k. A text takes the
+    classes from its own size to the largest that allows the similarity, so that any two texts whose sizes
+    allow it have one in common. In classes of few parts the keys are the first shingles, as many as a text of
+    that size must look at to meet every other: no pair is missed there.
     """
     n = len(shingles)
-    keys = []
-    for power in {max(0, int(np.log2(max(n * stretch / PART, 1)))) for stretch in (1.0, 1 / similarity)}:
-        if not power:
-            lead = shingles[: n - int(np.ceil(similarity * n - 1e-9)) + 1]
-            keys += (_mixed(lead, 0) * _MIX).view(np.int64).tolist()
+    keys: list[int] = []
+    if not n:
+        return keys
+    first, last = (math.log(n * stretch / PART, STEP) for stretch in (1.0, 1 / similarity))
+    for k in range(math.floor(first), math.floor(last + 1e-9) + 1):
+        count = STEP**k
+        if count < LEAST_PARTS:
+            lead = shingles[: n - math.ceil(similarity * n - 1e-9) + 1]
+            tag = np.array([(k + 64) << 40 | 0xFFFFF << 20], np.uint64)
+            keys += ((lead ^ _mixed(tag, 0)) * _MIX).view(np.int64).tolist()
             continue
-        count = 1 << power
-        for salt in range(-(-PARTS // count)):
+        parts, whole = _parts(count, similarity), int(count)
+        for salt in range(-(-parts // whole)):
             mixed = _mixed(shingles, salt + 1)
-            of = (mixed >> np.uint64(64 - power)).astype(np.int64)
-            first = of < PARTS
-            order = np.argsort(of[first], kind="stable")
-            member, of = shingles[first][order], of[first][order]
-            starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.empty(0, np.int64)
-            if not len(starts):
+            of = ((mixed >> np.uint64(11)) * (2.0**-53 * count)).astype(np.int64)
+            taken = of < min(whole, parts - salt * whole)
+            order = np.argsort(of[taken], kind="stable")
+            member, of = mixed[taken][order], of[taken][order]
+            if not len(of):
                 continue
-            bits = np.unpackbits(member.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            sums = np.add.reduceat(bits.astype(np.int32), starts, axis=0)
-            sizes = np.diff(np.r_[starts, len(of)])
-            prints = np.packbits(sums * 2 > sizes[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
-            tag = np.uint64(power << 40 | salt << 20) + of[starts].astype(np.uint64)
-            usable = sizes >= min(3, n)
+            starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+            prints = np.add.reduceat(member, starts)
+            tag = np.uint64((k + 64) << 40 | salt << 20) + of[starts].astype(np.uint64)
+            usable = np.diff(np.r_[starts, len(of)]) >= 3
             keys += ((prints ^ _mixed(tag, 0)) * _MIX)[usable].view(np.int64).tolist()
     return keys
 
