@@ -363,6 +363,20 @@ def test_near_copy_keys_miss_few_pairs_of_any_length():
     assert missed <= pairs / 500
 
 
+def test_near_copies_of_one_family(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "BLOCK", 16, raising=False)
+    rng = random.Random(6)
+    rows = []
+    for base in (prose(40, 620).split(), prose(41, 620).split()):
+        for _ in range(100):
+            t = list(base)
+            for _ in range(8):
+                t[rng.randrange(len(t))] = f"z{rng.random()}"
+            rows.append(" ".join(t))
+    kept = near_copies.drop_near_copies(spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string"))
+    assert {r["doc_id"] for r in kept.collect()} == kept_by_brute_force(rows)
+
+
 # ---- 7 ----------------------------------------------------------------------------------
 
 

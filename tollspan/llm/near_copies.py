@@ -27,6 +27,8 @@ from tollspan.session import durable
 PART, STEP = 6, 1.25
 #: Pairs at the very similarity that may have no part in common; classes of fewer parts give single shingles.
 MISSED, LEAST_PARTS = 1 / 1500, 4
+#: Members of a key that are compared with one another, or with as many others, in one place.
+BLOCK = 256
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -86,13 +88,69 @@ def part_keys(shingles: np.ndarray, similarity: float) -> list[int]:
     return keys
 
 
+def _alike(pairs: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs `(a, b)` whose sets of hashes reach the similarity."""
+    of = held.withColumn("size", F.size("hashes"))
+    sizes = of.select("node", "size")
+    near = F.least("n", "m") >= F.lit(similarity) * F.greatest("n", "m")
+    fit = (
+        pairs.join(sizes.toDF("a", "n"), "a").join(sizes.toDF("b", "m"), "b").filter(near).select("a", "b")
+    )
+    both = fit.join(held.toDF("a", "x"), "a").join(held.toDF("b", "y"), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    union = F.size("x") + F.size("y") - shared
+    return durable(both.filter((shared >= F.lit(similarity) * union) | (union == 0)).select("a", "b"))
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return durable(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+
+def _joined(members: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
+    """`(node, label)` of the components that all pairs with a key in common (`key, node, weight`) make.
+
+    A turn compares two members of each key with all others; they are then done in that key, and a key whose
+    other members are in one component is settled. Turns go on while they settle a quarter of what is open. What
+    remains is compared pair by pair, a large key in square blocks, so that no task holds a whole group.
+    """
+    links, labels, left = None, None, None
+    while True:
+        hubs = members.groupBy("key").agg(F.max("weight").alias("top"), F.min("node").alias("first"))
+        met = members.join(hubs, "key")
+        others = F.explode(F.array("top.node", "first"))
+        pairs = met.select(F.col("node").alias("a"), others.alias("b"), *([F.col("label")] if links else [])).filter("a != b")
+        if links:
+            other = labels.select(F.col("node").alias("b"), F.col("label").alias("other"))
+            pairs = pairs.join(other, "b", "left").filter(F.col("label") != F.coalesce("other", "b"))
+        found = _alike(_ordered(pairs), held, similarity)
+        links = links.unionByName(found) if links else found
+        labels = durable(components(links))
+        rest = met.filter("node != top.node AND node != first").select("key", "node", "weight")
+        named = durable(rest.join(labels, "node", "left").select("key", "node", "weight", F.coalesce("label", "node").alias("label")))
+        spread = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"))
+        members = durable(named.join(spread.filter("low < high").select("key", "n"), "key"))
+        before, left = left, members.count()
+        if not left:
+            return labels
+        if before is not None and left > before * 3 // 4:
+            break
+    block = F.pmod(F.xxhash64("node", F.lit(5)), F.ceil(F.col("n") / BLOCK))
+    placed = members.select("key", "node", "label", block.alias("at"), (F.ceil(F.col("n") / BLOCK) - 1).alias("last"))
+    one = placed.select("key", F.col("node").alias("a"), F.col("label").alias("of_a"), F.col("at").alias("i"), F.explode(F.sequence("at", "last")).alias("j"))
+    two = placed.select("key", F.col("node").alias("b"), F.col("label").alias("of_b"), F.col("at").alias("j"), F.explode(F.sequence(F.lit(0).cast("bigint"), "at")).alias("i"))
+    pairs = one.join(two, ["key", "i", "j"]).filter("of_a != of_b AND (i < j OR a < b)").select("a", "b")
+    return components(links.unionByName(_alike(_ordered(pairs), held, similarity)))
+
+
 def near_copy_classes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, similarity: float = 0.8
 ) -> DataFrame:
     """`digest, id, component`: one row per distinct text, with its smallest id; near copies share a component.
 
-    Shingle sets are compared as sets of 32-bit hashes. The candidates of a part are its most connected and its first member,
-    against all others, so a large group of copies gives a few pairs for each member, never all pairs.
+    Shingle sets are compared as sets of 32-bit hashes. Any two members of a part end in one component or are
+    compared: first the most connected and the first member with all others, and so on with those that are left
+    as long as this joins groups; then all pairs that are still in two components. So a large group of copies
+    gives a few pairs for each member, while texts that share a part and are no copies are compared all with all.
     """
 
     @F.pandas_udf("fp bigint, keys array<bigint>, hashes array<int>")
@@ -124,26 +182,11 @@ def near_copy_classes(
     grouped = durable(members.join(sizes, "key"))
     degree = grouped.groupBy("node").agg(F.sum("n").alias("degree"))
     ranked = durable(grouped.join(degree, "node").select("key", "node", F.struct("degree", "node").alias("weight")))
-    hubs = ranked.groupBy("key").agg(F.max("weight").alias("top"), F.min("node").alias("first"))
-    pairs = durable(
-        ranked.join(hubs, "key")
-        .select(F.col("node").alias("a"), F.explode(F.array("top.node", "first")).alias("b"))
-        .filter("a != b")
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
-    )
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    asked = ranked.select("node").distinct()
     # copies of a text have the same set, any of them will do
-    held = durable(
-        rows.join(asked, "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes"))
-    )
-    both = pairs.join(held.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(
-        held.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b"
-    )
-    shared = F.size(F.array_intersect("x", "y"))
-    union = F.size("x") + F.size("y") - shared
-    alike = durable(both.filter((shared >= F.lit(similarity) * union) | (union == 0)).select("a", "b"))
-    return nodes.join(components(alike), "node", "left").select(
+    held = durable(rows.join(asked, "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes")))
+    labels = _joined(ranked, held, similarity)
+    return nodes.join(labels, "node", "left").select(
         "digest", "id", F.coalesce("label", "node").alias("component")
     )
 
