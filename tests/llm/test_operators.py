@@ -88,6 +88,17 @@ def test_lz_likeness_follows_the_phrases():
     assert lz.likeness(lz.Parsed(a).fingerprint, lz.Parsed(a).fingerprint) == 1.0
 
 
+def test_lz_long_unrelated_texts_are_unlike():
+    rng = np.random.default_rng(8)
+    low = []
+    for a in (97, 1072):
+        seen: set[str] = set()
+        lz.parse("".join(map(chr, rng.integers(a, a + 20, 1_000_000).tolist())), seen)
+        low.append(lz.smallest(seen, len(seen)))
+    assert lz.likeness(*map(lz.signature, low)) < 0.05
+    assert lz.likeness(lz.Parsed("").fingerprint, lz.Parsed("").fingerprint) == 1.0
+
+
 # ---- 2 ----------------------------------------------------------------------------------
 
 

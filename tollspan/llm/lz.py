@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 HASHES = 128
 #: Odd multipliers, so that each product permutes the 64-bit numbers.
 _FACTORS = np.random.default_rng(11).integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 _NONE = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
 #: Ranges of ids dealt out for each shuffle partition.
 RANGES = 4
@@ -44,8 +45,13 @@ def smallest(phrases: Iterable[str], count: int) -> np.ndarray:
 
 
 def signature(low: np.ndarray) -> str:
-    """The upper 16 bits of each smallest value, in hex; a text without phrases has only f."""
-    return (low >> np.uint64(48)).astype(">u2").tobytes().hex()
+    """16 mixed bits of each smallest value, in hex; a text without phrases, and only that, has only f.
+
+    The smallest of many values begins with zeros, so its upper bits say ever less about it as texts grow.
+    """
+    mixed = (low ^ (low >> np.uint64(32))) * _MIX
+    bits = np.minimum(mixed >> np.uint64(48), np.uint64(0xFFFE))
+    return np.where(low == _NONE, np.uint64(0xFFFF), bits).astype(">u2").tobytes().hex()
 
 
 def likeness(a: str, b: str) -> float:
