@@ -536,6 +536,22 @@ def test_hmm_scores_equal_brute_force(spark, docs, nothing, texts):
     assert hmm.score(alone, none, hmm.train(alone.limit(0), none)).filter("score > 0 OR n_known > 0").count() == 0
 
 
+def test_hmm_unseen_words_without_rare_ones(spark):
+    learn = spark.createDataFrame([(1, "a b a c"), (2, "b a"), (3, None)], "doc_id bigint, text string")
+    held = spark.createDataFrame([(4, "a z b"), (5, "y"), (6, "")], "doc_id bigint, text string")
+    vocab = hmm.vocabulary(learn, frequent=50)
+    p = hmm.train(hmm.encode(learn, vocab), vocab, states=3, rounds=2)
+    assert (p.emit > 0).all() and np.allclose(p.emit.sum(1), 1)
+    got = {r["doc_id"]: r["score"] for r in hmm.score(hmm.encode(held, vocab), vocab, p).collect()}
+    for i, text in ((4, "a z b"), (5, "y"), (6, "")):
+        alpha, want = p.start, 0.0
+        for k, w in enumerate([*words(text), ""]):
+            alpha = (alpha if k == 0 else alpha @ p.move) * p.emit[:, vocab.index.get(w.encode(), len(vocab.words))]
+            want += math.log10(alpha.sum())
+            alpha = alpha / alpha.sum()
+        assert got[i] == pytest.approx(want)
+
+
 def test_baum_welch_counts_equal_brute_force():
     rng = np.random.default_rng(1)
     p = hmm.Parameters.first(np.array([5.0, 3, 2, 1]), 3, 1)

@@ -252,6 +252,8 @@ def train(encoded: DataFrame, vocab: Vocabulary, *, states: int = STATES, rounds
     """
     context = encoded.sparkSession.sparkContext
     symbol_counts = vocab.symbol_counts
+    # one for each word, and for any unseen word in the shared symbol, which so is never impossible
+    smoothing = symbol_counts + np.r_[np.ones(len(vocab.words)), vocab.distinct - len(vocab.words) + 1]
     p = Parameters.first(symbol_counts, states, seed)
     columns = ", ".join(f"s{k} double" for k in range(states))
     for _ in range(rounds if vocab.tokens else 0):
@@ -281,7 +283,7 @@ def train(encoded: DataFrame, vocab: Vocabulary, *, states: int = STATES, rounds
         p = Parameters(
             _rows(expected[0] + PSEUDO),
             _rows(expected[1 : states + 1] + PSEUDO),
-            _rows(expected[states + 1 :].T + PSEUDO * symbol_counts / symbol_counts.sum()),
+            _rows(expected[states + 1 :].T + PSEUDO * smoothing / smoothing.sum()),
         )
     return p
 
