@@ -119,9 +119,25 @@ def parse_detection_time(c: Column) -> Column:
 
 
 _EVENT_TIME = (
-    r"^([0-9]{1,4})[/.-]([0-9]{1,2})[/.-]([0-9]{1,4})"
-    r"(?:[ T]+([0-9]{1,2}):([0-9]{1,2})(?::([0-9]{1,2}(?:[.][0-9]{1,6})?))? ?([AaPp][Mm])?)?$"
+    r"[0-9]{1,4}[/.-][0-9]{1,2}[/.-][0-9]{1,4}"
+    r"(?:[ T]+[0-9]{1,2}:[0-9]{1,2}(?::[0-9]{1,2}(?:[.][0-9]{1,6})?)? ?(?:[AaPp][Mm])?)?"
 )
+#: Steps from a day-first text to `year-month-day hour:minute:second.fraction[ AM]`.
+_EVENT_STEPS = (
+    (rf"(?s)^(?!{_EVENT_TIME}$).*$", ""),
+    ("^(0?[0-9]|1[0-2])[/.-](1[3-9]|[2-9][0-9])[/.-]", "$2/$1/"),  # the month stands first
+    ("^([0-9]{1,2})[/.-]([0-9]{1,2})[/.-]([0-9]{1,4})(?![0-9])", "$3-$2-$1"),
+    ("^([0-9]{4})[/.-]([0-9]{1,2})[/.-]([0-9]{1,2})(?![0-9])", "$1-$2-$3"),
+    ("^([0-9])-", "200$1-"),
+    ("^(69|[7-9][0-9])-", "19$1-"),
+    ("^([0-9]{2})-", "20$1-"),
+    ("^([^ T]+)$", "$1 0:0:0.0"),
+    ("^([^ T]+)[ T]+([0-9]{1,2}:[0-9]{1,2})(?![:0-9])", "$1 $2:0.0"),
+    ("^([^ T]+)[ T]+([0-9:]+)(?![.:0-9])", "$1 $2.0"),
+    ("^([^ T]+)[ T]+([0-9:.]+) ?", "$1 $2 "),
+    (" $", ""),
+)
+_EVENT_LAYOUT = "yyyy-M-d[ h:m:s.SSSSSS a][ H:m:s.SSSSSS] XX"
 
 
 def parse_event_time(date_text: Column, time_text: Column) -> Column:
@@ -132,24 +148,10 @@ def parse_event_time(date_text: Column, time_text: Column) -> Column:
     `T`, have a fraction, or AM or PM.
     """
     text = strip(F.concat_ws(" ", strip(date_text), strip(time_text)))
-    part = [F.regexp_extract(text, _EVENT_TIME, i) for i in range(1, 8)]
-    first_is_year = F.length(part[0]) == 4
-    year_text = F.when(first_is_year, part[0]).otherwise(part[2])
-    short = year_text.try_cast("int")
-    year = F.when(F.length(year_text) == 4, short).when(
-        F.length(year_text) <= 2, short + F.when(short >= 69, F.lit(1900)).otherwise(F.lit(2000))
-    )
-    day = F.when(first_is_year, part[2]).otherwise(part[0]).try_cast("int")
-    month = part[1].try_cast("int")
-    swap = ~first_is_year & (month > 12) & (day <= 12)
-    hour = F.coalesce(part[3].try_cast("int"), F.lit(0))
-    half = F.lower(part[6])
-    hour = F.when(half == "", hour).when(hour.between(1, 12), F.pmod(hour, F.lit(12)) + F.when(half == "pm", F.lit(12)).otherwise(F.lit(0)))
-    made = F.try_make_timestamp_ntz(
-        year, F.when(swap, day).otherwise(month), F.when(swap, month).otherwise(day), hour,
-        F.coalesce(part[4].try_cast("int"), F.lit(0)), F.coalesce(part[5].try_cast("decimal(16,6)"), F.lit(0).cast("decimal(16,6)")),
-    )
-    return F.when(text.rlike(_EVENT_TIME), made)
+    for shape, form in _EVENT_STEPS:  # each step reads the one before once, so a text is taken apart once
+        text = F.regexp_replace(text, shape, form)
+    micros = F.unix_micros(F.try_to_timestamp(F.concat(text, F.lit(" +0000")), F.lit(_EVENT_LAYOUT)))
+    return F.timestamp_add("MICROSECOND", micros, F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"))
 
 
 def with_slot(df: DataFrame, ts: str = "ts", minutes: int = 5, name: str = "interval_start") -> DataFrame:
