@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tollspan.llm.audit import ORACLE as AUDIT_ORACLE
+from tollspan.llm.audit import op11_filter_audit
 from tollspan.llm.hmm import op10_hmm
 from tollspan.llm.langid import op3_language
 from tollspan.llm.licenses import op5_licenses
@@ -30,8 +32,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
     "op10_hmm": op10_hmm,
+    "op11_filter_audit": op11_filter_audit,
 }
 ORACLES: dict[str, str] = {
     "op2_rotated_codes": NEIGHBOUR_ORACLE,
     "op4_url_cascade": URL_ORACLE,
+    "op11_filter_audit": AUDIT_ORACLE,
 }
