@@ -16,6 +16,9 @@ from tollspan.llm.neighbours import ORACLE as NEIGHBOUR_ORACLE
 from tollspan.llm.neighbours import op2_rotated_codes
 from tollspan.llm.packing import op8_packing
 from tollspan.llm.pieces import op7_pieces
+from tollspan.llm.ranked import ORACLE as RANKED_ORACLE
+from tollspan.llm.ranked import op12_ranked_search
+from tollspan.llm.rules import op13_rule_quality
 from tollspan.llm.simhash import op6_simhash
 from tollspan.llm.toxicity import op9_toxicity
 from tollspan.llm.urls import ORACLE as URL_ORACLE
@@ -33,9 +36,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_hmm": op10_hmm,
     "op11_filter_audit": op11_filter_audit,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_rule_quality": op13_rule_quality,
 }
 ORACLES: dict[str, str] = {
     "op2_rotated_codes": NEIGHBOUR_ORACLE,
     "op4_url_cascade": URL_ORACLE,
     "op11_filter_audit": AUDIT_ORACLE,
+    "op12_ranked_search": RANKED_ORACLE,
 }
