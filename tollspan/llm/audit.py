@@ -55,7 +55,8 @@ def later_copies(rows: DataFrame, hashes: DataFrame, total: int) -> DataFrame:
     hot = shared.filter(F.col("n") > most).select("h", F.ceil(F.col("n") / most).alias("cuts"))
     twice = _repeated(shared.select("h"), hot)
     known = rows.filter("id IS NOT NULL")
-    found = durable(_dealt(known, hot).join(twice, ["h", "salt"], "left_semi"))
+    # texts move at every size alike; the few hashes of a partition are held, its texts stream past them unsorted
+    found = durable(_dealt(known, hot).join(twice.hint("shuffle_hash"), ["h", "salt"], "left_semi"))
     first = found.groupBy("h", "text").agg(F.min("id").alias("first"))
     smaller = _repeated(first, hot).toDF("h2", "text2", "first", "salt2")
     same = (F.col("h") == F.col("h2")) & (F.col("salt") == F.col("salt2")) & (F.col("text") == F.col("text2"))
