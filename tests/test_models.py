@@ -76,7 +76,7 @@ def test_density_level_equals_flood_fill(spark, blobs):
 def test_neighbours_equal_brute_force(blobs):
     rows = blobs.withColumn("row_id", F.substring("plate", 2, 3).cast("bigint"))
     got: dict = {}
-    for r in balance.neighbours(rows, ["a", "b"], 4, block_rows=50).collect():
+    for r in balance.neighbours(rows, ["a", "b"], 4).collect():
         got.setdefault(r["row_id"], {})[r["rank"]] = r["near_id"]
     x = np.array([[r["a"], r["b"]] for r in rows.orderBy("row_id").collect()])
     d = ((x[:, None, :] - x[None, :, :]) ** 2).sum(-1)

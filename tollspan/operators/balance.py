@@ -4,67 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tollspan.operators.nearest import nearest
 from tollspan.skew import running_totals
 
-BLOCK_ROWS = 20_000
 
-
-def neighbours(rows: DataFrame, features: Sequence[str], k: int, *, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Exact k nearest other rows by Euclidean distance: (row_id, rank, near_id).
-
-    Rows are spread over blocks and each pair of blocks is one task that returns just k
-    candidates per row, so neither all pairs nor a whole class ever meet in one place.
-    """
-    n = rows.count()
-    blocks = max(1, -(-n // block_rows))
-    base = rows.select(
-        "row_id",
-        F.array(*[F.col(c).cast("double") for c in features]).alias("x"),
-        F.pmod(F.xxhash64("row_id"), F.lit(blocks).cast("bigint")).alias("_b"),
-    )
-    others = F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))
-    left = base.select("row_id", "x", F.col("_b").alias("_i"), F.explode(others).alias("_j"))
-    right = base.select(
-        F.col("row_id").alias("near_id"), F.col("x").alias("y"), F.explode(others).alias("_ri"), F.col("_b").alias("_rj")
-    )
-
-    def closest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if len(a) == 0 or len(b) == 0:
-            return pd.DataFrame({"row_id": [], "near_id": [], "d": []}).astype({"row_id": "int64", "near_id": "int64"})
-        b = b.sort_values("near_id")
-        y, ids = np.stack(b["y"].to_numpy()), b["near_id"].to_numpy()
-        parts = []
-        for at in range(0, len(a), 256):
-            part = a.iloc[at : at + 256]
-            x = np.stack(part["x"].to_numpy())
-            d = np.stack([((y - v) ** 2).sum(axis=1) for v in x])
-            d[part["row_id"].to_numpy()[:, None] == ids[None, :]] = np.inf
-            take = min(k, d.shape[1])
-            idx = np.argsort(d, axis=1, kind="stable")[:, :take]
-            parts.append(
-                pd.DataFrame(
-                    {
-                        "row_id": np.repeat(part["row_id"].to_numpy(), take),
-                        "near_id": ids[idx].ravel(),
-                        "d": np.take_along_axis(d, idx, axis=1).ravel(),
-                    }
-                )
-            )
-        return pd.concat(parts)
-
-    found = (
-        left.groupBy("_i", "_j")
-        .cogroup(right.groupBy("_ri", "_rj"))
-        .applyInPandas(closest, "row_id bigint, near_id bigint, d double")
-        .filter(F.col("d") < float("inf"))
+def neighbours(rows: DataFrame, features: Sequence[str], k: int) -> DataFrame:
+    """Exact k nearest other rows by Euclidean distance over `features`: (row_id, rank, near_id), ties by the smaller id."""
+    at = F.array(*[F.col(c).cast("double") for c in features])
+    return nearest(rows.select(F.lit(0).alias("group"), F.col("row_id").alias("id"), at.alias("x")), k).select(
+        F.col("id").alias("row_id"), "rank", "near_id"
     )
-    best = found.groupBy("row_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("d", "near_id"))), 1, k).alias("s"))
-    return best.select("row_id", F.posexplode("s").alias("rank", "p")).select("row_id", "rank", F.col("p.near_id").alias("near_id"))
 
 
 def smote(

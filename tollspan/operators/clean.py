@@ -125,15 +125,21 @@ SECTION_KEYS = [
 ]
 
 
-def section_predicate(columns: Sequence[str], first: str, last: str | None = None) -> Column:
-    """Filter on whichever section key columns a feature table has."""
+def section_keys(columns: Sequence[str]) -> tuple[str, str | None]:
+    """The columns that name a row's section, or its only gantry."""
     for a, b in SECTION_KEYS:
         if a in columns and (b is None or b in columns):
-            hit = F.col(a) == first
-            return hit & (F.col(b) == last) if b and last is not None else hit
+            return a, b
     raise ValueError("no section key column")
 
 
+def section_predicate(columns: Sequence[str], first: str, last: str | None = None) -> Column:
+    """Filter on whichever section key columns a feature table has."""
+    a, b = section_keys(columns)
+    hit = F.col(a) == first
+    return hit & (F.col(b) == last) if b and last is not None else hit
+
+
 def filter_section(
     df: DataFrame, first: str, last: str | None = None, axis: str | None = None, way: str | None = None
 ) -> DataFrame:

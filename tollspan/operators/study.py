@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tollspan.operators import balance, evaluate, models
-from tollspan.operators.clean import filter_section
+from tollspan.operators.clean import filter_section, section_keys
+from tollspan.operators.joint_study import forest_study
 from tollspan.sources.ingest import cluster_features, numeric_features
 
 # Default search ranges.
@@ -145,14 +146,37 @@ def _fail(text: str) -> dict:
     raise ValueError(text)
 
 
+def _joint(rows: DataFrame, names: dict[int, str], ks: Iterable[int] | None, space: dict | None = None, **kw) -> list[tuple]:
+    """Result rows of a forest study over all groups of `rows` together."""
+    found = forest_study(rows, names, ks, lambda rng: draw_params("forest", rng, space), _objective, **kw)
+    return [tuple({"model": "forest", **r}.get(f) for f in _FIELDS) for r in found]
+
+
 def top_k_sweep(data: DataFrame, ks: Iterable[int], kind: str = "forest", **kw) -> DataFrame:
-    return data.sparkSession.createDataFrame(top_k_rows(data, ks, kind, **kw), RESULT)
+    """Base against base plus cluster for each K. Forests grow together, other kinds one after the other."""
+    if kind == "forest":
+        rows = _joint(data.withColumn("group", F.lit(0)), {0: "all"}, ks, **kw)
+    else:
+        rows = top_k_rows(data, ks, kind, **kw)
+    return data.sparkSession.createDataFrame(rows, RESULT)
 
 
 def section_study(
     data: DataFrame, sections: Sequence[tuple[str, str]], ks: Iterable[int] | None = None, kind: str = "forest", **kw
 ) -> DataFrame:
-    """Each section on its own, for one K or several; a section that cannot be fitted is an error row."""
+    """Each section on its own, for one K or several; a section that cannot be fitted is an error row.
+
+    The forests of all sections grow together. Other kinds take one section after the other.
+    """
+    if kind == "forest":
+        first, last = section_keys(data.columns)
+        named = [(i, str(a), str(b)) for i, (a, b) in enumerate(sections)]
+        of = data.sparkSession.createDataFrame(named, "group int, _first string, _last string")
+        same = F.col(first).cast("string") == F.col("_first")
+        if last:
+            same = same & (F.col(last).cast("string") == F.col("_last"))
+        rows = data.join(of, same).drop("_first", "_last")
+        return data.sparkSession.createDataFrame(_joint(rows, {i: f"{a}-{b}" for i, a, b in named}, ks, **kw), RESULT)
     rows: list[tuple] = []
     for first, last in sections:
         part = filter_section(data, first, last)
@@ -167,19 +191,31 @@ def section_study(
 
 
 def window_study(data: DataFrame, windows: DataFrame, n: int, ks: Iterable[int], kind: str = "forest", **kw) -> DataFrame:
-    """Models for the busiest windows: the section's rows within each window."""
+    """Models for the `n` busiest windows: the section's rows within each window. Forests grow together."""
     spark: SparkSession = data.sparkSession
     rows: list[tuple] = []
     ks = list(ks)
-    for w in windows.limit(n).collect():
-        part = filter_section(data, w["gantry_last"], w["gantry_next"]).filter(
-            F.col("interval_start").between(
-                F.lit(w["window_start"]).cast("timestamp_ntz"), F.lit(w["window_end"]).cast("timestamp_ntz")
-            )
+    kept = ("gantry_last", "gantry_next", "window_start", "window_end")
+    top = [tuple(w[c] for c in kept) for w in windows.limit(n).select(*kept).collect()]
+
+    def name(w: tuple) -> str:
+        return f"{w[0]}-{w[1]} from {w[2]}"
+
+    if kind == "forest":
+        if not top:
+            return spark.createDataFrame([], RESULT)
+        of = spark.createDataFrame([(i, str(w[0]), str(w[1]), str(w[2]), str(w[3])) for i, w in enumerate(top)],
+                                   "group int, _a string, _b string, _from string, _to string")
+        inside = F.col("interval_start").between(F.col("_from").cast("timestamp_ntz"), F.col("_to").cast("timestamp_ntz"))
+        same = (F.col("gantry_last").cast("string") == F.col("_a")) & (F.col("gantry_next").cast("string") == F.col("_b"))
+        held = data.join(of, same & inside).drop("_a", "_b", "_from", "_to")
+        return spark.createDataFrame(_joint(held, {i: name(w) for i, w in enumerate(top)}, ks, **kw), RESULT)
+    for w in top:
+        part = filter_section(data, w[0], w[1]).filter(
+            F.col("interval_start").between(F.lit(w[2]).cast("timestamp_ntz"), F.lit(w[3]).cast("timestamp_ntz"))
         )
-        name = f"{w['gantry_last']}-{w['gantry_next']} from {w['window_start']}"
         try:
-            rows += top_k_rows(part, ks, kind, name, **kw)
+            rows += top_k_rows(part, ks, kind, name(w), **kw)
         except UNFIT as e:
-            rows.append(_result(name, "Base", ks[0], kind, lambda e=e: _fail(str(e))))
+            rows.append(_result(name(w), "Base", ks[0], kind, lambda e=e: _fail(str(e))))
     return spark.createDataFrame(rows, RESULT)

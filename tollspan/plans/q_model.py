@@ -227,7 +227,7 @@ def dataset(spark, sf):
 
 
 FOREST = {"n_trees": 15, "max_depth": 5}
-SMALL = {"trials": 1, "space": {"n_trees": (8, 10), "max_depth": (3, 4)}}
+SMALL = {"trials": 3, "space": {"n_trees": (8, 12), "max_depth": (3, 5)}, "rank_trees": 15, "rank_depth": 5}
 
 
 def _fit_query(kind, params):
