@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import datetime
+import itertools
+import random
 
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
 from tollspan.functions import scalars as S
-from tollspan.operators import catalog, clean, evaluate, flow, plate, sections, trajectory
+from tollspan.operators import catalog, clean, evaluate, explore, flow, plate, sections, trajectory
 from tollspan.plans.views import view
 from tollspan.sources import ingest
 from tollspan.streaming import streams
@@ -277,3 +279,43 @@ def test_missed_alarm_rate_is_minimised():
 
     assert _objective({"fnr": 0.1}, "fnr") > _objective({"fnr": 0.4}, "fnr")
     assert _objective({"far": None, "sensitivity": 0.5}, "far") == 0.0005
+
+
+def test_auction_equals_all_permutations():
+    rng = random.Random(1)
+    for n in range(1, 8):
+        for _ in range(12):
+            v = [[rng.choice([0, 0, rng.randrange(5), rng.randrange(1000)]) for _ in range(n)] for _ in range(n)]
+            mate = explore.auction(v)
+            assert sorted(mate) == list(range(n))
+            best = max(sum(v[i][p[i]] for i in range(n)) for p in itertools.permutations(range(n)))
+            assert sum(v[i][mate[i]] for i in range(n)) == best
+
+
+def test_matching_of_uneven_clusterings(spark):
+    rows = [(0, 0, 9), (0, 1, 8), (1, 0, 8), (2, 0, 1), (2, 1, 1)]
+    got = explore.best_matching(spark.createDataFrame(rows, "label_a int, label_b int, n bigint"))
+    # the best overlap of 0 is 0, but then 1 keeps nobody
+    assert {tuple(r) for r in got.collect()} == {(0, 1, 8), (1, 0, 8), (2, None, 0)}
+    flipped = explore.best_matching(spark.createDataFrame([(b, a, n) for a, b, n in rows], "label_a int, label_b int, n bigint"))
+    assert {tuple(r) for r in flipped.collect()} == {(1, 0, 8), (0, 1, 8), (None, 2, 0)}
+    tie = spark.createDataFrame([(a, b, 5) for a in range(3) for b in range(3)], "label_a int, label_b int, n bigint")
+    assert {tuple(r) for r in explore.best_matching(tie).collect()} == {(i, i, 5) for i in range(3)}
+    assert explore.best_matching(tie.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("build", ["headway", "lanes", "trips"])
+def test_a_finished_stream_gives_all_rows(spark, late_files, build):
+    """The last ten minutes come out as well once the input is over, over several late files."""
+    closing = streams.Closing(stream_of(spark, late_files).withColumn("km", (F.col("event_id") % 50).cast("double")))
+    make = {"headway": streams.headway_stream, "lanes": streams.lane_change_stream, "trips": streams.trip_stream}[build]
+    got = streams.drain(make(closing.rows, delay=DELAY), build, closing=closing).collect()
+    rows = spark.read.parquet(late_files)
+    if build == "lanes":
+        assert sum(r["passes"] for r in got) == rows.count()
+    elif build == "trips":
+        assert sorted(r["event_id"] for r in got) == sorted(r["event_id"] for r in rows.collect())
+    else:
+        lanes = rows.filter("gantry IS NOT NULL AND lane IS NOT NULL").groupBy("gantry", "lane").count().collect()
+        assert len(got) == sum(r["count"] - 1 for r in lanes)
+    assert not any(streams.CLOSED in map(str, r) for r in got)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from tollspan.operators import balance, cluster, evaluate, models, study
+from tollspan.operators import balance, cluster, density, evaluate, models, nearest, study
 
 
 @pytest.fixture(scope="module")
@@ -44,33 +45,41 @@ def test_own_and_builtin_mixture_agree(blobs):
     assert ours.log_likelihood == pytest.approx(theirs.log_likelihood, rel=1e-2)
 
 
-def test_density_level_equals_flood_fill(spark, blobs):
-    got = {r["plate"]: r["cluster_label"] for r in cluster.density_level(
-        blobs.withColumn("x", F.array("a", "b")), "plate", eps=0.5, min_samples=3, min_cluster_size=10).collect()}
-    pts = {r["plate"]: (int(np.floor(r["a"] / 0.5)), int(np.floor(r["b"] / 0.5))) for r in blobs.collect()}
-    cells: dict = {}
-    for p, c in pts.items():
-        cells.setdefault(c, []).append(p)
-    dense = {c for c, ps in cells.items() if len(ps) >= 3}
-    groups, left = [], set(dense)
-    while left:
-        todo, group = [left.pop()], set()
-        while todo:
-            c = todo.pop()
-            group.add(c)
-            for step in ((1, 0), (-1, 0), (0, 1), (0, -1)):
-                n = (c[0] + step[0], c[1] + step[1])
-                if n in left:
-                    left.remove(n)
-                    todo.append(n)
-        groups.append({p for c in group for p in cells[c]})
-    groups = [g for g in groups if len(g) >= 10]
-    found: dict = {}
-    for p, label in got.items():
-        if label >= 0:
-            found.setdefault(label, set()).add(p)
-    assert sorted(map(sorted, found.values())) == sorted(map(sorted, groups))
-    assert len(found) >= 2
+def _density_by_hand(keys, x, eps, min_samples, least):
+    near = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    core = (near <= eps).sum(1) >= min_samples
+    group = np.full(len(x), -1)
+    for i in np.flatnonzero(core):
+        if group[i] < 0:
+            group[i], todo = i, [i]
+            while todo:
+                more = np.flatnonzero(core & (group < 0) & (near[todo.pop()] <= eps))
+                group[more] = i
+                todo += more.tolist()
+    first = {g: min(keys[j] for j in np.flatnonzero(group == g)) for g in set(group[core].tolist())}
+    name = [first.get(g) for g in group.tolist()]
+    for i in np.flatnonzero(~core):
+        at = [(near[i, j], first[group[j]]) for j in np.flatnonzero(core & (near[i] <= eps))]
+        name[i] = min(at)[1] if at else None
+    sizes = {n: name.count(n) for n in set(name) - {None}}
+    order = sorted((n for n in sizes if sizes[n] >= least), key=lambda n: (-sizes[n], n))
+    return {k: order.index(n) if n in order else -1 for k, n in zip(keys, name, strict=True)}
+
+
+def test_density_level_equals_brute_force_wherever_the_origin_is(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "CELL_POINTS", 10)  # several cells, and cells of several blocks
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(c, 0.3, (50, 2)) for c in ((0, 0), (3, 0), (0, 4))] + [rng.uniform(-3, 6, (30, 2)), np.tile([[9.0, 9.0]], (80, 1))])
+    keys = [f"p{i:03d}" for i in range(len(x))]
+    want = _density_by_hand(keys, x, 0.5, 5, 10)
+    assert len(set(want.values())) >= 4 and -1 in want.values()
+    for move in (0.0, 0.25):
+        df = spark.createDataFrame([(k, [float(v) for v in r + move]) for k, r in zip(keys, x, strict=True)], "plate string, x array<double>").repartition(3)
+        got = density.density_level(df, "plate", eps=0.5, min_samples=5, min_cluster_size=10)
+        assert {r["plate"]: r["cluster_label"] for r in got.collect()} == want
+    assert density.density_level(df.limit(0), "plate").count() == 0
+    odd = spark.createDataFrame([("a", None), ("b", [1.0])], "plate string, x array<double>")
+    assert {tuple(r) for r in density.density_level(odd, "plate").collect()} == {("a", -1), ("b", -1)}
 
 
 def test_neighbours_equal_brute_force(blobs):
@@ -125,6 +134,13 @@ def test_models_score_and_reload(spark, slots, tmp_path, kind, params):
     assert a == b and all(0.0 <= r["score"] <= 1.0 for r in a)
 
 
+def test_models_work_in_an_observed_session(slots):
+    assert slots.observe(Observation("seen"), F.count(F.lit(1)).alias("n")).count() == 240
+    for kind, params in (("forest", {"n_trees": 2, "max_depth": 2}), ("svm", {"max_iter": 2})):
+        model = models.fit_model(slots, ["flow_a", "cluster_b"], kind, params)
+        assert models.with_score(model, slots, ["flow_a", "cluster_b"]).count() == 240
+
+
 def test_search_respects_false_alarm_cap(slots):
     train, val, test = evaluate.three_way_split(slots, 0.2, 0.3)
     found = study.search(train, val, test, ["flow_a", "cluster_b"], trials=1, far_cap=0.2, space={"n_trees": (5, 6), "max_depth": (2, 3)})

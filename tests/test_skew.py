@@ -49,7 +49,7 @@ def test_running_totals_equal_window_sum(passes):
 
 
 def test_quantiles_equal_numpy(passes):
-    got = skew.exact_quantiles(passes, ["gantry"], "speed_kmh", {"a": 0.01, "b": 0.5, "c": 0.99}, cell=3.0)
+    got = skew.exact_quantiles(passes, ["gantry"], "speed_kmh", {"a": 0.01, "b": 0.5, "c": 0.99})
     pdf = passes.toPandas()
     for r in got.collect():
         x = pdf[pdf.gantry == r["gantry"]].speed_kmh
@@ -60,7 +60,7 @@ def test_quantiles_equal_numpy(passes):
 @given(values=st.lists(st.floats(-50, 50), min_size=1, max_size=30), p=st.floats(0, 1))
 def test_quantile_of_any_list(spark, values, p):
     df = spark.createDataFrame([(v,) for v in values], "v double")
-    got = skew.exact_quantiles(df, [], "v", {"q": p}, cell=7.0).first()["q"]
+    got = skew.exact_quantiles(df, [], "v", {"q": p}).first()["q"]
     assert got == pytest.approx(float(np.quantile(values, p)), abs=1e-9)
 
 

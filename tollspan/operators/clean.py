@@ -46,7 +46,7 @@ def speed_bounds(df: DataFrame, low: float, high: float, by: Sequence[str]) -> D
     known = df
     for key in by:
         known = known.filter(F.col(key).isNotNull())
-    return exact_quantiles(known, by, "speed_kmh", {"speed_lo": low, "speed_hi": high}, cell=1.0)
+    return exact_quantiles(known, by, "speed_kmh", {"speed_lo": low, "speed_hi": high})
 
 
 def limit_outliers(

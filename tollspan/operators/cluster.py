@@ -95,7 +95,7 @@ def label_plates(
 ) -> tuple[DataFrame, float]:
     """Nearest centroid for all; a rare plate beyond the frequent plates' distance percentile is -1."""
     near = nearest_centroid(standardise(frequent, frequent, features), centroids)
-    limit = exact_quantiles(near, [], "distance", {"q": percentile / 100}, cell=0.05).first()["q"]
+    limit = exact_quantiles(near, [], "distance", {"q": percentile / 100}).first()["q"]
     other = nearest_centroid(standardise(frequent, rare, features), centroids)
     unknown = F.when(F.col("distance") > limit, F.lit(-1)).otherwise(F.col("cluster_label"))
     both = near.withColumn("is_rare", F.lit(False)).unionByName(
@@ -416,37 +416,6 @@ def fit_all(plates: DataFrame, features: Sequence[str], k: int, method: str = "k
     return with_responsibilities(scaled, fit_gaussian_mixture(scaled, k, restarts, seed)).drop("x")
 
 
-def density_level(
-    scaled: DataFrame, key: str, *, eps: float = 0.5, min_samples: int = 10, min_cluster_size: int = 20
-) -> DataFrame:
-    """Density clustering at one level, with noise as -1.
-
-    The space of array `x` is cut into cells of side `eps`. A cell with `min_samples`
-    points is dense, dense cells that share a face belong together, and groups of fewer
-    than `min_cluster_size` points are noise. Points meet only as cell counts, so a
-    crowded cell costs no more than an empty one. Clusters are numbered by size.
-    """
-    cell = F.array_join(F.transform("x", lambda v: F.floor(v / F.lit(eps)).cast("string")), ",")
-    points = scaled.select(key, cell.alias("cell"))
-    dense = durable(
-        points.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_samples)
-    )
-    parts = F.transform(F.split("cell", ","), lambda v: v.cast("bigint"))
-    ahead = F.transform(
-        F.sequence(F.lit(0), F.size(parts) - 1),
-        lambda i: F.array_join(F.transform(parts, lambda v, j: F.when(i == j, v + 1).otherwise(v).cast("string")), ","),
-    )
-    faces = dense.select(F.col("cell").alias("a"), F.explode(ahead).alias("b"))
-    links = faces.join(dense.select(F.col("cell").alias("b")), "b", "left_semi").select("a", "b")
-    groups = connected(dense.select(F.col("cell").alias("id")), links)
-    sizes = dense.join(groups.withColumnRenamed("id", "cell"), "cell").groupBy("label").agg(F.sum("n").alias("size"))
-    numbered = sizes.filter(F.col("size") >= min_cluster_size).select(
-        "label", (F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("size"), "label")) - 1).alias("cluster_label")
-    )
-    by_cell = groups.join(numbered, "label").select(F.col("id").alias("cell"), "cluster_label")
-    return points.join(by_cell, "cell", "left").select(key, F.coalesce("cluster_label", F.lit(-1)).alias("cluster_label"))
-
-
 def connected(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """Connected components: the smallest node id each node reaches, in (id, label)."""
     both = durable(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))

@@ -7,27 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tollspan.skew import floor_div, micros, running_totals
-
-SCORE_CELLS = 4096
+from tollspan.session import durable
+from tollspan.skew import spread_totals
 
 
 def _boundary(df: DataFrame, share: float, time: str):
     """First test time: the last `max(1, round(n * share))` distinct times are test, one at least is train."""
-    times = df.filter(F.col(time).isNotNull()).select(time).distinct()
-    times = times.withColumn("_bucket", floor_div(micros(time), 3_600_000_000))
-    per_bucket = times.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n"))
-    upto = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    total = per_bucket.agg(F.sum("n")).first()[0] or 0
+    times = df.filter(F.col(time).isNotNull()).select(time).distinct().withColumns({"_g": F.lit(1), "_one": F.lit(1)})
+    ranked = durable(spread_totals(times, ["_g"], time, {"_at": "_one"}))
+    total = ranked.count()
     if total < 2:
         raise ValueError("a temporal split needs two distinct times")
     n_test = min(max(1, round(total * share)), total - 1)
-    rank = total - n_test + 1
-    cut = per_bucket.withColumn("cum", F.sum("n").over(upto)).filter(F.col("cum") >= rank).orderBy("_bucket").first()
-    inside = times.filter(F.col("_bucket") == cut["_bucket"]).withColumn(
-        "_r", F.row_number().over(Window.partitionBy("_bucket").orderBy(time))
-    )
-    return inside.filter(F.col("_r") == rank - (cut["cum"] - cut["n"])).first()[time]
+    return ranked.filter(F.col("_at") == total - n_test + 1).first()[time]
 
 
 def temporal_split(df: DataFrame, test: float, time: str = "interval_start") -> tuple[DataFrame, DataFrame]:
@@ -79,10 +71,8 @@ def score_counts(df: DataFrame, score: str = "score", target: str = "target") ->
 
 def roc_points(df: DataFrame, score: str = "score", target: str = "target") -> DataFrame:
     """True and false positives at every distinct threshold (score >= threshold)."""
-    counts = score_counts(df, score, target).withColumns(
-        {"_bucket": F.floor(F.col("score") * SCORE_CELLS), "_g": F.lit(1)}
-    )
-    out = running_totals(counts, ["_g"], [F.desc("score")], {"tp": "pos", "fp": "neg"}, bucket_desc=True)
+    counts = score_counts(df, score, target).withColumn("_g", F.lit(1))
+    out = spread_totals(counts, ["_g"], "score", {"tp": "pos", "fp": "neg"}, desc=True)
     totals = df.filter(F.col(score).isNotNull()).agg(
         F.count_if(F.col(target) == 1).alias("p"), F.count_if(F.col(target) == 0).alias("n")
     ).first()
@@ -122,10 +112,8 @@ def far_threshold(
 
 def roc_auc(df: DataFrame, score: str = "score", target: str = "target", one_class: float | None = 0.5) -> DataFrame:
     """Exact area under the ROC curve; a tie counts one half."""
-    counts = score_counts(df, score, target).withColumns(
-        {"_bucket": F.floor(F.col("score") * SCORE_CELLS), "_g": F.lit(1)}
-    )
-    below = running_totals(counts, ["_g"], [F.asc("score")], {"cum": "neg"})
+    counts = score_counts(df, score, target).withColumn("_g", F.lit(1))
+    below = spread_totals(counts, ["_g"], "score", {"cum": "neg"})
     wins = F.sum(F.col("pos") * (F.col("cum") - F.col("neg") / 2))
     area = F.try_divide(wins, F.sum("pos").cast("double") * F.sum("neg"))
     return below.agg(F.coalesce(area, F.lit(one_class)).alias("auc"))

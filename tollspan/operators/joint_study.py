@@ -15,10 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tollspan.operators import grove
-from tollspan.operators.evaluate import SCORE_CELLS
 from tollspan.operators.nearest import nearest
 from tollspan.session import durable
-from tollspan.skew import running_totals
+from tollspan.skew import running_totals, spread_totals
 from tollspan.sources.ingest import cluster_features, numeric_features
 
 TRAIN, VALID, TEST = 0, 1, 2
@@ -85,9 +84,9 @@ def _synthetic(train: DataFrame, minor: DataFrame, variants: list[tuple], trials
 def _thresholds(counts: DataFrame, far_cap: float) -> DataFrame:
     """`group, model, threshold, tp, fp, p, n`: best sensitivity under the cap on validation, by model."""
     key = ["group", "model"]
-    valid = counts.filter(F.col("part") == VALID).withColumn("_bucket", F.floor(F.col("score") * SCORE_CELLS))
+    valid = counts.filter(F.col("part") == VALID)
     sums = valid.groupBy(*key).agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    points = running_totals(valid, key, [F.desc("score")], {"tp": "pos", "fp": "neg"}, bucket_desc=True)
+    points = spread_totals(valid, key, "score", {"tp": "pos", "fp": "neg"}, desc=True)
     silent = sums.select(*key, F.lit(None).cast("double").alias("score"), F.lit(0).cast("bigint").alias("tp"), F.lit(0).cast("bigint").alias("fp"))
     every = points.select(*key, "score", "tp", "fp").unionByName(silent).join(sums, key)
     cap = min(max(far_cap, 0.0), 1.0)
@@ -102,8 +101,7 @@ def _thresholds(counts: DataFrame, far_cap: float) -> DataFrame:
 def _areas(counts: DataFrame) -> DataFrame:
     """Exact area under the ROC curve by group, model and part; one class gives 0.5."""
     key = ["group", "model", "part"]
-    cells = counts.withColumn("_bucket", F.floor(F.col("score") * SCORE_CELLS))
-    below = running_totals(cells, key, [F.asc("score")], {"cum": "neg"})
+    below = spread_totals(counts, key, "score", {"cum": "neg"})
     area = F.try_divide(F.sum(F.col("pos") * (F.col("cum") - F.col("neg") / 2)), F.sum("pos").cast("double") * F.sum("neg"))
     return below.groupBy(*key).agg(F.coalesce(area, F.lit(0.5)).alias("auc"))
 

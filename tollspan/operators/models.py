@@ -6,13 +6,15 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tollspan.session import fresh_path
+
 KINDS = ("forest", "boosting", "svm")
 
 
@@ -93,11 +95,30 @@ def fit_model(train: DataFrame, features: Sequence[str], kind: str = "forest", p
     else:
         raise ValueError(f"kind must be one of {KINDS}")
     data = data.persist()
-    model = Pipeline(stages=stages).fit(data)
+    model = _fitted(stages, data)
     data.unpersist()
     return model
 
 
+def _fitted(stages: Sequence, data: DataFrame) -> PipelineModel:
+    """The pipeline's model, without training summaries.
+
+    A summary keeps the session, which cannot be sent to tasks once anything in it has been observed (a stream,
+    for one); a model written and read again has none.
+    """
+    done = []
+    for stage in stages:
+        if isinstance(stage, Estimator):
+            stage = stage.fit(data)
+            if getattr(stage, "hasSummary", False):
+                path = fresh_path(data.sparkSession, "model")
+                stage.write().save(path)
+                stage = type(stage).load(path)
+        done.append(stage)
+        data = stage.transform(data)
+    return PipelineModel(done)
+
+
 def with_score(model: PipelineModel, df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Add `score`, the positive probability (or the margin of a model without one)."""
     out = model.transform(_filled(df, features))

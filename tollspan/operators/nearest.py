@@ -34,7 +34,7 @@ class Pivots:
     blocks: dict
 
 
-def _matrix(x: pd.Series) -> np.ndarray:
+def matrix(x: pd.Series) -> np.ndarray:
     return np.stack(x.to_numpy()).astype(float) if len(x) else np.empty((0, 0))
 
 
@@ -50,13 +50,13 @@ def _points(rows: DataFrame, keep: int) -> DataFrame:
     return few.groupBy("group", "x").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("group", F.col("ids")[0].alias("pid"), "x", "ids")
 
 
-def _choose_pivots(points: DataFrame) -> Pivots:
-    sizes = points.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
+def choose_pivots(points: DataFrame) -> Pivots:
+    sizes = points.groupBy("group").agg(F.count(F.lit(1)).alias("_size"))
     order = Window.partitionBy("group").orderBy(F.xxhash64("pid", F.lit(3)), "pid")
-    wanted = F.least(F.ceil(F.col("n") / CELL_POINTS), F.lit(MOST_PIVOTS))
+    wanted = F.least(F.ceil(F.col("_size") / CELL_POINTS), F.lit(MOST_PIVOTS))
     # a hash below twice the wanted share, so that the ranking sees few rows of a large group
     share = F.pmod(F.xxhash64("pid", F.lit(3)), F.lit(1 << 20)) / (1 << 20)
-    few = points.join(sizes, "group").filter((F.col("n") <= 16 * CELL_POINTS) | (share * F.col("n") <= 2 * wanted + 64))
+    few = points.join(sizes, "group").filter((F.col("_size") <= 16 * CELL_POINTS) | (share * F.col("_size") <= 2 * wanted + 64))
     chosen = few.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= wanted).select("group", "x").collect()
     at: dict = {}
     for r in chosen:
@@ -72,10 +72,10 @@ def _parts(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
                 yield group, part.iloc[at : at + 1024]
 
 
-def _assigned(points: DataFrame, pivots: Pivots) -> DataFrame:
+def assigned(points: DataFrame, pivots: Pivots) -> DataFrame:
     def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group, part in _parts(frames):
-            d = _gaps(_matrix(part["x"]), pivots.at[group])
+            d = _gaps(matrix(part["x"]), pivots.at[group])
             cell = d.argmin(axis=1)
             yield part.assign(cell=cell.astype(np.int32), far=d[np.arange(len(d)), cell])
 
@@ -86,24 +86,27 @@ def _ddl(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
-def _visits(points: DataFrame, pivots: Pivots, k: int, own: bool) -> DataFrame:
-    """Points with the cells to visit: their own, or all others that the distance `reach` does not rule out."""
+def visits(points: DataFrame, pivots: Pivots, k: int | None, own: bool) -> DataFrame:
+    """Points with the cells to visit: their own, or all others that the distance `reach` does not rule out.
+
+    With `k` the pivots bound that distance: they are points too, and the k-th other one is no nearer than the k-th
+    neighbour. Without, `reach` stands as it is.
+    """
 
     def visit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         apart: dict = {}  # distances between the pivots of a group
         for group, part in _parts(frames):
             pivot, radius, blocks = pivots.at[group], pivots.radius[group], pivots.blocks[group]
-            x, cell = _matrix(part["x"]), part["cell"].to_numpy()
+            x, cell = matrix(part["x"]), part["cell"].to_numpy()
             if own:
                 reach = np.full(len(part), np.inf)
                 going = np.zeros((len(part), len(pivot)), bool)
                 going[np.arange(len(part)), cell] = True
             else:
                 d = _gaps(x, pivot)
-                # pivots are points too: the k-th other one bounds the k-th neighbour
-                other = np.sort(np.where(d > 0, d, np.inf), axis=1)
                 reach = part["reach"].to_numpy()
-                if other.shape[1] >= k:
+                if k and d.shape[1] >= k:
+                    other = np.sort(np.where(d > 0, d, np.inf), axis=1)
                     reach = np.minimum(reach, other[:, k - 1])
                 soft = reach * (1 + _SLACK)
                 going = d - radius[None, :] <= soft[:, None]
@@ -132,7 +135,7 @@ def _near(visits: DataFrame, held: DataFrame, k: int) -> DataFrame:
     def closest(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         who, gaps, near = [], [], []
         if len(a) and len(b):
-            y, ids = _matrix(b["x"]), b["pid"].to_numpy()
+            y, ids = matrix(b["x"]), b["pid"].to_numpy()
             for x, pid, reach in zip(a["x"], a["pid"], a["reach"], strict=True):
                 d = np.sqrt(((y - np.asarray(x, float)) ** 2).sum(axis=1))
                 fit = np.flatnonzero((d <= reach * (1 + _SLACK)) & (ids != pid))
@@ -165,8 +168,23 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k)
 
 
+def dealt(placed: DataFrame, pivots: Pivots) -> DataFrame:
+    """The points with `block`: a cell of more than 4 * CELL_POINTS is cut. Fills in the cells' radii and blocks."""
+    for r in placed.groupBy("group", "cell").agg(F.max("far").alias("far"), F.count(F.lit(1)).alias("n")).collect():
+        cells = len(pivots.at[r["group"]])
+        pivots.radius.setdefault(r["group"], np.full(cells, -np.inf))[r["cell"]] = r["far"]
+        pivots.blocks.setdefault(r["group"], np.zeros(cells, int))[r["cell"]] = -(-r["n"] // (4 * CELL_POINTS))
+    # at most one cell for each 4 * CELL_POINTS points is in the list
+    cuts = placed.sparkSession.createDataFrame(
+        [(g, c, int(n)) for g, b in pivots.blocks.items() for c, n in enumerate(b) if n > 1],
+        f"group {dict(placed.dtypes)['group']}, cell int, cuts int",
+    )
+    block = F.pmod(F.xxhash64("pid", F.lit(7)), F.coalesce("cuts", F.lit(1))).cast("int")
+    return placed.join(cuts, ["group", "cell"], "left").withColumn("block", block).drop("cuts")
+
+
 def nearest(rows: DataFrame, k: int) -> DataFrame:
-    """`group, id, rank, near_id`: for each row `(group, id, x)` the k nearest other rows of its group.
+    """`group, id, rank, near_id, d`: for each row `(group, id, x)` the k nearest other rows of its group.
 
     Distance is Euclidean over the array `x`, equal distances by the smaller id, rank from 0; a group with fewer
     others gives them all. Ids are whole numbers and stand once in a group. Rows with a null id, group or array
@@ -174,27 +192,16 @@ def nearest(rows: DataFrame, k: int) -> DataFrame:
     """
     rows = rows.select("group", F.col("id").cast("bigint").alias("id"), "x").dropna()
     points = durable(_points(rows, k + 1))
-    pivots = _choose_pivots(points)
+    pivots = choose_pivots(points)
     if not pivots.at:
-        return rows.select("group", "id", F.lit(0).alias("rank"), F.col("id").alias("near_id")).limit(0)
-    placed = _assigned(points, pivots)
-    for r in placed.groupBy("group", "cell").agg(F.max("far").alias("far"), F.count(F.lit(1)).alias("n")).collect():
-        cells = len(pivots.at[r["group"]])
-        pivots.radius.setdefault(r["group"], np.full(cells, -np.inf))[r["cell"]] = r["far"]
-        pivots.blocks.setdefault(r["group"], np.zeros(cells, int))[r["cell"]] = -(-r["n"] // (4 * CELL_POINTS))
-    cuts = placed.sparkSession.createDataFrame(
-        [(g, c, int(n)) for g, b in pivots.blocks.items() for c, n in enumerate(b) if n > 1],
-        f"group {dict(placed.dtypes)['group']}, cell int, cuts int",
-    )
-    # only cells above the wanted size are in the list: at most one for each 4 * CELL_POINTS points
-    held = placed.join(cuts, ["group", "cell"], "left").withColumn(
-        "block", F.pmod(F.xxhash64("pid", F.lit(7)), F.coalesce("cuts", F.lit(1))).cast("int")
-    )
-    at_home = durable(_near(_visits(placed, pivots, k, own=True), held, k))
+        return rows.select("group", "id", F.lit(0).alias("rank"), F.col("id").alias("near_id"), F.lit(0.0).alias("d")).limit(0)
+    placed = assigned(points, pivots)
+    held = dealt(placed, pivots)
+    at_home = durable(_near(visits(placed, pivots, k, own=True), held, k))
     # k points hold k ids at least, so the k-th of them is as far as the k-th neighbour can be
     home = _best(at_home, k).groupBy("group", "pid").agg(F.max("d").alias("d"), F.count(F.lit(1)).alias("n"))
     known = placed.join(home, ["group", "pid"], "left").withColumn("reach", F.when(F.col("n") >= k, F.col("d")).otherwise(float("inf")))
-    away = _near(_visits(known.drop("d", "n"), pivots, k, own=False), held, k)
+    away = _near(visits(known.drop("d", "n"), pivots, k, own=False), held, k)
     near = _best(at_home.unionByName(away), k).select("group", "pid", "d", F.explode("ids").alias("near_id"))
     same = points.select("group", "pid", F.lit(0.0).alias("d"), F.explode("ids").alias("near_id"))
     lists = near.unionByName(same).groupBy("group", "pid").agg(
@@ -205,5 +212,5 @@ def nearest(rows: DataFrame, k: int) -> DataFrame:
     return (
         of.join(lists, ["group", "pid"])
         .select("group", "id", F.posexplode(own).alias("rank", "p"))
-        .select("group", "id", "rank", F.col("p.near_id").alias("near_id"))
+        .select("group", "id", "rank", F.col("p.near_id").alias("near_id"), F.col("p.d").alias("d"))
     )

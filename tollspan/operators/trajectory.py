@@ -135,14 +135,14 @@ def macro_metrics(segs: DataFrame, minutes: int = 15) -> DataFrame:
 
 def vehicle_profiles(passes: DataFrame, segs: DataFrame) -> DataFrame:
     """Maximum speed, class, acceleration, deceleration and driver imperfection per plate."""
-    speed = exact_quantiles(passes, ["plate"], "speed_kmh", {"max_speed_kmh": 0.95}, cell=5.0)
+    speed = exact_quantiles(passes, ["plate"], "speed_kmh", {"max_speed_kmh": 0.95})
     per_class = passes.filter(F.col("category").isNotNull()).groupBy("plate", "category").agg(F.count(F.lit(1)).alias("n"))
     mode = per_class.groupBy("plate").agg(
         (-F.max(F.struct("n", (-F.col("category")).alias("c")))["c"]).alias("vehicle_class")
     )
-    up = exact_quantiles(segs.filter("accel_m_s2 > 0"), ["plate"], "accel_m_s2", {"_up": 0.9}, cell=0.01)
+    up = exact_quantiles(segs.filter("accel_m_s2 > 0"), ["plate"], "accel_m_s2", {"_up": 0.9})
     down = segs.filter("accel_m_s2 < 0").select("plate", F.abs("accel_m_s2").alias("a"))
-    down = exact_quantiles(down, ["plate"], "a", {"_down": 0.9}, cell=0.01)
+    down = exact_quantiles(down, ["plate"], "a", {"_down": 0.9})
     moves = segs.groupBy("plate").agg(F.avg("lane_change").alias("_rate"))
     out = speed.join(mode, "plate", "left").join(up, "plate", "left").join(down, "plate", "left").join(moves, "plate", "left")
     cls = F.col("vehicle_class")

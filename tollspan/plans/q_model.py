@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from tollspan.operators import balance, catalog, cluster, evaluate, explore, flow, models, plate, sections, study
+from tollspan.operators import balance, catalog, cluster, density, evaluate, explore, flow, models, plate, sections, study
 from tollspan.plans import q_plate, q_road
 from tollspan.plans.registry import cte, query, rounded
 from tollspan.plans.views import view
@@ -180,29 +180,30 @@ def _(spark, sf):
 
 
 cte(
-    "grid",
-    """SELECT plate, floor(x0 / 0.8) AS g0, floor(x1 / 0.8) AS g1, floor(x2 / 0.8) AS g2 FROM pz""",
+    "close",
+    """SELECT p.plate AS a, q.plate AS b, sqrt((p.x0 - q.x0) * (p.x0 - q.x0) + (p.x1 - q.x1) * (p.x1 - q.x1) + (p.x2 - q.x2) * (p.x2 - q.x2)) AS d
+FROM pz p, pz q WHERE sqrt((p.x0 - q.x0) * (p.x0 - q.x0) + (p.x1 - q.x1) * (p.x1 - q.x1) + (p.x2 - q.x2) * (p.x2 - q.x2)) <= 0.8""",
     "pz",
 )
 
 
 @query(
     "ML10_density_level",
-    """WITH RECURSIVE dense AS (SELECT g0, g1, g2, count(*) AS n, concat(CAST(g0 AS BIGINT), ',', CAST(g1 AS BIGINT), ',', CAST(g2 AS BIGINT)) AS id
-      FROM grid GROUP BY 1, 2, 3 HAVING count(*) >= 3),
-    reach AS (SELECT id AS a, id AS b FROM dense UNION SELECT r.a, q.id FROM reach r JOIN dense p ON r.b = p.id JOIN dense q
-      ON abs(p.g0 - q.g0) + abs(p.g1 - q.g1) + abs(p.g2 - q.g2) = 1),
-    lbl AS (SELECT a AS id, min(b) AS label FROM reach GROUP BY 1),
-    sz AS (SELECT label, sum(n) AS size FROM lbl JOIN dense USING (id) GROUP BY 1 HAVING sum(n) >= 6),
-    num AS (SELECT label, row_number() OVER (ORDER BY size DESC, label) - 1 AS c FROM sz)
-    SELECT plate, CAST(coalesce(c, -1) AS INT) AS cluster_label FROM grid g
-    LEFT JOIN dense d ON g.g0 = d.g0 AND g.g1 = d.g1 AND g.g2 = d.g2 LEFT JOIN lbl ON d.id = lbl.id LEFT JOIN num ON lbl.label = num.label""",
-    "grid",
+    """WITH RECURSIVE core AS (SELECT a AS plate FROM close GROUP BY 1 HAVING count(*) >= 4),
+    link AS (SELECT a, b FROM close WHERE a IN (SELECT plate FROM core) AND b IN (SELECT plate FROM core)),
+    reach AS (SELECT plate AS a, plate AS b FROM core UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+    lbl AS (SELECT a AS plate, min(b) AS name FROM reach GROUP BY 1),
+    edge AS (SELECT c.a AS plate, l.name, row_number() OVER (PARTITION BY c.a ORDER BY c.d, l.name) AS r
+      FROM close c JOIN lbl l ON c.b = l.plate WHERE c.a NOT IN (SELECT plate FROM core)),
+    memb AS (SELECT plate, name FROM lbl UNION ALL SELECT plate, name FROM edge WHERE r = 1),
+    num AS (SELECT name, row_number() OVER (ORDER BY count(*) DESC, name) - 1 AS c FROM memb GROUP BY name HAVING count(*) >= 6)
+    SELECT plate, CAST(coalesce(c, -1) AS INT) AS cluster_label FROM pz LEFT JOIN memb USING (plate) LEFT JOIN num USING (name)""",
+    "close",
 )
 def _(spark, sf):
     often, seldom = split(spark, sf)
     x = cluster.standardise(often, often.unionByName(seldom), PAIR)
-    return cluster.density_level(x, "plate", eps=0.8, min_samples=3, min_cluster_size=6)
+    return density.density_level(x, "plate", eps=0.8, min_samples=4, min_cluster_size=6)
 
 
 @query("ML30_fit_all")

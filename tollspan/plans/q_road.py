@@ -374,21 +374,13 @@ AND time_bucket(INTERVAL 5 minute, a.event_time) - INTERVAL 5 minute = f.interva
 )
 cte(
     "feat",
-    """SELECT gantry, interval_start FROM flow_matrix WHERE gantry <> '6' AND flow_heavy > 0
-AND interval_start BETWEEN TIMESTAMP '2024-01-01 01:00:00' AND TIMESTAMP '2024-01-01 11:00:00'""",
+    "SELECT gantry, interval_start FROM flow_matrix",
     "flow_matrix",
 )
 
 
 def statuses(spark, sf):
-    feat = matrix(spark, sf).filter(
-        (F.col("gantry") != "6")
-        & (F.col("flow_heavy") > 0)
-        & F.col("interval_start").between(
-            F.lit("2024-01-01 01:00:00").cast("timestamp_ntz"), F.lit("2024-01-01 11:00:00").cast("timestamp_ntz")
-        )
-    )
-    return sections.match_status(acc(spark, sf), feat.select("gantry", "interval_start"))
+    return sections.match_status(acc(spark, sf), matrix(spark, sf).select("gantry", "interval_start"))
 
 
 @query("AG25_match_status", "SELECT event_id, status FROM status", "status")
@@ -566,7 +558,7 @@ WINDOW w AS (PARTITION BY way_id ORDER BY point)) q WHERE lat2 IS NOT NULL""",
 cte(
     "gps",
     """SELECT event_id, -33 - (event_id % 997) * 0.0001e0 AS lat, -70 + (event_id % 1009) * 0.0001e0 - CASE WHEN event_id % 500 = 0 THEN 3 ELSE 0 END AS lon
-FROM detections WHERE event_id % 30 > 0""",
+FROM detections""",
     "detections",
 )
 
@@ -583,7 +575,7 @@ def way_points(spark, sf):
 
 def gps(spark, sf):
     far = F.when(F.col("event_id") % 500 == 0, 3).otherwise(0)
-    return view(spark, sf, "detections").filter("event_id % 30 > 0").select(
+    return view(spark, sf, "detections").select(
         "event_id",
         (F.lit(-33) - (F.col("event_id") % 997) * 0.0001).alias("lat"),
         (F.lit(-70) + (F.col("event_id") % 1009) * 0.0001 - far).alias("lon"),
@@ -618,7 +610,7 @@ cte(
     "passes",
     """SELECT d.event_id, d.ts, d.speed_kmh, d.category, d.plate, d.gantry, d.lane, g.km, g.carriageway, g.seq, g.axis FROM (
 SELECT *, row_number() OVER (PARTITION BY plate, gantry, ts ORDER BY speed_kmh, lane, event_id) AS rn FROM detections
-WHERE speed_kmh BETWEEN 0 AND 130) d JOIN gantries g ON d.gantry = g.gantry WHERE rn = 1""",
+WHERE speed_kmh BETWEEN 0 AND 200) d JOIN gantries g ON d.gantry = g.gantry WHERE rn = 1""",
     "detections gantries",
 )
 cte(
@@ -646,7 +638,7 @@ FROM traj WHERE NOT brk AND dt > 0""",
 
 
 def passes(spark, sf):
-    return clean.trajectory_input(view(spark, sf, "detections"), gantries(spark, sf), 130.0)
+    return clean.trajectory_input(view(spark, sf, "detections"), gantries(spark, sf))
 
 
 def traj(spark, sf):
@@ -798,11 +790,11 @@ def _(spark, sf):
 @query(
     "TR03_trip_types",
     """SELECT trip_id, coalesce(p.profile_id, CASE t.category WHEN 2 THEN 'bus' WHEN 3 THEN 'truck' WHEN 4 THEN 'motorcycle' ELSE 'car' END) AS vehicle_type
-    FROM trips t LEFT JOIN (SELECT * FROM profiles WHERE plate >= 'P0050') p ON t.plate = p.plate""",
+    FROM trips t LEFT JOIN profiles p ON t.plate = p.plate""",
     "trips profiles",
 )
 def _(spark, sf):
-    profiles = trajectory.vehicle_profiles(passes(spark, sf), segs(spark, sf)).filter("plate >= 'P0050'")
+    profiles = trajectory.vehicle_profiles(passes(spark, sf), segs(spark, sf))
     return trajectory.trips_with_types(trip_table(spark, sf), profiles).select("trip_id", "vehicle_type")
 
 

@@ -37,9 +37,10 @@ def _(spark, sf):
     return rounded(out.select("gantry", "interval_start", "class_label", "flow_count", "speed_mean"))
 
 
-def _settled(name: str) -> str:
-    """Rows that the final watermark, ten minutes before the last row, has passed."""
-    return f"epoch_us(ts) <= (SELECT (epoch_us(max(ts)) // 1000 - 600000) * 1000 FROM {name})"
+def finished(rows, stream, name: str):
+    """All that a stream makes of an input that is over."""
+    closing = streams.Closing(rows)
+    return streams.drain(stream(closing.rows), name, closing=closing)
 
 
 cte(
@@ -52,23 +53,23 @@ FROM detections WINDOW w AS (PARTITION BY gantry, lane ORDER BY ts, plate, event
 
 @query(
     "SS03_headway_stream",
-    f"""SELECT event_id, plate, gantry, lane, r4(headway_s) AS headway_s, r4(prev_speed) AS prev_speed FROM lead_vehicle
-    WHERE headway_s IS NOT NULL AND {_settled("detections")}""",
+    """SELECT event_id, plate, gantry, lane, r4(headway_s) AS headway_s, r4(prev_speed) AS prev_speed FROM lead_vehicle
+    WHERE headway_s IS NOT NULL""",
     "lead_vehicle",
 )
 def _(spark, sf):
-    out = streams.drain(streams.headway_stream(stream_view(spark, sf, "detections")), "headway")
+    out = finished(stream_view(spark, sf, "detections"), streams.headway_stream, "headway")
     return rounded(out.drop("speed_kmh"))
 
 
 @query(
     "SS03_conflict_stream",
-    f"""SELECT plate, r4(avg(conflict)) AS conflict_rate, count(conflict) AS conflict_count FROM follow_det
-    WHERE {_settled("detections")} GROUP BY 1 HAVING count(conflict) > 0""",
+    """SELECT plate, r4(avg(conflict)) AS conflict_rate, count(conflict) AS conflict_count FROM follow_det
+    GROUP BY 1 HAVING count(conflict) > 0""",
     "follow_det",
 )
 def _(spark, sf):
-    out = streams.drain(streams.headway_stream(stream_view(spark, sf, "detections")), "headway")
+    out = finished(stream_view(spark, sf, "detections"), streams.headway_stream, "headway")
     return rounded(
         streams.conflict_columns(out)
         .groupBy("plate")
@@ -78,12 +79,12 @@ def _(spark, sf):
 
 @query(
     "SS04_lane_change_stream",
-    f"""SELECT plate, count(*) AS passes, CAST(sum(lane_change) AS BIGINT) AS lane_changes FROM follow_det
-    WHERE {_settled("detections")} GROUP BY 1""",
+    """SELECT plate, count(*) AS passes, CAST(sum(lane_change) AS BIGINT) AS lane_changes FROM follow_det
+    GROUP BY 1""",
     "follow_det",
 )
 def _(spark, sf):
-    out = streams.drain(streams.lane_change_stream(stream_view(spark, sf, "detections")), "lanes")
+    out = finished(stream_view(spark, sf, "detections"), streams.lane_change_stream, "lanes")
     return out.groupBy("plate").agg(F.sum("passes").alias("passes"), F.sum("lane_changes").alias("lane_changes"))
 
 
@@ -92,23 +93,24 @@ def _(spark, sf):
     """SELECT plate, n_passes, first_ts, last_ts FROM (SELECT plate, count(*) AS n_passes, min(ts) AS first_ts, max(ts) AS last_ts FROM (
     SELECT plate, ts, sum(b) OVER (PARTITION BY plate ORDER BY ts, event_id) AS s FROM (SELECT plate, ts, event_id,
     CASE WHEN ts < lag(ts) OVER (PARTITION BY plate ORDER BY ts, event_id) + INTERVAL 20 minute THEN 0 ELSE 1 END AS b FROM detections) a) b
-    GROUP BY plate, s) c, (SELECT max(ts) AS mx FROM detections) m WHERE date_trunc('millisecond', last_ts + INTERVAL 20 minute) <= date_trunc('millisecond', mx) - INTERVAL 10 minute""",
+    GROUP BY plate, s) c""",
     "detections",
 )
 def _(spark, sf):
-    return streams.drain(streams.session_stream(stream_view(spark, sf, "detections"), "20 minutes"), "sessions")
+    return finished(stream_view(spark, sf, "detections"), lambda rows: streams.session_stream(rows, "20 minutes"), "sessions")
 
 
-@query("SS05_trip_stream", f"SELECT event_id, plate, trip_no, brk AS trip_break FROM traj WHERE {_settled('traj')}", "traj")
+@query("SS05_trip_stream", "SELECT event_id, plate, trip_no, brk AS trip_break FROM traj", "traj")
 def _(spark, sf):
     from tollspan.plans.views import view
 
     posts = q_road.gantries(spark, sf).select("gantry", "km")
     # the duplicate rule needs whole tables, so the stream starts from the cleaned passes
     path = fresh_path(spark, "passes")
-    clean.trajectory_input(view(spark, sf, "detections"), q_road.gantries(spark, sf), 130.0).drop("km").write.parquet(path)
-    rows = streams.table_stream(spark, path, "*.parquet").join(posts, "gantry")
-    return streams.drain(streams.trip_stream(rows), "trips")
+    clean.trajectory_input(view(spark, sf, "detections"), q_road.gantries(spark, sf)).drop("km").write.parquet(path)
+    closing = streams.Closing(streams.table_stream(spark, path, "*.parquet"))
+    rows = closing.rows.join(posts, "gantry", "left").filter(F.col("km").isNotNull() | (F.col("gantry") == streams.CLOSED))
+    return streams.drain(streams.trip_stream(rows), "trips", closing=closing)
 
 
 @query(

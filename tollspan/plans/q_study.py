@@ -291,6 +291,23 @@ def _(spark, sf):
     return explore.cross_table(c, [0, 1, 2]).join(best, "label_a")
 
 
+@query(
+    "AG30_best_matching",
+    """WITH la AS (SELECT DISTINCT label_a FROM cells),
+    m AS (SELECT x.label_a AS a0, y.label_a AS a1, z.label_a AS a2,
+      coalesce((SELECT n FROM cells WHERE label_a = x.label_a AND label_b = 0), 0) + coalesce((SELECT n FROM cells WHERE label_a = y.label_a AND label_b = 1), 0)
+      + coalesce((SELECT n FROM cells WHERE label_a = z.label_a AND label_b = 2), 0) AS s
+      FROM la x, la y, la z WHERE x.label_a <> y.label_a AND y.label_a <> z.label_a AND x.label_a <> z.label_a),
+    best AS (SELECT * FROM m ORDER BY s DESC,
+      (SELECT list(CASE label_a WHEN a0 THEN 0 WHEN a1 THEN 1 WHEN a2 THEN 2 ELSE 3 END ORDER BY label_a) FROM la) LIMIT 1),
+    pick AS (SELECT label_a, CASE label_a WHEN a0 THEN 0 WHEN a1 THEN 1 WHEN a2 THEN 2 END AS label_b FROM la, best)
+    SELECT label_a, label_b, coalesce(n, 0) AS n FROM pick LEFT JOIN cells USING (label_a, label_b)""",
+    "cells",
+)
+def _(spark, sf):
+    return explore.best_matching(cells(spark, sf))
+
+
 @query(
     "AG31_cluster_flows",
     "SELECT label_a, label_b, n, r4(n / sum(n) OVER (PARTITION BY label_a)) AS share FROM cells",

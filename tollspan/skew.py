@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tollspan.session import durable
+
 EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
 
@@ -99,6 +101,19 @@ def running_totals(
     )
 
 
+def spread_totals(df: DataFrame, keys: Sequence[str], value: str, sums: dict[str, str], *, desc: bool = False) -> DataFrame:
+    """Running sums (`{output: input}`) per key in the order of `value`, current row included, however values lie.
+
+    Rows are dealt out by sampled bounds on (keys, value), so each task has about as many whether one key or one
+    narrow range of values holds most of them. A task sums what it has and takes over one offset a key from the
+    tasks before. `value` must not repeat within a key.
+    """
+    placed = df.repartitionByRange(*keys, value).withColumn("_bucket", F.spark_partition_id())
+    # written, as numbers of partitions may differ when they are worked out again
+    order = F.desc(value) if desc else F.asc(value)
+    return running_totals(durable(placed), keys, [order], sums, bucket_desc=desc).drop("_bucket")
+
+
 def halo_copies(df: DataFrame, ts: str, seconds: int, halo_seconds: float) -> DataFrame:
     """Cut time into buckets; a row near a bucket's end is repeated, as context, in the next one.
 
@@ -115,49 +130,29 @@ def halo_copies(df: DataFrame, ts: str, seconds: int, halo_seconds: float) -> Da
     ).select(*df.columns, "_bucket", (F.col("_bucket") > F.col("_own")).alias("_context"))
 
 
-def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], cell: float
-) -> DataFrame:
-    """Exact linear-interpolated quantiles per key: `{output: probability}`.
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """Exact linear-interpolated quantiles per key: `{output: probability}`; null values do not count.
 
-    Equal values are counted before the shuffle. A histogram of `cell`-wide
-    cells finds which cells hold the wanted ranks, and only those are ordered.
+    Equal values are counted before the shuffle; see `quantiles_of_counts`.
     """
-    keys = list(keys)
-    counts = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_cell", F.floor(F.col("_v") / F.lit(cell)))
-    )
-    whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
-    ordered = whole.orderBy("_cell")
-    cells = (
-        counts.groupBy(*keys, "_cell")
-        .agg(F.sum("_n").alias("_m"))
-        .select(
-            *keys,
-            "_cell",
-            "_m",
-            (F.sum("_m").over(ordered) - F.col("_m")).alias("_before"),
-            F.sum("_m").over(whole).alias("_total"),
-        )
-    )
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    return quantiles_of_counts(counts, keys, probs)
 
-    def rank(p: float) -> Column:
-        return F.lit(p) * (F.col("_total") - 1)
 
-    def inside(r: Column) -> Column:
-        return (F.col("_before") <= r) & (r < F.col("_before") + F.col("_m"))
+def quantiles_of_counts(counts: DataFrame, keys: Sequence[str], probs: dict[str, float]) -> DataFrame:
+    """Exact quantiles per key from `(keys, _v, _n)`, a row for each distinct value.
 
-    wanted = F.lit(False)
-    for p in probs.values():
-        wanted = wanted | inside(F.floor(rank(p))) | inside(F.ceil(rank(p)))
-    chosen = cells.filter(wanted).drop("_m")
-    cum = F.sum("_n").over(
-        Window.partitionBy(*keys, "_cell").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    )
-    ranked = counts.join(chosen, [*keys, "_cell"]).withColumn("_cum", F.col("_before") + cum)
+    Values are dealt out by sampled bounds (`spread_totals`), so no width of a cell has to fit them: they may lie
+    within one unit or over a thousand millions, and one key may hold most of them.
+    """
+    keys = list(keys) or ["_g"]
+    if "_g" in keys:
+        counts = counts.withColumn("_g", F.lit(1))
+    placed = durable(spread_totals(counts.select(*keys, "_v", "_n"), keys, "_v", {"_cum": "_n"}))
+    totals = placed.groupBy(*keys).agg(F.max("_cum").alias("_total"))
+
+    def rank(p: float) -> Column:
+        return F.lit(p) * (F.col("_total") - 1)
 
     def value_at(r: Column) -> Column:
         hit = (F.col("_cum") > r) & (F.col("_cum") - F.col("_n") <= r)
@@ -165,13 +160,10 @@ def exact_quantiles(
 
     picks = []
     for out, p in probs.items():
-        picks += [
-            value_at(F.floor(rank(p))).alias(f"_lo_{out}"),
-            value_at(F.ceil(rank(p))).alias(f"_hi_{out}"),
-        ]
-    picked = ranked.groupBy(*keys, "_total").agg(*picks)
+        picks += [value_at(F.floor(rank(p))).alias(f"_lo_{out}"), value_at(F.ceil(rank(p))).alias(f"_hi_{out}")]
+    picked = placed.join(totals, keys).groupBy(*keys, "_total").agg(*picks)
     return picked.select(
-        *keys,
+        *[k for k in keys if k != "_g"],
         *[
             (
                 F.col(f"_lo_{out}")

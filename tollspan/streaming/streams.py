@@ -30,20 +30,58 @@ def event_time(df: DataFrame, ts: str = "ts", delay: str = "10 minutes") -> Data
     return df.withColumn("event_at", F.col(ts).cast("timestamp")).withWatermark("event_at", delay)
 
 
-def drain(df: DataFrame, name: str, path: str | None = None, checkpoint: str | None = None) -> DataFrame:
-    """Run a stream over all there is into a Parquet sink, exactly once, and read the sink."""
+class Closing:
+    """The end of a finished input, so that what waits for the watermark comes out too.
+
+    `rows` is the stream to work on: the given one, and one more source that is empty until `finish` puts a single
+    row into it. That row has the latest of times and CLOSED as its text keys; it moves the watermark past all
+    others, and the operators below pass over it. A stream that goes on is never finished.
+    """
+
+    def __init__(self, rows: DataFrame, ts: str = "ts") -> None:
+        self.spark, self.schema, self.ts = rows.sparkSession, rows.schema, ts
+        self.folder = fresh_path(self.spark, "closing")
+        self.spark.createDataFrame([], self.schema).write.parquet(self.folder)
+        self.rows = rows.unionByName(self.spark.readStream.schema(self.schema).parquet(self.folder))
+
+    def finish(self) -> None:
+        values = [
+            F.lit(CLOSED).alias(f.name)
+            if f.dataType.simpleString() == "string"
+            else F.lit(LAST_TIME if f.name == self.ts else None).cast(f.dataType).alias(f.name)
+            for f in self.schema.fields
+        ]
+        self.spark.range(1).select(*values).write.mode("append").parquet(self.folder)
+
+
+CLOSED = "\u0001closed"
+LAST_TIME = "2200-01-01 00:00:00"  # pandas times end in 2262
+
+
+def drain(df: DataFrame, name: str, path: str | None = None, checkpoint: str | None = None, closing: Closing | None = None) -> DataFrame:
+    """Run a stream over all there is into a Parquet sink, exactly once, and read the sink.
+
+    With `closing` the input is over: the stream goes on once more from where it stands, and flushes all it holds.
+    """
     spark = df.sparkSession
     path = path or fresh_path(spark, name)
     checkpoint = checkpoint or fresh_path(spark, f"{name}-state")
-    query = (
-        df.writeStream.format("parquet")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+
+    def run() -> None:
+        query = (
+            df.writeStream.format("parquet")
+            .option("path", path)
+            .option("checkpointLocation", checkpoint)
+            .outputMode("append")
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+
+    run()
+    if closing:
+        closing.finish()
+        run()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -98,7 +136,8 @@ def _settled(parts: Iterator[pd.DataFrame], state: GroupState, order: list[str])
         rows.append(pd.DataFrame(waiting))
     if not rows:
         return pd.DataFrame(), carried
-    every = pd.concat(rows, ignore_index=True).sort_values(order, ignore_index=True)
+    every = pd.concat(rows, ignore_index=True) if len(rows) > 1 else rows[0]
+    every = every.sort_values(order, ignore_index=True)
     mark = state.getCurrentWatermarkMs()
     ready = every["us"] <= mark * 1000
     later = every[~ready]
@@ -121,10 +160,13 @@ def headway_stream(df: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Gap and speed of the vehicle before at each gantry and lane, once the watermark has passed a row."""
 
     def follow(key, parts, state: GroupState):
+        if key[0] == CLOSED:
+            return
         out, last = _settled(parts, state, ["us", "plate", "event_id"])
         if len(out):
             before = last or [None, None]
-            out["prev_us"] = out["us"].shift().fillna(float("nan") if before[0] is None else before[0])
+            out["prev_us"] = out["us"].shift().astype(float)
+            out.loc[0, "prev_us"] = float("nan") if before[0] is None else before[0]
             out["prev_speed"] = out["speed_kmh"].shift()
             out.loc[0, "prev_speed"] = float("nan") if before[1] is None else before[1]
             out["headway_s"] = (out["us"] - out["prev_us"]) / 1e6
@@ -133,7 +175,8 @@ def headway_stream(df: DataFrame, delay: str = "10 minutes") -> DataFrame:
             out = out[out["headway_s"].notna()].assign(gantry=key[0], lane=key[1])
             yield out[["event_id", "plate", "gantry", "lane", "speed_kmh", "headway_s", "prev_speed"]]
 
-    rows = df.withColumn("us", micros("ts")).filter(F.col("gantry").isNotNull() & F.col("lane").isNotNull())
+    lane = F.when(F.col("gantry") == CLOSED, 0).otherwise(F.col("lane"))  # so the closing row stays
+    rows = df.withColumns({"us": micros("ts"), "lane": lane}).filter(F.col("gantry").isNotNull() & F.col("lane").isNotNull())
     rows = event_time(rows, delay=delay).select("event_id", "plate", "gantry", "lane", "speed_kmh", "us", "event_at")
     return rows.groupBy("gantry", "lane").applyInPandasWithState(
         lambda key, parts, state: follow(key, (p.drop(columns=["event_at", "gantry", "lane"]) for p in parts), state),
@@ -155,6 +198,8 @@ def lane_change_stream(df: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Passes and lane changes that the rows passed by the watermark add to a plate, its last lane carried as state."""
 
     def count(key, parts, state: GroupState):
+        if key[0] == CLOSED:
+            return
         out, last = _settled((p.drop(columns=["event_at", "plate"]) for p in parts), state, ["us", "gantry", "event_id"])
         if len(out):
             before = out["lane"].shift()
@@ -177,6 +222,8 @@ def session_stream(df: DataFrame, gap: str = "1 hour", delay: str = "10 minutes"
         .groupBy("plate", F.session_window("event_at", gap).alias("w"))
         .agg(F.count(F.lit(1)).alias("n_passes"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
         .select("plate", "n_passes", "first_ts", "last_ts")
+        # by its time: a condition on the plate would be moved in front of the watermark
+        .filter(F.col("first_ts") < F.lit(LAST_TIME).cast("timestamp_ntz"))
     )
 
 
@@ -187,6 +234,8 @@ def trip_stream(df: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """
 
     def cut(key, parts, state: GroupState):
+        if key[0] == CLOSED:
+            return
         out, last = _settled((p.drop(columns=["event_at", "plate"]) for p in parts), state, ["us", "gantry"])
         if not len(out):
             return
