@@ -61,6 +61,10 @@ def family_of(lang: str) -> str:
     return next((f for f, langs in FAMILIES.items() if lang in langs), lang)
 
 
+#: Share of rightly judged texts that may lie below a model's `least` score.
+SURE_MISSED = 0.001
+
+
 @dataclass
 class Model:
     langs: list[str] = field(default_factory=list)
@@ -69,6 +73,8 @@ class Model:
     weights: np.ndarray = field(default_factory=lambda: np.zeros((1 << BITS, 0), np.float32))
     bias: np.ndarray = field(default_factory=lambda: np.zeros(0))
     column: dict[tuple[str, str], int] = field(default_factory=dict)
+    #: The score that all but SURE_MISSED of the fitted texts given their own language exceed, with a tenth of slack.
+    least: float = 0.0
 
     def margins(self, text: str) -> np.ndarray | None:
         total, n = np.zeros(len(self.bias)), 0
@@ -94,8 +100,9 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         margins = self.margins(text) if text and self.langs else None
-        if margins is None:
-            return UNDETERMINED, 0.0
+        return (UNDETERMINED, 0.0) if margins is None else self._judge(margins)
+
+    def _judge(self, margins: np.ndarray) -> tuple[str, float]:
         family, first = self._choose(self.families, margins)
         lang, second = self._choose([c for c in self.langs if family_of(c) == family], margins)
         return lang, float(np.prod([1 / (1 + np.exp(-4.0 * np.clip(m, -9, 9))) for m in (first, second)]))
@@ -162,7 +169,11 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
         weights.append(w)
         bias.append(c)
     table_ = np.stack(weights, 1) if weights else np.zeros((1 << BITS, 0), np.float32)
-    return Model(langs, families, table_, np.array(bias), column)
+    model = Model(langs, families, table_, np.array(bias), column)
+    judged = [model._judge(SCALE * (v @ table_[g]) + model.bias) for g, v in zip(grams, shares, strict=True)]
+    right = [score for (found, score), own in zip(judged, lang, strict=True) if found == own]
+    model.least = 0.9 * float(np.quantile(right, SURE_MISSED)) if right else 0.0
+    return model
 
 
 def language(model: Model, text: Column) -> Column:
