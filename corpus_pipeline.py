@@ -9,10 +9,6 @@ from tollspan.llm import langid, near_copies, packing, toxicity
 from tollspan.llm.common import free_name, remainder, table
 from tollspan.session import fresh_path
 
-#: A document whose language is less certain than this goes, as does one without a letter.
-LEAST_CERTAIN = 0.2
-
-
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that compression distance does not call toxic; null and empty texts stay."""
     labels = table(spark, sf_dir, "labels").filter(remainder("doc_id", 5) != 0)
@@ -22,10 +18,13 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the learned languages; those without a letter, null or empty, go."""
+    """Documents in one of the learned languages; those without a letter, null or empty, go.
+
+    A document goes as well where its language is less certain than that of nearly all texts the model was fitted on.
+    """
     model = langid.fit(docs.filter(remainder("doc_id", 4) != 2))
     found = free_name(docs.columns, "_language")
-    sure = (F.col(f"{found}.lang") != langid.UNDETERMINED) & (F.col(f"{found}.score") >= LEAST_CERTAIN)
+    sure = (F.col(f"{found}.lang") != langid.UNDETERMINED) & (F.col(f"{found}.score") >= model.least)
     return docs.withColumn(found, langid.language(model, F.col("text"))).filter(sure).select(*docs.columns)
 
 
