@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tollspan.functions import geo as G
@@ -11,7 +11,6 @@ from tollspan.session import durable
 from tollspan.skew import (
     exact_quantiles,
     previous_row,
-    running_totals,
     seconds_between,
     time_bucket_id,
 )
@@ -23,42 +22,74 @@ MAX_SPEED_KMH = 160.0
 MIN_SPEED_KMH = 5.0
 
 
+_CARRIED = ("ts", "km", "speed_kmh", "gantry", "lane")
+
+
+def _ends_trip(ts, km, prev_ts, prev_km, before_km):
+    """Whether a row ends a trip, from its own place, that of the row before and the km of the one before that."""
+    gap = F.expr(f"timestampdiff(MICROSECOND, {prev_ts}, {ts}) / 1000000.0D")
+    step = F.expr(f"{km} - {prev_km}")
+    sign, before = F.signum(F.coalesce(step, F.lit(0.0))), F.signum(F.coalesce(F.expr(f"{prev_km} - {before_km}"), F.lit(0.0)))
+    speed = F.try_divide(F.abs(step), gap) * 3600
+    ends = (
+        gap.isNull()
+        | (gap > MAX_GAP_S)
+        | (F.abs(step) > MAX_JUMP_KM)
+        | (speed > MAX_SPEED_KMH)
+        | (speed < MIN_SPEED_KMH)
+        | ((gap == 0) & (F.abs(step) > 0))
+        | ((sign != before) & (sign != 0) & (before != 0))
+    )
+    return F.coalesce(ends, F.lit(False))
+
+
 def trajectories(passes: DataFrame, *, bucket_s: int = 3600) -> DataFrame:
     """Cut each plate's passes into trips.
 
-    A trip ends at a long gap, a long jump, an impossible or very low implied speed, or
-    a change of direction. Every plate is cut into buckets of time, and one row a bucket carries
-    over the borders, so no plate is too much for a task.
+    A trip ends at a long gap, a long jump, an impossible or very low implied speed, or a change of direction.
+    Every plate is cut into buckets of time, so no plate is too much for a task. One sort a bucket gives each row the
+    two before it. A summary row a bucket (first two and last two rows, trip ends behind them) tells the
+    next bucket what came before and how many trips there were.
     """
-    order = ["ts", "gantry"]
-    rows = passes.withColumn("_bucket", time_bucket_id("ts", bucket_s))
-    rows = previous_row(rows, ["plate"], order, ["ts", "km", "speed_kmh", "gantry", "lane"])
-    rows = rows.withColumns(
-        {"delta_t_s": seconds_between("prev_ts", "ts"), "delta_km": F.col("km") - F.col("prev_km")}
-    ).withColumns(
+    key = ["plate", "_bucket"]
+    inside = Window.partitionBy(*key).orderBy("ts", "gantry")
+    own = F.struct(*[F.col(c).alias(c) for c in _CARRIED])
+    rows = passes.withColumn("_bucket", time_bucket_id("ts", bucket_s)).select(
+        "*", F.row_number().over(inside).alias("_at"), F.lag(own).over(inside).alias("_p"), F.lag("km", 2).over(inside).alias("_km2")
+    )
+    local = (F.col("_at") > 2) & _ends_trip("ts", "km", "_p.ts", "_p.km", "_km2")
+    rows = rows.withColumn("_ends", local.cast("int"))
+
+    def at(n: int):
+        return F.max(F.when(F.col("_at") == n, own))
+
+    last = F.max(F.struct("_at", own.alias("row"), "_p"))
+    summary = rows.groupBy(*key).agg(at(1).alias("one"), at(2).alias("two"), last.alias("last"), F.sum("_ends").alias("inner"))
+    line = Window.partitionBy("plate").orderBy("_bucket")
+    carry = summary.select(
+        "*", F.lag("last").over(line).alias("_l1"), F.lag("last", 2).over(line).alias("_l2")
+    ).withColumn("_b2", F.coalesce("_l1._p.km", "_l2.row.km"))
+    carry = carry.withColumns(
         {
-            "implied_kmh": F.try_divide(F.abs("delta_km"), F.col("delta_t_s")) * 3600,
-            "_sign": F.signum(F.coalesce("delta_km", F.lit(0.0))),
+            "_e1": _ends_trip("one.ts", "one.km", "_l1.row.ts", "_l1.row.km", "_b2").cast("int"),
+            "_e2": F.when(F.col("two").isNotNull(), _ends_trip("two.ts", "two.km", "one.ts", "one.km", "_l1.row.km").cast("int")).otherwise(0),
         }
     )
-    rows = previous_row(rows, ["plate"], order, ["_sign"])
-    turned = (F.col("_sign") != F.col("prev__sign")) & (F.col("_sign") != 0) & (F.col("prev__sign") != 0)
-    standstill_jump = (F.col("delta_t_s") == 0) & (F.abs("delta_km") > 0)
-    ends = (
-        F.col("delta_t_s").isNull()
-        | (F.col("delta_t_s") > MAX_GAP_S)
-        | (F.abs("delta_km") > MAX_JUMP_KM)
-        | (F.col("implied_kmh") > MAX_SPEED_KMH)
-        | (F.col("implied_kmh") < MIN_SPEED_KMH)
-        | standstill_jump
-        | turned
-    )
-    rows = rows.withColumn("trip_break", F.coalesce(ends, F.lit(False)))
-    rows = rows.withColumn("_one", F.col("trip_break").cast("int"))
-    rows = running_totals(rows, ["plate"], [F.col(c) for c in order], {"trip_no": "_one"})
-    return rows.withColumn("trip_id", F.concat_ws("_", "plate", F.col("trip_no").cast("string"))).drop(
-        "_bucket", "_sign", "prev__sign", "_one"
-    )
+    before = F.sum(F.col("_e1") + F.col("_e2") + F.col("inner")).over(line.rowsBetween(Window.unboundedPreceding, -1))
+    carry = carry.select(*key, F.col("_l1.row").alias("_c"), "_e1", "_e2", F.coalesce(before, F.lit(0)).alias("_trips"))
+    counted = F.sum("_ends").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    joined = rows.withColumn("_run", counted).join(carry, key)
+    prev = F.coalesce("_p", "_c")
+    ends = F.when(F.col("_at") == 1, F.col("_e1")).when(F.col("_at") == 2, F.col("_e2")).otherwise(F.col("_ends"))
+    number = F.col("_trips") + F.col("_e1") + F.when(F.col("_at") > 1, F.col("_e2")).otherwise(0) + F.col("_run")
+    out = joined.withColumns({"_prev": prev, "trip_break": ends == 1, "trip_no": number})
+    out = out.withColumns({f"prev_{c}": F.col(f"_prev.{c}") for c in _CARRIED})
+    out = out.withColumns({"delta_t_s": seconds_between("prev_ts", "ts"), "delta_km": F.col("km") - F.col("prev_km")})
+    return out.select(
+        *passes.columns, *[f"prev_{c}" for c in _CARRIED], "delta_t_s", "delta_km",
+        (F.try_divide(F.abs("delta_km"), F.col("delta_t_s")) * 3600).alias("implied_kmh"), "trip_break", "trip_no",
+        F.concat_ws("_", "plate", F.col("trip_no").cast("string")).alias("trip_id"),
+    )
 
 
 def segments(traj: DataFrame) -> DataFrame:
