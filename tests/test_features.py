@@ -319,3 +319,14 @@ def test_a_finished_stream_gives_all_rows(spark, late_files, build):
         lanes = rows.filter("gantry IS NOT NULL AND lane IS NOT NULL").groupBy("gantry", "lane").count().collect()
         assert len(got) == sum(r["count"] - 1 for r in lanes)
     assert not any(streams.CLOSED in map(str, r) for r in got)
+
+
+def test_files_of_one_folder_with_their_own_forms(spark, tmp_path):
+    (tmp_path / "a b.csv").write_bytes("name;n\nGarz\u00f3n;1,5\n".encode("latin-1"))
+    (tmp_path / "b.csv").write_bytes("name,n\nGarz\u00f3n,2\n\"x;y;z\",3\n".encode())
+    (tmp_path / "c.csv").write_bytes("n;name;more\n4;\u00d1u\u00f1oa;m\n".encode())
+    forms = {f.rsplit("/", 1)[-1]: (s, e) for f, s, e in ingest.sniffed_files(spark, str(tmp_path))}
+    assert forms == {"a b.csv": (";", "ISO-8859-1"), "b.csv": (",", "UTF-8"), "c.csv": (";", "UTF-8")}
+    got = ingest.read_sniffed(spark, str(tmp_path)).select("name", "n", "more")
+    assert rows(got) == sorted([("Garz\u00f3n", "1,5", None), ("Garz\u00f3n", "2", None), ("x;y;z", "3", None), ("\u00d1u\u00f1oa", "4", "m")], key=repr)
+    assert ingest.read_sniffed(spark, str(tmp_path), limit=2).count() == 2

@@ -580,8 +580,11 @@ def _(spark, sf):
 
 @query("SRC10_sniffed_csv", "SELECT ts, speed_kmh, category, plate, gantry, lane FROM parsed WHERE ts IS NOT NULL AND category IS NOT NULL", "parsed")
 def _(spark, sf):
-    path = fresh_path(spark, "sniff") + ".csv"
-    view(spark, sf, "raw_detections").write.csv(path, header=True, sep=";")
+    path = fresh_path(spark, "sniff")
+    raw = view(spark, sf, "raw_detections")
+    odd = F.col("event_id") % 2 == 1  # the files of one folder are parted in two ways
+    raw.filter(odd).write.csv(path, header=True, sep=";")
+    raw.filter(~odd).write.mode("append").csv(path, header=True, sep=",", encoding="ISO-8859-1")
     return ingest.parse_detections(ingest.read_sniffed(spark, path))
 
 

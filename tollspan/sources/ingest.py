@@ -86,14 +86,34 @@ def read_text_table(
     return df.limit(limit) if limit else df
 
 
-def read_sniffed(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """CSV whose separator (`,` or `;`) and encoding (UTF-8, else Latin-1) are found from its first line."""
-    lines = spark.read.text(path)
-    head = lines.first()
-    line = head[0] if head else ""
-    sep = ";" if line.count(";") > line.count(",") else ","
-    bad = not lines.filter(~F.is_valid_utf8("value")).isEmpty()
-    return read_text_table(spark, path, sep, "ISO-8859-1" if bad else "UTF-8", limit)
+def sniffed_files(spark: SparkSession, path: str | Sequence[str]) -> list[tuple[str, str, str]]:
+    """Path, separator and encoding of each file: `;` or `,`, whichever its first line has more of, and UTF-8 unless
+    some line of it is none (then Latin-1). One pass over all lines; a row a file comes back.
+    """
+    from urllib.parse import unquote
+
+    lines = spark.read.text(path if isinstance(path, str) else list(path)).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("at"),
+        "value",
+    )
+    found = lines.groupBy("file").agg(F.min_by("value", "at").alias("head"), F.max(~F.is_valid_utf8("value")).alias("bad"))
+    semicolons = F.length(F.regexp_replace("head", "[^;]", "")) > F.length(F.regexp_replace("head", "[^,]", ""))
+    rows = found.select("file", F.when(semicolons, ";").otherwise(",").alias("sep"), F.when(F.col("bad"), "ISO-8859-1").otherwise("UTF-8").alias("encoding"))
+    return sorted((unquote(r["file"]), r["sep"], r["encoding"]) for r in rows.collect())
+
+
+def read_sniffed(spark: SparkSession, path: str | Sequence[str], limit: int | None = None) -> DataFrame:
+    """CSV files, each with its own separator and encoding. Columns that a file lacks are null in its rows."""
+    by_form: dict[tuple[str, str], list[str]] = {}
+    for file, sep, encoding in sniffed_files(spark, path):
+        by_form.setdefault((sep, encoding), []).append(file)
+    out = None
+    for (sep, encoding), files in by_form.items():
+        part = read_text_table(spark, files, sep, encoding)
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    out = read_text_table(spark, path) if out is None else out
+    return out.limit(limit) if limit else out
 
 
 def parse_detections(raw: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
