@@ -541,9 +541,28 @@ def _(spark, sf):
     return ingest.table_summary(view(spark, sf, "detections"))
 
 
-@query("SRC05_schema_listing")
+_COLUMNS = (("event_id", "bigint"), ("ts", "timestamp_ntz"), ("speed_kmh", "double"), ("category", "int"), ("plate", "string"), ("gantry", "string"),
+            ("lane", "int"))
+
+
+@query(
+    "SRC05_schema_listing",
+    " UNION ALL ".join(
+        f"SELECT {i} AS ordinal, '{c}' AS name, '{t}' AS type, true AS nullable, count(*) FILTER ({c} IS NULL) AS n_null FROM odd_detections"
+        for i, (c, t) in enumerate(_COLUMNS)
+    ),
+    "odd_detections",
+)
 def _(spark, sf):
-    return ingest.schema_listing(view(spark, sf, "detections"))
+    odd = view(spark, sf, "detections").select(*[F.when(F.col("event_id") % (i + 5) > 0, F.col(c)).alias(c) for i, (c, _) in enumerate(_COLUMNS)])
+    return ingest.schema_listing(odd)
+
+
+cte(
+    "odd_detections",
+    "SELECT " + ", ".join(f"CASE WHEN event_id % {i + 5} > 0 THEN {c} END AS {c}" for i, (c, _) in enumerate(_COLUMNS)) + " FROM detections",
+    "detections",
+)
 
 
 @query(

@@ -165,8 +165,17 @@ def table_summary(df: DataFrame) -> DataFrame:
 
 
 def schema_listing(df: DataFrame) -> DataFrame:
-    rows = [(i, f.name, f.dataType.simpleString(), f.nullable) for i, f in enumerate(df.schema.fields)]
-    return df.sparkSession.createDataFrame(rows, "ordinal int, name string, type string, nullable boolean")
+    """Columns in order with name, type, whether they may be null, and how many rows are; one pass for all columns."""
+    fields = list(enumerate(df.schema.fields))
+    nulls = df.agg(*[F.count_if(F.col(f"`{f.name}`").isNull()).alias(f"n{i}") for i, f in fields])
+    rows = [
+        F.struct(
+            F.lit(i).alias("ordinal"), F.lit(f.name).alias("name"), F.lit(f.dataType.simpleString()).alias("type"),
+            F.lit(f.nullable).alias("nullable"), F.col(f"n{i}").alias("n_null"),
+        )
+        for i, f in fields
+    ]
+    return nulls.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 def ordered_head(df: DataFrame, n: int, ts: str = "ts", tie: Sequence[str] = ("event_id",)) -> DataFrame:
