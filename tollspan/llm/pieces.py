@@ -8,6 +8,7 @@ decoding gives the text back exactly.
 
 from __future__ import annotations
 
+import math
 import re
 import string
 from collections.abc import Iterator
@@ -23,6 +24,7 @@ from tollspan.llm.common import table
 BLANK = "▁"
 #: How far a byte written for an uncovered character lies below the lowest score.
 PENALTY = 10.0
+#: Segments of a generation; two are kept.
 KEPT_SEGMENTS = 200_000
 _ID = np.dtype("<u4")
 
@@ -46,6 +48,9 @@ class Pieces:
         runs = "|".join(f"{re.escape(c)}+" for c in opening)
         self.segments = re.compile(f"(?s)(?:{runs})[^{others}]*|[^{others}]+" if opening else "(?s).+")
         self.known: dict[str, tuple[bytes, float]] = {}
+        self.older: dict[str, tuple[bytes, float]] = {}
+        self.single = frozenset(piece for piece, _, _ in pieces if len(piece) == 1)
+        self.bytes_of = {i: np.array([i], _ID).tobytes() for i in self.raw}
 
     @cached_property
     def words(self):
@@ -60,9 +65,29 @@ class Pieces:
 
     def best(self, segment: str) -> tuple[bytes, float]:
         """Ids and score of the best way to cut a segment; of equal ways, the one with the longer last piece."""
-        n, lowest = len(segment), self.lowest
-        score = [0.0] + [-np.inf] * n
+        n = len(segment)
+        score = [0.0] + [-math.inf] * n
         start, piece = [0] * (n + 1), [-1] * (n + 1)
+        if self.single.issuperset(segment):  # then bytes, which score less than any piece, are never the best
+            for last, (length, gain, i) in self.words.iter(segment):
+                last += 1
+                total = score[last - length] + gain
+                if total > score[last]:  # of the pieces that end here, the longest comes first
+                    score[last], start[last], piece[last] = total, last - length, i
+        else:
+            self._relax_with_bytes(segment, score, start, piece)
+        ids: list[int] = []
+        at = n
+        while at:
+            if piece[at] < 0:
+                ids += [self.byte_ids[b] for b in reversed(segment[at - 1].encode("utf-8", "surrogatepass"))]
+            else:
+                ids.append(piece[at])
+            at = start[at]
+        return b"".join(map(self.bytes_of.__getitem__, reversed(ids))), score[n]
+
+    def _relax_with_bytes(self, segment: str, score: list[float], start: list[int], piece: list[int]) -> None:
+        n, lowest = len(segment), self.lowest
         settled = 0  # no piece that is still to come ends at or before this position
         for last, (length, gain, i) in self.words.iter(segment):
             while settled < last:
@@ -71,21 +96,12 @@ class Pieces:
                     score[settled], start[settled], piece[settled] = score[settled - 1] + lowest, settled - 1, -1
             end = last + 1
             total = score[end - length] + gain
-            if total > score[end]:  # of the pieces that end here, the longest comes first
+            if total > score[end]:
                 score[end], start[end], piece[end] = total, end - length, i
         while settled < n:
             settled += 1
             if score[settled - 1] + lowest > score[settled]:
                 score[settled], start[settled], piece[settled] = score[settled - 1] + lowest, settled - 1, -1
-        ids: list[int] = []
-        at = n
-        while at:
-            if piece[at] < 0:
-                ids += [self.byte_ids[b] for b in reversed(segment[at - 1].encode("utf-8", "surrogatepass"))]
-            else:
-                ids.append(piece[at])
-            at = start[at]
-        return np.array(ids[::-1], _ID).tobytes(), score[n]
 
     def encode(self, text: str) -> tuple[bytes, float]:
         """Ids (little-endian, 32 bits) and score; a blank is put before the text, nothing for the empty text.
@@ -95,19 +111,25 @@ class Pieces:
         if not text:
             return b"", 0.0
         found: list[tuple[bytes, float]] = []
-        known = self.known
         for k, part in enumerate((" " + text).split(BLANK)):
             if k:
-                found.append((np.array([self.byte_ids[b] for b in BLANK.encode()], _ID).tobytes(), self.lowest))
-            for segment in self.segments.findall(part.replace(" ", BLANK)):
-                met = known.get(segment)
-                if met is None:
-                    if len(known) >= KEPT_SEGMENTS:
-                        known.clear()
-                    met = known[segment] = self.best(segment)
-                found.append(met)
+                found.append((b"".join(self.bytes_of[self.byte_ids[b]] for b in BLANK.encode()), self.lowest))
+            segments = self.segments.findall(part.replace(" ", BLANK))
+            met = list(map(self.known.get, segments))
+            if None in met:
+                for i, one in enumerate(met):
+                    if one is None:
+                        met[i] = self._remembered(segments[i])
+            found += met
         return b"".join([f[0] for f in found]), sum([f[1] for f in found])
 
+    def _remembered(self, segment: str) -> tuple[bytes, float]:
+        met = self.known.get(segment) or self.older.get(segment) or self.best(segment)
+        if len(self.known) >= KEPT_SEGMENTS:
+            self.older, self.known = self.known, {}
+        self.known[segment] = met
+        return met
+
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.raw.__getitem__, np.frombuffer(ids, _ID).tolist()))[1:].decode("utf-8", "surrogatepass")
 
