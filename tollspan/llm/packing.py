@@ -9,6 +9,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +20,8 @@ GROUP_TOKENS = 1 << 19
 LEAST_FREE = 0.001
 #: Longest piece that differencing moves as a whole; shorter pieces balance better.
 PIECE = 512
-KEPT_CHUNKS = 700_000
+#: Words of a generation; two are kept.
+KEPT_CHUNKS = 200_000
 #: Characters tokenized at once.
 TEXT_CHARS = 1 << 20
 PIECES = "doc_id {id}, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
@@ -111,48 +113,77 @@ def plan(lengths: list[int], capacity: int = CAPACITY, piece: int = PIECE) -> li
     return pieces
 
 
+def _gathered(lists: pa.LargeListArray, indices: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Values of the chosen lists, one behind the other, and where each ends (from 0 on)."""
+    taken = lists.take(indices)
+    return taken.flatten(), np.r_[0, np.cumsum(pc.list_value_length(taken).to_numpy())].astype(np.int64)
+
+
 class _Chunks:
-    """Ids, as little-endian bytes, of chunks between blanks; forgets all when it grows too long."""
+    """Ids, as little-endian bytes, of chunks between blanks; forgets those not met for a generation."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}  # a plain dict: a set's difference from any other kind walks all of it
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # what was known before the last change of generation
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text; the tokenizer drops blanks and never joins what they part."""
-        parted = [text.replace("\n", " ").split(" ") for text in texts]
-        met: set[str] = set()
-        for chunks in parted:
-            met.update(chunks)
-        if len(self.known) + len(met) > KEPT_CHUNKS:
-            self.known.clear()
-        self._learn(met.difference(self.known))
-        return [b"".join(map(self.known.__getitem__, chunks)) for chunks in parted]
+    def ids(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """Ids of each text; the tokenizer drops blanks, never joins what they part, and lowers letters.
+
+        Texts are parted, chunks numbered and ids gathered as columns. A distinct chunk of Latin letters is a
+        lowered word and the stops and commas behind it; only distinct words are looked up one by one.
+        """
+        column = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
+        parted = pc.split_pattern(pc.replace_substring(pc.fill_null(column, ""), "\n", " "), " ")
+        coded = parted.flatten().dictionary_encode()
+        chunks = coded.dictionary
+        bare = pc.utf8_rtrim(chunks, ".,")
+        plain = pc.match_substring_regex(bare, "^[A-Za-zÀ-ÖØ-öø-ÿ]+$")
+        words = pc.if_else(plain, pc.utf8_lower(bare), chunks).dictionary_encode()
+        tails = pc.if_else(plain, pc.replace_substring_regex(chunks, "^.*[^.,]", ""), "").dictionary_encode()
+        found = self._looked_up(words.dictionary.to_pylist() + tails.dictionary.to_pylist())
+        ends = np.cumsum([0, *map(len, found)]) // 4
+        every = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.frombuffer(b"".join(found), "<u4")))
+        two = np.stack([words.indices.to_numpy(), tails.indices.to_numpy() + len(words.dictionary)], axis=1)
+        values, ends = _gathered(every, pa.array(two.ravel()))
+        by_chunk = pa.LargeListArray.from_arrays(pa.array(ends[::2], pa.int64()), values)
+        values, ends = _gathered(by_chunk, coded.indices)
+        raw = values.to_numpy().tobytes()
+        at = 4 * ends[np.r_[0, np.cumsum(pc.list_value_length(parted).to_numpy())]]
+        return [raw[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+    def _looked_up(self, words: list[str]) -> list[bytes]:
+        found = list(map(self.known.get, words))
+        new = {c for c, ids in zip(words, found, strict=True) if ids is None}
+        if not new:
+            return found
+        if len(self.known) + len(new) > KEPT_CHUNKS:
+            self.older, self.known = self.known, {}
+        met = [c for c in new if c in self.older]
+        self.known.update((c, self.older[c]) for c in met)
+        self._learn(new.difference(met))
+        # what the change of generation took away is still in the first list
+        return [self.known[c] if ids is None else ids for c, ids in zip(words, found, strict=True)]
 
     def _learn(self, new: set[str]) -> None:
-        """Plain words, also those with a stop or comma behind, go as one text cut at its word ends; others singly."""
-        cut = {c: c.rstrip(".,") for c in new}
-        plain = {c for c, word in cut.items() if word and max(word) < "\u0180" and word.lower().isalpha()}
-        words = list({cut[c] for c in plain}.difference(self.known))
-        found = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
-        ends = np.flatnonzero(self.ends_word[found]) + 1
-        if len(ends) == len(words):
-            raw, at = found.tobytes(), 0
-            for word, end in zip(words, ends.tolist(), strict=True):
-                self.known[word] = raw[4 * at : 4 * end]
-                at = end
-        else:
+        """Lowered words of Latin letters go as one text cut at its word ends; others singly."""
+        chunks = pa.array(list(new), pa.large_string())
+        plain = pc.match_substring_regex(chunks, "^[a-zß-öø-ÿ]+$")
+        self._singly(chunks.filter(pc.invert(plain)).to_pylist())
+        words = chunks.filter(plain).to_pylist()
+        found = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.r_[0, np.flatnonzero(self.ends_word[found]) + 1]
+        if len(ends) != len(words) + 1:
             self._singly(words)
-        self._singly(list({c[len(cut[c]) :] for c in plain}.difference(self.known)))
-        for c in plain:
-            self.known[c] = self.known[cut[c]] + self.known[c[len(cut[c]) :]]
-        self._singly([c for c in new if c not in plain])
+            return
+        raw, at = found.tobytes(), (4 * ends).tolist()
+        self.known.update((w, raw[i:j]) for w, i, j in zip(words, at[:-1], at[1:], strict=True))
 
     def _singly(self, chunks: list[str]) -> None:
         for at in range(0, len(chunks), 4096):
