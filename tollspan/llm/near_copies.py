@@ -228,16 +228,19 @@ def near_copy_classes(
     once = rows.groupBy("digest", "node").agg(F.min("fp").alias("fp"), F.min("id").alias("id"), F.min("n").alias("n"), F.min("central").alias("central"))
     nodes = durable(once)
     whole = near_links(nodes, 2).select(F.explode(F.array("a", "b")).alias("fp"), F.col("b").alias("hub"))
-    by_print = nodes.select("node", "fp", "n", F.lit(True).alias("short"), "central")
+    # most rows are single and go no further, so they are kept narrow: size, role and rank in one number
+    shape = F.shiftleft(F.col("central").cast("bigint"), 33).bitwiseOR(F.shiftleft(F.col("n").cast("bigint"), 1))
+    by_print = nodes.select("node", "fp", shape.bitwiseOR(F.lit(1)).alias("shape"))
     # texts whose whole fingerprints meet in a hub form a group, like those that share a key; so do equal ones
-    kept = ("node", "n", "short", "central")
-    met = by_print.join(whole.distinct(), "fp").select(*kept, F.xxhash64("hub", F.lit("whole")).alias("key"))
-    equal = by_print.select(*kept, F.xxhash64("fp", F.lit("print")).alias("key"))
-    parts = rows.select("node", "n", "central", F.posexplode("keys").alias("at", "key"))
-    parts = parts.select("node", "n", (F.col("at") < _leads(F.col("n"), similarity)).alias("short"), "central", "key")
-    members = parts.unionByName(equal).unionByName(met)
-    sizes = members.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.max("short").alias("any"))
-    ranked = durable(members.join(sizes.filter("low < high AND any").select("key"), "key").distinct())
+    met = by_print.join(whole.distinct(), "fp").select("node", "shape", F.xxhash64("hub", F.lit("whole")).alias("key"))
+    equal = by_print.select("node", "shape", F.xxhash64("fp", F.lit("print")).alias("key"))
+    parts = rows.select("node", "n", shape.alias("shape"), F.posexplode("keys").alias("at", "key"))
+    short = (F.col("at") < _leads(F.col("n"), similarity)).cast("bigint")
+    members = parts.select("node", F.col("shape").bitwiseOR(short).alias("shape"), "key").unionByName(equal).unionByName(met)
+    sizes = members.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.max(F.col("shape") % 2).alias("any"))
+    grouped = members.join(sizes.filter("low < high AND any = 1").select("key"), "key").distinct()
+    n = F.shiftright("shape", 1).bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+    ranked = durable(grouped.select("key", "node", n.alias("n"), (F.col("shape") % 2 == 1).alias("short"), F.shiftright("shape", 33).cast("int").alias("central")))
     asked = ranked.select("node").distinct()
     # copies of a text have the same set, any of them will do
     held = durable(rows.join(asked, "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes")))
