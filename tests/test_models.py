@@ -160,3 +160,14 @@ def test_sweep_records_both_types_and_errors(slots):
     assert {r["result_type"] for r in out} == {"Base", "Base+Cluster"}
     failed = study.section_study(slots.withColumns({"gantry_last": F.lit("1"), "gantry_next": F.lit("2")}), [("8", "9")]).collect()
     assert len(failed) == 2 and all(r["error"] for r in failed)
+
+
+def test_train_rows_of_one_class_stay_as_they_are(slots):
+    features = ["flow_a", "cluster_b"]
+    one, test = slots.filter("target = 1"), slots.filter("target = 0")
+    out = balance.balanced_dataset(one, test, features)
+    assert out.filter("split = 'train' AND NOT synthetic").count() == one.count()
+    assert out.filter("split = 'test' AND NOT synthetic").count() == test.count()
+    assert out.count() == slots.count()
+    with pytest.raises(ValueError):
+        balance.smote(one, features)

@@ -11,6 +11,10 @@ from tollspan.operators.nearest import nearest
 from tollspan.skew import running_totals
 
 
+class Unbalanceable(ValueError):
+    """Rows that no oversampling can balance: one class only, or one row of the smaller class."""
+
+
 def neighbours(rows: DataFrame, features: Sequence[str], k: int) -> DataFrame:
     """Exact k nearest other rows by Euclidean distance over `features`: (row_id, rank, near_id), ties by the smaller id."""
     at = F.array(*[F.col(c).cast("double") for c in features])
@@ -19,6 +23,12 @@ def neighbours(rows: DataFrame, features: Sequence[str], k: int) -> DataFrame:
     )
 
 
+def real_rows(train: DataFrame, features: Sequence[str], time: str = "interval_start") -> DataFrame:
+    """The train rows as they stand in a balanced table."""
+    values = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features]
+    return train.select("row_id", time, "target", *values, F.lit(False).alias("synthetic"))
+
+
 def smote(
     train: DataFrame, features: Sequence[str], *, ratio: float = 1.0, k: int = 5, seed: int = 42, time: str = "interval_start"
 ) -> DataFrame:
@@ -30,15 +40,14 @@ def smote(
     """
     counts = {r["target"]: r["n"] for r in train.groupBy("target").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(counts) < 2:
-        raise ValueError("training rows hold one class only")
+        raise Unbalanceable("training rows hold one class only")
     minor = min(counts, key=lambda c: (counts[c], -c))
     n_min, n_maj = counts[minor], max(counts.values())
     if n_min < 2:
-        raise ValueError("too few minority rows to interpolate")
+        raise Unbalanceable("too few minority rows to interpolate")
     k = max(1, min(k, n_min - 1))
     wanted = max(0, int(n_maj * ratio) - n_min)
-    real = train.select("row_id", time, "target", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features])
-    real = real.withColumn("synthetic", F.lit(False))
+    real = real_rows(train, features, time)
     if wanted == 0:
         return real
     pool = real.filter(F.col("target") == minor).select("row_id", *features)
@@ -73,8 +82,15 @@ def with_row_id(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def balanced_dataset(train: DataFrame, test: DataFrame, features: Sequence[str], **kw) -> DataFrame:
-    """Oversampled train rows and untouched test rows in one table."""
-    made = smote(train, features, **kw).withColumn("split", F.lit("train"))
+    """Oversampled train rows and untouched test rows in one table.
+
+    Train rows that cannot be balanced (in busy traffic an accident may follow every interval) stay as they are.
+    """
+    try:
+        made = smote(train, features, **kw)
+    except Unbalanceable:
+        made = real_rows(train, features, kw.get("time", "interval_start"))
+    made = made.withColumn("split", F.lit("train"))
     rest = test.select(*[c for c in made.columns if c in test.columns]).withColumns(
         {"synthetic": F.lit(False), "split": F.lit("test")}
     )
