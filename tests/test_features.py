@@ -5,13 +5,17 @@ from __future__ import annotations
 import datetime
 import itertools
 import random
+import re
+import time
 
+import pandas as pd
+import pyarrow as pa
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
 from tollspan.functions import scalars as S
-from tollspan.operators import catalog, clean, evaluate, explore, flow, plate, sections, trajectory
+from tollspan.operators import catalog, clean, evaluate, explore, flow, geo, plate, sections, trajectory
 from tollspan.plans.views import view
 from tollspan.sources import ingest
 from tollspan.streaming import streams
@@ -330,3 +334,57 @@ def test_files_of_one_folder_with_their_own_forms(spark, tmp_path):
     got = ingest.read_sniffed(spark, str(tmp_path)).select("name", "n", "more")
     assert rows(got) == sorted([("Garz\u00f3n", "1,5", None), ("Garz\u00f3n", "2", None), ("x;y;z", "3", None), ("\u00d1u\u00f1oa", "4", "m")], key=repr)
     assert ingest.read_sniffed(spark, str(tmp_path), limit=2).count() == 2
+
+
+def test_waiting_rows_of_a_key_are_held_as_columns():
+    """Rows wait as Arrow bytes, some thirty bytes a row, and come back whole and in order."""
+
+    class State:
+        exists, get, mark = False, None, 0
+
+        def getCurrentWatermarkMs(self):
+            return self.mark
+
+        def setTimeoutTimestamp(self, at):
+            self.at = at
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+    n = 20_000
+    part = pd.DataFrame({"event_id": range(n), "plate": [f"P{i % 7}" for i in range(n)], "us": [(n - i) * 1000 for i in range(n)]})
+    kind = pa.schema([("event_id", pa.int64()), ("plate", pa.string()), ("us", pa.int64())])
+    state = State()
+    ready, carried = streams._settled(iter([part[: n // 2], part[n // 2 :]]), state, kind, ["us", "plate"])
+    assert len(ready) == 0 and carried is None and state.at == 2
+    assert isinstance(state.get[1], bytes) and len(state.get[1]) < 40 * n
+    state.mark = n // 2
+    ready, _ = streams._settled(iter([]), state, kind, ["us", "plate"])
+    assert ready["us"].to_pylist() == [(i + 1) * 1000 for i in range(n // 2)]
+    state.mark = n
+    ready, _ = streams._settled(iter([]), state, kind, ["us", "plate"])
+    assert len(ready) == n - n // 2 and state.get[1] == b""
+
+
+def test_snapping_sorts_no_pairs(spark, monkeypatch):
+    """Equal to the search over all pairs, and only pairs at the least distance are sorted by segment."""
+    rng = random.Random(5)
+    ways = [(w, p, -33 + rng.random() * 0.1, -70 + rng.random() * 0.1) for w in range(6) for p in range(12)]
+    points = [(i, -33 + rng.random() * 0.1, -70 + rng.random() * 0.1) for i in range(300)]
+    points += [(300, -33.0, -73.0), (300, -33.05, -70.05), (301, -31.0, -70.0), (None, -33.02, -70.02), (302, None, -70.0)]
+    segments = geo.road_segments(spark.createDataFrame(ways, "way_id bigint, point int, lat double, lon double"))
+    located = spark.createDataFrame(points, "event_id bigint, lat double, lon double")
+    plans, kept = [], geo.durable
+    monkeypatch.setattr(geo, "durable", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), kept(df))[1])
+    got = {(r["event_id"], round(r["snap_d2"], 12)) for r in geo.snap_to_road(located, segments).collect()}
+    lines = [tuple(r) for r in segments.select("lat", "lon", "lat2", "lon2").collect()]
+    want = {}
+    for key, y, x in points:
+        for ay, ax, by, bx in lines if y is not None else []:
+            dy, dx = by - ay, bx - ax
+            t = min(max(((x - ax) * dx + (y - ay) * dy) / (dx * dx + dy * dy), 0.0), 1.0)
+            d = (x - ax - t * dx) ** 2 + (y - ay - t * dy) ** 2
+            want[key] = min(d, want.get(key, d))
+    assert got == {(k, round(d, 12)) for k, d in want.items()}
+    sorting = [p for p in plans if "SortAggregate" in p and "min(struct" in p]
+    assert sorting and all("_least" in p for p in sorting)

@@ -60,11 +60,13 @@ def road_segments(points: DataFrame) -> DataFrame:
 def snap_to_road(points: DataFrame, segments: DataFrame, *, key: str = "event_id", cell: float = 0.01) -> DataFrame:
     """Nearest point of the road network for each located point: `snap_lat`, `snap_lon`, `snap_d2`.
 
-    Segments are spread over a grid, one cell beyond their box. A best match within one
-    cell's length is final; the points left are tried again on a grid four times as
-    coarse, until none is left. Exact, and no pairing of all points with all segments.
+    Segments are spread over a grid, one cell beyond their box, as far as points lie in its cells. A best match
+    within one cell's length is final; the points left are tried again on a grid four times as
+    coarse, until none is left. Exact, and no pairing of all points with all segments. Pairs are never sorted or
+    kept: the least distance of a point is summed up as they arise, and only the pairs at that distance go on.
     """
     todo = points.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select(key, "lat", "lon")
+    segments = durable(segments)
     box = segments.select("lat", "lon").unionByName(segments.select(F.col("lat2").alias("lat"), F.col("lon2").alias("lon"))).unionByName(
         todo.select("lat", "lon")
     ).agg(F.min("lat").alias("a"), F.max("lat").alias("b"), F.min("lon").alias("c"), F.max("lon").alias("d")).first()
@@ -82,26 +84,30 @@ def snap_to_road(points: DataFrame, segments: DataFrame, *, key: str = "event_id
         def span(a: str, b: str):
             return F.sequence(F.least(lane(a, -1), lane(b, -1)), F.greatest(lane(a, 1), lane(b, 1)))
 
+        placed = todo.withColumns({"_y": lane("lat", 0), "_x": lane("lon", 0)})
         grid = (
             segments.withColumn("_y", F.explode(span("lat", "lat2")))
             .withColumn("_x", F.explode(span("lon", "lon2")))
             .select("_x", "_y", "way_id", "point", F.col("lat").alias("_ay"), F.col("lon").alias("_ax"),
                     F.col("lat2").alias("_by"), F.col("lon2").alias("_bx"))
         )
-        pairs = todo.withColumns({"_y": lane("lat", 0), "_x": lane("lon", 0)}).join(grid, ["_x", "_y"])
+        grid = durable(grid.join(placed.select("_x", "_y").distinct(), ["_x", "_y"], "left_semi"))
         x, y = G.project_on_segment(*[F.col(c) for c in ("lon", "lat", "_ax", "_ay", "_bx", "_by")])
-        pairs = pairs.select(key, "way_id", "point", x.alias("x"), y.alias("y"),
-                             (F.pow(F.col("lon") - x, 2) + F.pow(F.col("lat") - y, 2)).alias("d"))
-        best = pairs.groupBy(key).agg(F.min(F.struct("d", "way_id", "point", "x", "y")).alias("m"))
+        gap = F.pow(F.col("lon") - x, 2) + F.pow(F.col("lat") - y, 2)
+        least = placed.join(grid, ["_x", "_y"]).select(key, gap.alias("d")).groupBy(key).agg(F.min("d").alias("_least"))
         if not last:
-            best = best.filter(F.col("m.d") <= size * size)
+            least = least.filter(F.col("_least") <= size * size)
+        least = least.withColumnRenamed(key, "_key")
+        near = placed.join(least, F.col(key).eqNullSafe(F.col("_key"))).drop("_key").join(grid, ["_x", "_y"])
+        pairs = near.filter(gap <= F.col("_least")).select(key, "way_id", "point", x.alias("x"), y.alias("y"), gap.alias("d"))
+        best = pairs.groupBy(key).agg(F.min(F.struct("d", "way_id", "point", "x", "y")).alias("m"))
         best = durable(
             best.select(key, F.col("m.y").alias("snap_lat"), F.col("m.x").alias("snap_lon"), F.col("m.d").alias("snap_d2"))
         )
         done = best if done is None else done.unionByName(best)
         if last:
             return done
-        todo = todo.join(best.select(key), key, "left_anti")
+        todo = durable(todo.join(best.select(key), key, "left_anti"))
         if todo.isEmpty():
             return done
         size *= 4

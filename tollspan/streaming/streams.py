@@ -6,6 +6,8 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -123,57 +125,72 @@ def flow_stream(
 TIMEOUT = GroupStateTimeout.EventTimeTimeout
 
 
-def _settled(parts: Iterator[pd.DataFrame], state: GroupState, order: list[str]) -> tuple[pd.DataFrame, list | None]:
+def _settled(parts: Iterator[pd.DataFrame], state: GroupState, kind: pa.Schema, order: list[str]) -> tuple[pa.Table, list | None]:
     """Rows of a key that the watermark has passed, in time order, and what the key carries from earlier rows.
 
     No row can come before them any more, so rows that arrive late but within the delay take their right place.
     The others wait in the state; the key is called again when the watermark reaches the first of them. What a
-    key carries is kept for good, however long it stays silent.
+    key carries is kept for good, however long it stays silent. Rows are held as Arrow columns, in memory and in
+    the state, as a busy gantry may have millions of them waiting.
     """
-    carried, waiting = json.loads(state.get[0]) if state.exists else (None, None)
-    rows = list(parts)
+    carried, waiting = (json.loads(state.get[0]), state.get[1]) if state.exists else (None, None)
+    tables = [pa.Table.from_pandas(p, schema=kind, preserve_index=False) for p in parts]
     if waiting:
-        rows.append(pd.DataFrame(waiting))
-    if not rows:
-        return pd.DataFrame(), carried
-    every = pd.concat(rows, ignore_index=True) if len(rows) > 1 else rows[0]
-    every = every.sort_values(order, ignore_index=True)
+        tables.append(pa.ipc.open_stream(pa.py_buffer(bytes(waiting))).read_all())
+    del waiting
+    if not tables:
+        return kind.empty_table(), carried
+    every = pa.concat_tables(tables)
+    del tables
+    every = every.take(pc.sort_indices(every, sort_keys=[(c, "ascending") for c in order]))
     mark = state.getCurrentWatermarkMs()
-    ready = every["us"] <= mark * 1000
-    later = every[~ready]
+    n_ready = pc.sum(pc.less_equal(every["us"], mark * 1000)).as_py() or 0
+    later = every.slice(n_ready)
     if len(later):
-        state.setTimeoutTimestamp(max(mark + 1, int(later["us"].iloc[0]) // 1000 + 1))
-    _keep(state, carried, later)
-    return every[ready].reset_index(drop=True), carried
+        state.setTimeoutTimestamp(max(mark + 1, later["us"][0].as_py() // 1000 + 1))
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, kind) as out:
+        out.write_table(later, max_chunksize=CHUNK)
+    _keep(state, carried, sink.getvalue().to_pybytes() if len(later) else b"")
+    return every.slice(0, n_ready), carried
 
 
-def _keep(state: GroupState, carried: list | None, later: pd.DataFrame | None = None) -> None:
+def _chunks(ready: pa.Table) -> Iterator[pd.DataFrame]:
+    """The rows in turn, a few at a time."""
+    for at in range(0, len(ready), CHUNK):
+        yield ready.slice(at, CHUNK).to_pandas()
+
+
+def _keep(state: GroupState, carried: list | None, waiting: bytes | None = None) -> None:
     """Write what a key carries, and the rows that wait unless they stay as they are."""
-    waiting = json.loads(state.get[0])[1] if later is None else json.loads(later.to_json(orient="records"))
-    state.update((json.dumps([carried, waiting]),))
+    state.update((json.dumps(carried), bytes(state.get[1]) if waiting is None else waiting))
 
 
-STATE = "kept string"
+STATE = "carried string, waiting binary"
+CHUNK = 50_000
 
 
 def headway_stream(df: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Gap and speed of the vehicle before at each gantry and lane, once the watermark has passed a row."""
+    kind = pa.schema([("event_id", pa.int64()), ("plate", pa.string()), ("speed_kmh", pa.float64()), ("us", pa.int64())])
 
     def follow(key, parts, state: GroupState):
         if key[0] == CLOSED:
             return
-        out, last = _settled(parts, state, ["us", "plate", "event_id"])
-        if len(out):
-            before = last or [None, None]
+        ready, last = _settled(parts, state, kind, ["us", "plate", "event_id"])
+        before = last or [None, None]
+        for out in _chunks(ready):
             out["prev_us"] = out["us"].shift().astype(float)
             out.loc[0, "prev_us"] = float("nan") if before[0] is None else before[0]
             out["prev_speed"] = out["speed_kmh"].shift()
             out.loc[0, "prev_speed"] = float("nan") if before[1] is None else before[1]
             out["headway_s"] = (out["us"] - out["prev_us"]) / 1e6
             speed = out["speed_kmh"].iloc[-1]
-            _keep(state, [int(out["us"].iloc[-1]), None if pd.isna(speed) else float(speed)])
+            before = [int(out["us"].iloc[-1]), None if pd.isna(speed) else float(speed)]
             out = out[out["headway_s"].notna()].assign(gantry=key[0], lane=key[1])
             yield out[["event_id", "plate", "gantry", "lane", "speed_kmh", "headway_s", "prev_speed"]]
+        if len(ready):
+            _keep(state, before)
 
     lane = F.when(F.col("gantry") == CLOSED, 0).otherwise(F.col("lane"))  # so the closing row stays
     rows = df.withColumns({"us": micros("ts"), "lane": lane}).filter(F.col("gantry").isNotNull() & F.col("lane").isNotNull())
@@ -196,11 +213,13 @@ def conflict_columns(headways: DataFrame, max_headway_s: float = 60.0) -> DataFr
 
 def lane_change_stream(df: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Passes and lane changes that the rows passed by the watermark add to a plate, its last lane carried as state."""
+    kind = pa.schema([("event_id", pa.int64()), ("gantry", pa.string()), ("lane", pa.int32()), ("us", pa.int64())])
 
     def count(key, parts, state: GroupState):
         if key[0] == CLOSED:
             return
-        out, last = _settled((p.drop(columns=["event_at", "plate"]) for p in parts), state, ["us", "gantry", "event_id"])
+        ready, last = _settled((p.drop(columns=["event_at", "plate"]) for p in parts), state, kind, ["us", "gantry", "event_id"])
+        out = ready.to_pandas()
         if len(out):
             before = out["lane"].shift()
             if last is not None:
@@ -232,11 +251,13 @@ def trip_stream(df: DataFrame, delay: str = "10 minutes") -> DataFrame:
 
     A key carries its last time, km, direction and trip number, so numbers go on after any silence.
     """
+    kind = pa.schema([("event_id", pa.int64()), ("gantry", pa.string()), ("km", pa.float64()), ("us", pa.int64())])
 
     def cut(key, parts, state: GroupState):
         if key[0] == CLOSED:
             return
-        out, last = _settled((p.drop(columns=["event_at", "plate"]) for p in parts), state, ["us", "gantry"])
+        ready, last = _settled((p.drop(columns=["event_at", "plate"]) for p in parts), state, kind, ["us", "gantry"])
+        out = ready.to_pandas()
         if not len(out):
             return
         gap, step = out["us"].diff() / 1e6, out["km"].diff()
