@@ -388,3 +388,19 @@ def test_snapping_sorts_no_pairs(spark, monkeypatch):
     assert got == {(k, round(d, 12)) for k, d in want.items()}
     sorting = [p for p in plans if "SortAggregate" in p and "min(struct" in p]
     assert sorting and all("_least" in p for p in sorting)
+
+
+def test_safe_id_of_long_runs(spark):
+    texts = ["  7ab cd__", "__é--x__ " + "y" * 70, "w " * 29 + "ab" + " " * 9, "w " * 29 + "ab" + " " * 9 + "z", " _ ", None, "a" + "_" * 300_000 + "b",
+             "w " * 30 + "_ _", "w " * 30 + "_ _-"]
+
+    def by_hand(t):
+        t = re.sub("^_+|_+$", "", re.sub("[^A-Za-z0-9_-]+", "_", t.strip())) if len(t) < 1000 else t
+        t = t or "veh"
+        return (f"veh_{t}" if t[0].isdigit() else t)[:60]
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1)
+    start = time.monotonic()
+    got = [r["id"] for r in df.orderBy("i").select("i", S.safe_id(F.col("t")).alias("id")).collect()]
+    assert got == [None if t is None else by_hand(t) for t in texts]
+    assert time.monotonic() - start < 20  # 45 thousand million steps if a run is tried from each of its places

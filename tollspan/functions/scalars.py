@@ -246,8 +246,16 @@ def template_value(vehicle_class: Column, field: str) -> Column:
 
 
 def safe_id(c: Column) -> Column:
-    """Identifier of at most 60 characters made from a plate."""
-    text = F.regexp_replace(F.regexp_replace(strip(c), "[^A-Za-z0-9_-]+", "_"), "^_+|_+$", "")
+    """Identifier of at most 60 characters made from a plate.
+
+    Other characters become `_`, a run of them one; none stays at either end. Each of the two patterns goes over
+    the text once and never back: the first 60 characters of the result, and whether any but `_` follow them.
+    """
+    units = "(?:[A-Za-z0-9_-]|[^A-Za-z0-9_-]++)"
+    first = F.regexp_extract(c, f"^[^A-Za-z0-9-]*+({units}{{0,60}}+)", 1)
+    more = c.rlike(f"^[^A-Za-z0-9-]*+{units}{{60}}+[^A-Za-z0-9-]*+[A-Za-z0-9-]")
+    text = F.regexp_replace(first, "[^A-Za-z0-9_-]+", "_")
+    text = F.when(more, text).otherwise(F.regexp_replace(text, "_+$", ""))
     text = F.when(text == "", "veh").otherwise(text)
     return F.substring(F.when(text.rlike("^[0-9]"), F.concat(F.lit("veh_"), text)).otherwise(text), 1, 60)
 
