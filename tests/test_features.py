@@ -404,3 +404,19 @@ def test_safe_id_of_long_runs(spark):
     got = [r["id"] for r in df.orderBy("i").select("i", S.safe_id(F.col("t")).alias("id")).collect()]
     assert got == [None if t is None else by_hand(t) for t in texts]
     assert time.monotonic() - start < 20  # 45 thousand million steps if a run is tried from each of its places
+
+
+def test_profiles_work_out_segments_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(a):
+        seen.add(1)
+        return a
+
+    passes = [(f"P{i % 3}", 60.0 + i, 1 + i % 2) for i in range(30)]
+    segs = [(f"P{i % 3}", (i - 15) / 10, i % 2) for i in range(30)]
+    segs = spark.createDataFrame(segs, "plate string, accel_m_s2 double, lane_change int").withColumn("accel_m_s2", counted("accel_m_s2"))
+    out = trajectory.vehicle_profiles(spark.createDataFrame(passes, "plate string, speed_kmh double, category int"), segs)
+    assert out.count() == 3 and out.filter("accel IS NULL OR decel IS NULL").count() == 0
+    assert seen.value == 30

@@ -165,7 +165,11 @@ def macro_metrics(segs: DataFrame, minutes: int = 15) -> DataFrame:
 
 
 def vehicle_profiles(passes: DataFrame, segs: DataFrame) -> DataFrame:
-    """Maximum speed, class, acceleration, deceleration and driver imperfection per plate."""
+    """Maximum speed, class, acceleration, deceleration and driver imperfection per plate.
+
+    The segments are worked out once; what each figure needs of them is read back.
+    """
+    segs = durable(segs.select("plate", "accel_m_s2", "lane_change"))
     speed = exact_quantiles(passes, ["plate"], "speed_kmh", {"max_speed_kmh": 0.95})
     per_class = passes.filter(F.col("category").isNotNull()).groupBy("plate", "category").agg(F.count(F.lit(1)).alias("n"))
     mode = per_class.groupBy("plate").agg(

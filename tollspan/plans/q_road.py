@@ -11,6 +11,7 @@ from tollspan.plans import q_plate
 from tollspan.plans.q_scalars import slerp_sql
 from tollspan.plans.registry import cte, query, rounded
 from tollspan.plans.views import view
+from tollspan.session import durable
 
 # ---- SQL steps -----------------------------------------------------------------------
 
@@ -649,6 +650,12 @@ def segs(spark, sf):
     return trajectory.segments(traj(spark, sf))
 
 
+def profiles(spark, sf):
+    """Vehicle profiles; the passes are cleaned once for the speeds and the segments."""
+    kept = durable(passes(spark, sf))
+    return trajectory.vehicle_profiles(kept, trajectory.segments(trajectory.trajectories(kept)))
+
+
 @query("CL04_trajectory_input", "SELECT event_id, plate, gantry, ts, speed_kmh, km, seq FROM passes", "passes")
 def _(spark, sf):
     return passes(spark, sf).select("event_id", "plate", "gantry", "ts", "speed_kmh", "km", "seq")
@@ -748,8 +755,7 @@ avg(lane_change) AS rate FROM segs GROUP BY 1) s ON p.plate = s.plate""",
     "profiles",
 )
 def _(spark, sf):
-    out = trajectory.vehicle_profiles(passes(spark, sf), segs(spark, sf)).drop("length", "min_gap", "v_class")
-    return rounded(out)
+    return rounded(profiles(spark, sf).drop("length", "min_gap", "v_class"))
 
 
 cte(
@@ -794,8 +800,7 @@ def _(spark, sf):
     "trips profiles",
 )
 def _(spark, sf):
-    profiles = trajectory.vehicle_profiles(passes(spark, sf), segs(spark, sf))
-    return trajectory.trips_with_types(trip_table(spark, sf), profiles).select("trip_id", "vehicle_type")
+    return trajectory.trips_with_types(trip_table(spark, sf), profiles(spark, sf)).select("trip_id", "vehicle_type")
 
 
 @query(
