@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+
 import numpy as np
 import pytest
 from pyspark.sql import Observation
@@ -176,3 +178,34 @@ def test_train_rows_of_one_class_stay_as_they_are(slots):
 def test_search_without_a_fit_prunes_every_trial(slots):
     one = slots.filter("target = 1")
     assert study.outcome(one, one, one, ["flow_a"], trials=2) == {"trials": 2, "pruned": 2}
+
+
+def test_sweep_fits_run_together(blobs, monkeypatch):
+    """Fits wait for one another here, so one after the other they would not end."""
+    x = cluster.standardise(blobs, blobs, ["a", "b"])
+    meeting = threading.Barrier(4, timeout=60)
+
+    class Waiting(cluster.KMeans):
+        def fit(self, data):
+            meeting.wait()
+            return super().fit(data)
+
+    monkeypatch.setattr(cluster, "KMeans", Waiting)
+    got = cluster.sweep_kmeans(x, [2, 3], restarts=2).collect()
+    assert [r["k"] for r in got] == [2, 3] and got[1]["silhouette"] > max(0.9, got[0]["silhouette"])
+
+
+def test_mixtures_share_their_passes(blobs, monkeypatch):
+    x = cluster.standardise(blobs, blobs, ["a", "b"])
+    kinds = ("full", "tied", "diag", "spherical")
+    alone = {kind: cluster.fit_mixture(x, 3, kind, restarts=2).log_likelihood for kind in kinds}
+    passes, sums = [], cluster._weighted_sums
+    monkeypatch.setattr(cluster, "_weighted_sums", lambda data, m: (passes.append(1), sums(data, m))[1])
+    longest = 0
+    for kind in kinds:
+        passes.clear()
+        cluster.fit_mixture(x, 3, kind, restarts=2)
+        longest = max(longest, len(passes))
+    passes.clear()
+    got = {r["kind"]: r["log_likelihood"] for r in cluster.sweep_mixture(x, [3], kinds, restarts=2).collect()}
+    assert got == pytest.approx(alone) and len(passes) == longest

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.errors import IllegalArgumentException
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tollspan.functions import scalars as S
@@ -60,19 +62,42 @@ def _vectors(df: DataFrame) -> DataFrame:
 # ---- K-means ------------------------------------------------------------------------------
 
 
+#: Fits that run at a time.
+FITS_AT_ONCE = 8
+
+
 def fit_kmeans(scaled: DataFrame, k: int, restarts: int = 10, seed: int = 42) -> np.ndarray:
     """Centroids of the cheapest of several fits, in ascending order."""
     if k == 1:
         d = len(scaled.select("x").first()["x"])
         return np.array([scaled.agg(*[F.avg(F.col("x")[j]) for j in range(d)]).first()], dtype=float)
     data = _vectors(scaled).select("v").persist()
-    best, cost = None, math.inf
-    for i in range(restarts):
-        model = KMeans(k=k, featuresCol="v", seed=seed + i, maxIter=100).fit(data)
-        if model.summary.trainingCost < cost:
-            best, cost = model.clusterCenters(), model.summary.trainingCost
+    fits = _kmeans_fits(data, [(k, seed + i) for i in range(restarts)])
     data.unpersist()
-    return np.array(sorted(map(tuple, best)))
+    return _cheapest(fits)
+
+
+def _together(spark: SparkSession, calls: Sequence[Callable]) -> list:
+    """Results of independent calls, several at a time.
+
+    A fit is a chain of small jobs; one after the other, the cluster waits for the driver between any two of them.
+    """
+    with ThreadPool(max(1, min(FITS_AT_ONCE, len(calls)))) as pool:
+        return pool.map(lambda call: call(), [inheritable_thread_target(spark)(c) for c in calls], chunksize=1)
+
+
+def _kmeans_fits(data: DataFrame, jobs: Sequence[tuple[int, int]]) -> list[tuple[float, list]]:
+    """Cost and centroids of the fit for each `(k, seed)`; `data` has a vector `v` and is persisted."""
+
+    def fit(k: int, seed: int) -> tuple[float, list]:
+        model = KMeans(k=k, featuresCol="v", seed=seed, maxIter=100).fit(data)
+        return model.summary.trainingCost, model.clusterCenters()
+
+    return _together(data.sparkSession, [lambda k=k, seed=seed: fit(k, seed) for k, seed in jobs])
+
+
+def _cheapest(fits: Sequence[tuple[float, list]]) -> np.ndarray:
+    return np.array(sorted(map(tuple, min(fits, key=lambda f: f[0])[1])))
 
 
 def nearest_centroid(df: DataFrame, centroids: np.ndarray) -> DataFrame:
@@ -151,11 +176,19 @@ def separation(df: DataFrame, label: str = "cluster_label") -> DataFrame:
 def sweep_kmeans(scaled: DataFrame, ks: Sequence[int], restarts: int = 3, seed: int = 42) -> DataFrame:
     """Silhouette (squared Euclidean, linear time), Davies-Bouldin and Calinski-Harabasz per K."""
     data = _vectors(scaled).persist()
-    out = None
+    v = data.select("v").persist()
     judge = ClusteringEvaluator(featuresCol="v", predictionCol="cluster_label", metricName="silhouette")
-    for k in ks:
-        near = nearest_centroid(data, fit_kmeans(data, k, restarts, seed))
-        row = separation(near).withColumns({"k": F.lit(k), "silhouette": F.lit(float(judge.evaluate(near)))})
+    jobs = [(k, seed + i) for k in ks if k > 1 for i in range(restarts)]
+    fits = list(zip(jobs, _kmeans_fits(v, jobs)))
+    v.unpersist()
+
+    def judged(k: int) -> DataFrame:
+        centroids = fit_kmeans(data, k) if k == 1 else _cheapest([f for (of, _), f in fits if of == k])
+        near = nearest_centroid(data, centroids)
+        return separation(near).withColumns({"k": F.lit(k), "silhouette": F.lit(float(judge.evaluate(near)))})
+
+    out = None
+    for row in _together(data.sparkSession, [lambda k=k: judged(k) for k in ks]):
         out = row if out is None else out.unionByName(row)
     data.unpersist()
     return out
@@ -246,58 +279,80 @@ def fit_mixture(
     scaled: DataFrame, k: int, kind: str = "full", max_iter: int = 200, tol: float = 1e-3, seed: int = 42, floor: float = 1e-6,
     restarts: int = 1,
 ) -> Mixture:
-    """Expectation-maximisation for any covariance kind; of several starts, the likeliest.
+    """Expectation-maximisation for any covariance kind; of several starts, the likeliest."""
+    found = fit_mixtures(scaled, [(k, kind, seed + i) for i in range(max(1, restarts))], max_iter, tol, floor)
+    return max(found, key=lambda m: m.log_likelihood)
+
+
+def fit_mixtures(
+    scaled: DataFrame, wanted: Sequence[tuple[int, str, int]], max_iter: int = 200, tol: float = 1e-3, floor: float = 1e-6
+) -> list[Mixture]:
+    """One fitted mixture for each `(k, kind, seed)`, all in the same passes over the rows.
 
-    Each task reduces its rows to weighted sums, Spark adds them up, and only those
-    k * (1 + d + d^2) numbers reach the driver.
+    A pass serves every mixture that has not converged yet. Each task reduces its rows to weighted sums, Spark adds
+    them up, and only those k * (1 + d + d^2) numbers a mixture reach the driver. Kinds share the starts of a K and seed.
     """
-    if kind not in ("full", "tied", "diag", "spherical"):
-        raise ValueError(f"unknown covariance kind {kind!r}")
+    for _, kind, _ in wanted:
+        if kind not in ("full", "tied", "diag", "spherical"):
+            raise ValueError(f"unknown covariance kind {kind!r}")
     data = scaled.select("x").persist()
-    found = [_fit_once(data, k, kind, max_iter, tol, seed + i, floor) for i in range(max(1, restarts))]
-    data.unpersist()
-    return max(found, key=lambda m: m.log_likelihood)
+    starts = sorted({(k, seed) for k, _, seed in wanted})
+    v = _vectors(data).select("v").persist()
+    several = [at for at in starts if at[0] > 1]
+    means = {at: _cheapest([fit]) for at, fit in zip(several, _kmeans_fits(v, several))}
+    v.unpersist()
+    means |= {at: fit_kmeans(data, 1) for at in starts if at[0] == 1}
+    d = next(iter(means.values())).shape[1]
+    var = np.array(data.agg(*[F.var_pop(F.col("x")[j]) for j in range(d)]).first(), dtype=float)
 
+    def first(k: int, kind: str, seed: int) -> Mixture:
+        start = np.stack([np.diag(np.maximum(var, floor))] * k)
+        return Mixture(np.full(k, 1.0 / k), means[k, seed], start, kind, -math.inf, 0)
 
-def _fit_once(data: DataFrame, k: int, kind: str, max_iter: int, tol: float, seed: int, floor: float) -> Mixture:
-    means = fit_kmeans(data, k, restarts=1, seed=seed)
-    d = means.shape[1]
-    var = np.array(data.agg(*[F.var_pop(F.col("x")[j]) for j in range(d)]).first(), dtype=float)
-    start = np.stack([np.diag(np.maximum(var, floor))] * k)
-    m = Mixture(np.full(k, 1.0 / k), means, start, kind, -math.inf, 0)
+    found = {i: first(*w) for i, w in enumerate(wanted)}
+    going = list(found)
     for _ in range(max_iter):
-        sums = _weighted_sums(data, m)
-        s0 = np.maximum(sums[:k], 1e-12)
-        s1 = sums[k : k + k * d].reshape(k, d)
-        s2 = sums[k + k * d : k + k * d + k * d * d].reshape(k, d, d)
-        ll, n = float(sums[-2]), int(round(sums[-1]))
-        done = abs(ll - m.log_likelihood) <= tol * n
-        m = Mixture(s0 / s0.sum(), s1 / s0[:, None], _shape_covariances(s0, s1, s2, kind, floor), kind, ll, n)
-        if done:
+        sums = _weighted_sums(data, {i: found[i] for i in going})
+        for i in list(going):
+            m, (k, kind, _) = found[i], wanted[i]
+            s0 = np.maximum(sums[i][:k], 1e-12)
+            s1 = sums[i][k : k + k * d].reshape(k, d)
+            s2 = sums[i][k + k * d : k + k * d + k * d * d].reshape(k, d, d)
+            ll, n = float(sums[i][-2]), int(round(sums[i][-1]))
+            if abs(ll - m.log_likelihood) <= tol * n:
+                going.remove(i)
+            found[i] = Mixture(s0 / s0.sum(), s1 / s0[:, None], _shape_covariances(s0, s1, s2, kind, floor), kind, ll, n)
+        if not going:
             break
-    last = _weighted_sums(data, m)
-    return _ordered(m.weights, m.means, m.covariances, kind, float(last[-2]), int(round(last[-1])))
+    last = _weighted_sums(data, found)
+    data.unpersist()
+    return [
+        _ordered(m.weights, m.means, m.covariances, m.kind, float(last[i][-2]), int(round(last[i][-1]))) for i, m in found.items()
+    ]
 
 
-def _weighted_sums(data: DataFrame, m: Mixture) -> np.ndarray:
+def _weighted_sums(data: DataFrame, mixtures: dict[int, Mixture]) -> dict[int, np.ndarray]:
     import pandas as pd
 
     def reduce_rows(batches):
-        total = None
+        totals: dict = {}
         for pdf in batches:
             if len(pdf) == 0:
                 continue
             x = np.stack(pdf["x"].to_numpy())
-            r, ll = _responsibilities(x, m)
-            part = np.concatenate(
-                [r.sum(0), (r.T @ x).ravel(), np.einsum("nk,ni,nj->kij", r, x, x).ravel(), [ll.sum(), len(x)]]
-            )
-            total = part if total is None else total + part
-        if total is not None:
-            yield pd.DataFrame({"i": np.arange(len(total)), "s": total})
+            for of, m in mixtures.items():
+                r, ll = _responsibilities(x, m)
+                squares = np.stack([(x * w[:, None]).T @ x for w in r.T])
+                part = np.concatenate([r.sum(0), (r.T @ x).ravel(), squares.ravel(), [ll.sum(), len(x)]])
+                totals[of] = part if of not in totals else totals[of] + part
+        for of, total in totals.items():
+            yield pd.DataFrame({"m": of, "i": np.arange(len(total)), "s": total})
 
-    rows = data.mapInPandas(reduce_rows, "i int, s double").groupBy("i").agg(F.sum("s").alias("s")).collect()
-    return np.array([r["s"] for r in sorted(rows)])
+    rows = data.mapInPandas(reduce_rows, "m int, i int, s double").groupBy("m", "i").agg(F.sum("s").alias("s")).collect()
+    out: dict = {}
+    for r in sorted(rows):
+        out.setdefault(r["m"], []).append(r["s"])
+    return {of: np.array(values) for of, values in out.items()}
 
 
 def with_responsibilities(df: DataFrame, m: Mixture) -> DataFrame:
@@ -340,11 +395,13 @@ def sweep_mixture(
     scaled: DataFrame, ks: Sequence[int], kinds: Sequence[str] = ("full",), seed: int = 42, restarts: int = 3
 ) -> DataFrame:
     """Log-likelihood, BIC and AIC per K and covariance kind, of the likeliest of several starts."""
+    asked = [(kind, k) for kind in kinds for k in ks]
+    wanted = [(k, kind, seed + i) for kind, k in asked for i in range(max(1, restarts))]
+    found = list(zip(wanted, fit_mixtures(scaled, wanted)))
     rows = []
-    for kind in kinds:
-        for k in ks:
-            m = fit_mixture(scaled, k, kind, seed=seed, restarts=restarts)
-            rows.append((kind, k, m.log_likelihood, m.n_parameters, m.bic, m.aic))
+    for kind, k in asked:
+        m = max((m for (of_k, of_kind, _), m in found if (of_kind, of_k) == (kind, k)), key=lambda m: m.log_likelihood)
+        rows.append((kind, k, m.log_likelihood, m.n_parameters, m.bic, m.aic))
     return scaled.sparkSession.createDataFrame(
         rows, "kind string, k int, log_likelihood double, n_parameters int, bic double, aic double"
     )
