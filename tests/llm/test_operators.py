@@ -10,10 +10,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tollspan.llm import hmm, langid, licenses, lz, near_copies, neighbours, packing, pieces, simhash, toxicity, urls
+from tollspan.llm.common import words_of
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SCHEMA = "doc_id bigint, text string, lang string, n_words string, _low string, score string, fp string, component string"
@@ -552,6 +555,26 @@ def test_hmm_unseen_words_without_rare_ones(spark):
         assert got[i] == pytest.approx(want)
 
 
+def test_hmm_texts_of_unlike_length_share_the_last_blocks():
+    rng = np.random.default_rng(2)
+    made = [rng.integers(0, 9, n).astype(hmm.SYMBOL) for n in (9000, 3, 700, 2500, 1, 40)]
+    blocks = list(hmm._blocks(iter([pd.DataFrame({"r": range(6), "s": [d.tobytes() for d in made]}), pd.DataFrame({"r": [], "s": []})])))
+    assert [rows for rows, _ in blocks] == [[0, 3, 2, 5, 1, 4]]
+    assert all((d == made[r]).all() for r, d in zip(*blocks[0], strict=True))
+    assert list(hmm._blocks(iter([]))) == []
+    p = hmm.Parameters.first(np.arange(1.0, 10), 3, 1)
+    assert hmm.forward(blocks[0][1], p) == pytest.approx([hmm.forward([d], p)[0] for d in blocks[0][1]])
+
+
+def test_hmm_words_as_columns_are_those_of_each_text(texts):
+    odd = [t for _, t in texts] + ["\x1c a\x85b\xa0C", " ", None, "\n\t", "É é\x0bÀ x", "a\x00 a\x00"]
+    sliced = pa.array(["left out", *odd], pa.string()).slice(1)
+    for part in (sliced, sliced.slice(3, 2), sliced.slice(0, 0), pa.array([" ", None], pa.string())):
+        [(found, sizes)] = [hmm._words(p) for p in hmm._parts(part)] or [(pa.array([]), np.array([]))]
+        want = [words_of(t) for t in part.to_pylist()]
+        assert found.to_pylist() == [w for some in want for w in some] and sizes.tolist() == list(map(len, want))
+
+
 def test_baum_welch_counts_equal_brute_force():
     rng = np.random.default_rng(1)
     p = hmm.Parameters.first(np.array([5.0, 3, 2, 1]), 3, 1)

@@ -11,17 +11,18 @@ from __future__ import annotations
 
 import heapq
 from bisect import bisect
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tollspan.llm.common import remainder, table, words_of
+from tollspan.llm.common import remainder, table
 from tollspan.session import durable
 
 END = b""  # no word is empty
@@ -36,32 +37,47 @@ SEED = 7
 PSEUDO = 0.1
 #: Tokens scored together, and the lanes they are dealt over.
 BLOCK_TOKENS = 3 << 18
-LANES = 512
+LANES = 1024
 LENGTHS = (512, 2048, 8192)
-#: Distinct words a task counts before it hands partial counts on.
-PARTIAL_WORDS = 200_000
+#: Bytes of text whose words are parted and looked up together.
+PART_BYTES = 1 << 23
 
 
 def count_tokens(texts: DataFrame, text_col: str) -> DataFrame:
     """`(word, n)` over all texts; the end has the empty word. Counts are summed in each task before the shuffle."""
 
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter = Counter()
-        for frame in frames:
-            for text in frame.iloc[:, 0]:
-                seen.update(words_of(text))
-                seen[END] += 1
-                if len(seen) > PARTIAL_WORDS:
-                    yield _counted(seen)
-                    seen = Counter()
-        yield _counted(seen)
-
-    partial = texts.select(text_col).mapInPandas(count, "word binary, n bigint")
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _parts(batch.column(0)):
+                words, sizes = _words(part)
+                coded = words.dictionary_encode()
+                n = np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary))
+                columns = [pa.concat_arrays([coded.dictionary, pa.array([END], pa.binary())]), pa.array(np.r_[n, len(sizes)], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["word", "n"])
+
+    partial = texts.select(text_col).mapInArrow(count, "word binary, n bigint")
     return partial.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _counted(seen: Counter) -> pd.DataFrame:
-    return pd.DataFrame({"word": pd.Series(list(seen), dtype=object), "n": np.fromiter(seen.values(), np.int64, len(seen))})
+def _parts(texts: pa.Array) -> Iterator[pa.Array]:
+    """Texts of about PART_BYTES at a time, null ones empty."""
+    texts = pc.fill_null(texts, "")
+    ends = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64)) // PART_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(texts)]
+    yield from (texts.slice(i, j - i) for i, j in pairwise(cuts) if i < j)
+
+
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts (`words_of`, as one column), and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(texts)))
+    sizes = pc.list_value_length(lists).to_numpy().astype(np.int64)
+    found = lists.flatten()
+    none = pc.equal(found, "")
+    if pc.any(none).as_py():  # a text without a word is one empty piece
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        sizes = np.bincount(owner[~none.to_numpy(zero_copy_only=False)], minlength=len(sizes))
+        found = found.filter(pc.invert(none))
+    return found.cast(pa.binary()), sizes
 
 
 class Parameters:
@@ -97,18 +113,16 @@ def _lanes(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     lengths = np.array([filled for filled, _ in heap])
     used = len(lengths) - np.searchsorted(lengths[::-1], np.arange(lengths[0]), side="right")
     base = np.r_[0, np.cumsum(used)]
-    symbols = np.empty(base[-1], np.int32)
+    order = [i for _, k in heap for i in lanes[k]]
+    sizes = np.array([len(docs[i]) for i in order])
+    step = np.arange(base[-1]) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    place = base[step] + np.repeat(np.arange(len(lengths)), lengths)
+    symbols = np.empty(base[-1], np.intp)
     owner = np.empty(base[-1], np.int32)
     opens = np.zeros(base[-1], bool)
-    for lane, (_, k) in enumerate(heap):
-        at = 0
-        for i in lanes[k]:
-            n = len(docs[i])
-            place = base[at : at + n] + lane
-            symbols[place] = docs[i]
-            owner[place] = i
-            opens[place[0]] = True
-            at += n
+    symbols[place] = np.concatenate([docs[i] for i in order])
+    owner[place] = np.repeat(order, sizes)
+    opens[place[np.cumsum(sizes) - sizes]] = True
     return symbols, owner, opens, base.tolist()
 
 
@@ -121,49 +135,58 @@ def forward(docs: list[np.ndarray], p: Parameters, counts: tuple[np.ndarray, np.
         return np.zeros(0)
     symbols, owner, opens, base = _lanes(docs)
     steps, states = len(base) - 1, len(p.start)
-    emit = np.ascontiguousarray(p.emit.T)
+    emit, forth, first = np.ascontiguousarray(p.emit.T), np.ascontiguousarray(p.move.T), p.start[:, None]
+    fresh = np.flatnonzero(opens)
+    bounds = np.searchsorted(fresh, base).tolist()
+    # one over the sum that each step is scaled by
     scale = np.empty(len(symbols))
-    alphas = np.empty((len(symbols), states)) if counts else None
-    alpha = np.zeros((base[1], states))
+    # a state is a row, so that operations run along the lanes; only emissions are read a symbol at a time
+    alphas = np.empty((states, len(symbols))) if counts else None
+    alpha = np.zeros((states, base[1]))
     for t in range(steps):
-        here = slice(base[t], base[t + 1])
-        prior = alpha[: base[t + 1] - base[t]] @ p.move
-        prior[opens[here]] = p.start
-        alpha = prior * emit[symbols[here]]
-        total = alpha.sum(1)
-        alpha /= total[:, None]
-        scale[here] = total
-        if counts:
-            alphas[here] = alpha
-    score = np.bincount(owner, weights=np.log10(scale), minlength=len(docs))
+        at, end = base[t], base[t + 1]
+        prior = forth @ alpha[:, : end - at]
+        if bounds[t] < bounds[t + 1]:
+            prior[:, fresh[bounds[t] : bounds[t + 1]] - at] = first
+        prior *= emit.take(symbols[at:end], axis=0, mode="clip").T
+        over = np.divide(1.0, prior.sum(0), out=scale[at:end])
+        alpha = np.multiply(prior, over, out=alphas[:, at:end] if counts else prior)
+    score = -np.bincount(owner, weights=np.log10(scale), minlength=len(docs))
     if counts:
         start, move, by_symbol = counts
-        pairs, back = np.zeros((states, states)), np.ascontiguousarray(p.move.T)
-        beta = np.ones((base[steps] - base[steps - 1], states))
+        pairs, back = np.zeros((states, states)), np.ascontiguousarray(p.move)
+        beta = np.ones((states, base[steps] - base[steps - 1]))
         for t in range(steps - 1, -1, -1):
-            here, first = slice(base[t], base[t + 1]), base[t]
-            fresh = opens[here]
-            weighted = emit[symbols[here]] * (beta / scale[here, None])
-            weighted[fresh] = 0.0
+            at, end = base[t], base[t + 1]
+            here = alphas[:, at:end]
             if t:
-                n, m = base[t + 1] - first, first - base[t - 1]
-                pairs += alphas[first - m : first - m + n].T @ weighted
-                before = np.ones((m, states))
-                before[:n] = weighted @ back
-                before[:n][fresh] = 1.0
-            alphas[here] *= beta  # from here on the state probabilities
-            beta = before if t else beta
-        start += alphas[opens].sum(0)
+                weighted = np.multiply(emit.take(symbols[at:end], axis=0, mode="clip").T, beta, order="C")
+                weighted *= scale[at:end]
+                opened = fresh[bounds[t] : bounds[t + 1]] - at if bounds[t] < bounds[t + 1] else None
+                if opened is not None:
+                    weighted[:, opened] = 0.0
+                n, m = end - at, at - base[t - 1]
+                pairs += alphas[:, at - m : at - m + n] @ weighted.T
+                here *= beta  # from here on the state probabilities
+                beta = back @ weighted
+                if opened is not None:
+                    beta[:, opened] = 1.0
+                if n < m:
+                    beta = np.concatenate([beta, np.ones((states, m - n))], axis=1)
+            else:
+                here *= beta
+        start += alphas[:, fresh].sum(1)
         move += p.move * pairs
         for k in range(states):
-            by_symbol[k] += np.bincount(symbols, weights=alphas[:, k], minlength=by_symbol.shape[1])
+            by_symbol[k] += np.bincount(symbols, weights=alphas[k], minlength=by_symbol.shape[1])
     return score
 
 
 def _blocks(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[list, list[np.ndarray]]]:
     """Row numbers and symbols of about BLOCK_TOKENS tokens at a time, texts of a like length together.
 
-    A block takes as many steps as its longest text has tokens, so long texts wait for one another.
+    A block takes as many steps as its longest text has tokens, so long texts wait for one another. What is left
+    at the end goes out by falling length, so that there are few blocks of few lanes.
     """
     held: list[tuple[list, list[np.ndarray]]] = [([], []) for _ in range(len(LENGTHS) + 1)]
     size = [0] * len(held)
@@ -177,7 +200,12 @@ def _blocks(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[list, list[np.ndar
             if size[k] >= BLOCK_TOKENS:
                 yield held[k]
                 held[k], size[k] = ([], []), 0
-    yield from (block for block in held if block[0])
+    rest = sorted(((row, found) for block in held for row, found in zip(*block, strict=True)), key=lambda x: -len(x[1]))
+    ends = np.cumsum([0, *(len(found) for _, found in rest)]) // BLOCK_TOKENS
+    for cut in np.split(np.arange(len(rest)), np.flatnonzero(np.diff(ends[:-1])) + 1):
+        if len(cut):
+            rows, docs = zip(*rest[cut[0] : cut[-1] + 1], strict=True)
+            yield list(rows), list(docs)
 
 
 @dataclass
@@ -216,33 +244,55 @@ def encode(docs: DataFrame, vocab: Vocabulary, text_col: str = "text") -> DataFr
     null text is empty. The table is written, as training and scoring read it many times. Columns of those names
     in `docs` are an error.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(vocab.index)
+    sent = docs.sparkSession.sparkContext.broadcast(vocab.words)
     if set(ENCODED) & {c.lower() for c in docs.columns}:
         raise ValueError(f"columns {ENCODED} are taken")
 
-    @F.pandas_udf("symbols binary, rest array<binary>, times array<int>")
-    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        index = sent.value
-        rare, get = len(index), index.get
-        end = get(END, rare)
+    @F.arrow_udf("symbols binary, rest array<binary>, times array<int>")
+    def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        listed = pa.array(sent.value, pa.binary())
         for texts in batches:
-            symbols, rest, times = [], [], []
-            for text in texts:
-                words = words_of(text)
-                found = np.fromiter(map(get, words, repeat(rare)), SYMBOL, len(words))
-                unlisted = Counter([words[i] for i in np.flatnonzero(found == rare).tolist()])
-                if end == rare:
-                    unlisted[END] = 1
-                symbols.append(found.tobytes() + np.array([end], SYMBOL).tobytes())
-                rest.append(list(unlisted))
-                times.append(list(unlisted.values()))
-            yield pd.DataFrame({"symbols": symbols, "rest": rest, "times": times})
+            parts = [_encoded(part, listed) for part in _parts(texts)]
+            yield pa.concat_arrays(parts) if parts else _encoded(pa.array([], pa.string()), listed)
 
     numbered = docs.withColumn("_row", F.monotonically_increasing_id()).withColumn("_e", encoded(F.col(text_col)))
     kept = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
     return durable(numbered.select(*kept, "_row", *[F.col(f"_e.{c}").alias(f"_{c}") for c in ("symbols", "rest", "times")]))
 
 
+def _encoded(texts: pa.Array, listed: pa.Array) -> pa.Array:
+    """Symbols, words outside the list and how often they occur, as one struct a text."""
+    words, sizes = _words(texts)
+    rare, count = len(listed), len(texts)
+    ends = np.cumsum(sizes + 1)
+    last = pc.index_in(pa.array([END], pa.binary()), listed).fill_null(rare)[0].as_py()
+    symbols = np.full(len(words) + count, last, SYMBOL)
+    inside = np.ones(len(symbols), bool)
+    inside[ends - 1] = False
+    found = pc.index_in(words, listed).fill_null(rare).to_numpy()
+    symbols[inside] = found
+    # each other word once a text, the end as well where it is not listed
+    other = np.flatnonzero(found == rare)
+    owner = np.repeat(np.arange(count), sizes)[other]
+    coded = words.take(pa.array(other)).dictionary_encode()
+    names, codes = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+    if last == rare:
+        owner, codes = np.r_[owner, np.arange(count)], np.r_[codes, np.full(count, len(names))]
+        names = pa.concat_arrays([names, pa.array([END], pa.binary())])
+    width = max(1, len(names))
+    pair, times = np.unique(owner * width + codes, return_counts=True)
+    at = pa.array(np.r_[0, np.cumsum(np.bincount(pair // width, minlength=count))], pa.int32())
+    offsets = pa.py_buffer((2 * np.r_[0, ends]).astype(np.int32))
+    return pa.StructArray.from_arrays(
+        [
+            pa.Array.from_buffers(pa.binary(), count, [None, offsets, pa.py_buffer(symbols)]),
+            pa.ListArray.from_arrays(at, names.take(pa.array(pair % width))),
+            pa.ListArray.from_arrays(at, pa.array(times, pa.int32())),
+        ],
+        names=["symbols", "rest", "times"],
+    )
+
+
 def train(encoded: DataFrame, vocab: Vocabulary, *, states: int = STATES, rounds: int = ROUNDS, seed: int = SEED) -> Parameters:
     """`rounds` Baum-Welch rounds over all rows of an encoded table.
 
