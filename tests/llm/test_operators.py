@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tollspan.llm import hmm, langid, licenses, lz, near_copies, neighbours, packing, pieces, simhash, toxicity, urls
 from tollspan.llm.common import words_of
+from tollspan.session import durable
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SCHEMA = "doc_id bigint, text string, lang string, n_words string, _low string, score string, fp string, component string"
@@ -605,3 +606,30 @@ def test_folds_follow_crc32(spark):
 
     got = spark.createDataFrame([(i,) for i in (0, 12, -3, None)], "doc_id bigint").select("doc_id", remainder("doc_id", 7).alias("r")).collect()
     assert all(r["r"] == zlib.crc32(b"" if r["doc_id"] is None else str(r["doc_id"]).encode()) % 7 for r in got)
+
+
+def test_near_copy_keys_are_dealt_once(spark, monkeypatch):
+    plans = []
+
+    class Seen(Exception):
+        pass
+
+    def kept(df):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        plans.append(plan)
+        if "central" in df.columns and "key" in df.columns:
+            raise Seen
+        return durable(df)
+
+    monkeypatch.setattr(near_copies, "durable", kept)
+    rows = [(i, f"one two three four five six seven {i % 3}") for i in range(9)]
+    with pytest.raises(Seen):
+        near_copies.near_copy_classes(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    by_key = [line for line in plans[-1].splitlines() if "Exchange hashpartitioning(key#" in line]
+    assert by_key and all("REPARTITION_BY_COL" in line for line in by_key)
+
+
+def test_packing_lists_strings_as_they_are():
+    for found in (["", "é", "a\x00", "😀 b"], []):
+        column = pa.array(["left out", *found], pa.large_string()).slice(1)
+        assert packing._strings(column) == column.to_pylist() == found

@@ -237,6 +237,8 @@ def near_copy_classes(
     parts = rows.select("node", "n", shape.alias("shape"), F.posexplode("keys").alias("at", "key"))
     short = (F.col("at") < _leads(F.col("n"), similarity)).cast("bigint")
     members = parts.select("node", F.col("shape").bitwiseOR(short).alias("shape"), "key").unionByName(equal).unionByName(met)
+    # nearly all keys are single, so summing before the shuffle saves nothing: dealt once, for the sums and the join
+    members = members.repartition("key")
     sizes = members.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.max(F.col("shape") % 2).alias("any"))
     grouped = members.join(sizes.filter("low < high AND any = 1").select("key"), "key").distinct()
     n = F.shiftright("shape", 1).bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
