@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tollspan.llm import hmm, langid, licenses, lz, near_copies, neighbours, packing, pieces, simhash, toxicity, urls
 from tollspan.llm.common import words_of
-from tollspan.session import durable
+from tollspan.session import dealt, durable
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SCHEMA = "doc_id bigint, text string, lang string, n_words string, _low string, score string, fp string, component string"
@@ -629,6 +629,42 @@ def test_near_copy_keys_are_dealt_once(spark, monkeypatch):
     assert by_key and all("REPARTITION_BY_COL" in line for line in by_key)
 
 
+def test_near_copies_shuffle_sets_and_texts_once(spark, monkeypatch):
+    """Sets lie in buckets and only pairs go to them; texts move once, for the join and the choice of a row together."""
+    plans = []
+
+    def exchanges(df):
+        return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+    def kept(df):
+        if "array_intersect" in df._jdf.queryExecution().executedPlan().toString():
+            plans.append(exchanges(df))
+        return durable(df)
+
+    monkeypatch.setattr(near_copies, "durable", kept)
+    text = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen"
+    rows = [(2, text, "b"), (2, text, "a"), (None, text, "c"), (None, "alone", "y"), (None, "alone", "x"), (7, text + " more", "d"), (9, "x y z", None)]
+    rows += [(20 + i, f"{text} {i % 2} w{i} v{i} u{i}", None) for i in range(6)]
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = near_copies.drop_near_copies(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+        assert plans and all(n == 2 for n in plans)
+        assert exchanges(found) == 2
+        got = {(r["doc_id"], r["text"], r["lang"]) for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert {r for r in got if r[0] is None or r[0] < 10} == {(2, text, "a"), (None, "alone", "x"), (9, "x y z", None)}
+
+
+def test_dealt_rows_lie_in_one_file_a_bucket(spark):
+    df = dealt(spark.range(5000).select((F.col("id") % 700).alias("k")).groupBy("k").count(), "k")
+    assert len(df.inputFiles()) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert df.count() == 700 and df.agg(F.sum("count")).first()[0] == 5000
+    assert "Exchange" not in df.groupBy("k").agg(F.max("count"))._jdf.queryExecution().executedPlan().toString()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("dealt_")]
+
+
 def test_packing_lists_strings_as_they_are():
     for found in (["", "é", "a\x00", "😀 b"], []):
         column = pa.array(["left out", *found], pa.large_string()).slice(1)

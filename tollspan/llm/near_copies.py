@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 from tollspan.llm.common import free_name
 from tollspan.llm.graph import components
 from tollspan.llm.simhash import near_links, shingle_hashes, simhash
-from tollspan.session import durable
+from tollspan.session import dealt, durable
 
 #: Counters (2 to this power) of the frequency table, and the parts it is summed in.
 COUNTER_BITS, COUNTER_PARTS = 22, 64
@@ -131,15 +131,22 @@ def _fitting(similarity: float) -> Column:
 
 
 def _alike(pairs: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
-    """Those of the pairs `(a, b)` whose sets of hashes reach the similarity."""
-    both = pairs.join(held.toDF("a", "x"), "a").join(held.toDF("b", "y"), "b")
+    """Those of the pairs `(a, b)` whose sets of hashes reach the similarity.
+
+    The sets lie dealt out by node, so only pairs and the one set that they bring along are shuffled. Members bring
+    none to a hub `b` that many have in common: it is looked up first, and its set goes to them.
+    """
+    both = pairs.join(held.toDF("b", "y"), "b").join(held.toDF("a", "x"), "a")
     shared = F.size(F.array_intersect("x", "y"))
     union = F.size("x") + F.size("y") - shared
     return durable(both.filter((shared >= F.lit(similarity) * union) | (union == 0)).select("a", "b"))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
-    return durable(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    """Each pair once, whichever way round; `b` is one that stood there."""
+    ends = pairs.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"), (F.col("a") < F.col("b")).alias("up"))
+    once = ends.groupBy("low", "high").agg(F.max("up").alias("up"))
+    return durable(once.select(F.when(F.col("up"), F.col("low")).otherwise(F.col("high")).alias("a"), F.when(F.col("up"), F.col("high")).otherwise(F.col("low")).alias("b")))
 
 
 def _joined(members: DataFrame, held: DataFrame, bits: DataFrame, similarity: float) -> DataFrame:
@@ -222,11 +229,14 @@ def near_copy_classes(
     digest = F.sha2(F.coalesce(text_col, F.lit("")), 256).alias("digest")
     texts = docs.select(digest, F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     texts = texts.select("digest", F.xxhash64("digest").alias("node"), "id", "text")
-    schema = T.StructType([*texts.drop("text").schema.fields, *T.StructType.fromDDL("fp long, n int, central int, keys array<long>, hashes array<int>, bits array<long>").fields])
-    # a map over the rows: copies of a text are worked out again, but no text is shuffled for it
-    rows = durable(texts.mapInArrow(prints, schema))
-    once = rows.groupBy("digest", "node").agg(F.min("fp").alias("fp"), F.min("id").alias("id"), F.min("n").alias("n"), F.min("central").alias("central"))
-    nodes = durable(once)
+    made = "fp long, n int, central int, keys array<long>, hashes array<int>, bits array<long>"
+    schema = T.StructType([*texts.drop("text").schema.fields, *T.StructType.fromDDL(made).fields])
+    # a map over the rows: copies of a text are worked out again, but no text is shuffled for it; what copies share is
+    # the same for all, any will do. All that is read later by node is shuffled here and then lies where it is
+    same = [F.first(c).alias(c) for c in schema.names[3:]]
+    best = F.min(F.struct(F.col("id").isNull().alias("null"), "id", "digest")).alias("best")
+    once = texts.mapInArrow(prints, schema).groupBy("node").agg(best, *same)
+    nodes = dealt(once.select("best.digest", "node", "best.id", *schema.names[3:]), "node")
     whole = near_links(nodes, 2).select(F.explode(F.array("a", "b")).alias("fp"), F.col("b").alias("hub"))
     # most rows are single and go no further, so they are kept narrow: size, role and rank in one number
     shape = F.shiftleft(F.col("central").cast("bigint"), 33).bitwiseOR(F.shiftleft(F.col("n").cast("bigint"), 1))
@@ -234,7 +244,7 @@ def near_copy_classes(
     # texts whose whole fingerprints meet in a hub form a group, like those that share a key; so do equal ones
     met = by_print.join(whole.distinct(), "fp").select("node", "shape", F.xxhash64("hub", F.lit("whole")).alias("key"))
     equal = by_print.select("node", "shape", F.xxhash64("fp", F.lit("print")).alias("key"))
-    parts = rows.select("node", "n", shape.alias("shape"), F.posexplode("keys").alias("at", "key"))
+    parts = nodes.select("node", "n", shape.alias("shape"), F.posexplode("keys").alias("at", "key"))
     short = (F.col("at") < _leads(F.col("n"), similarity)).cast("bigint")
     members = parts.select("node", F.col("shape").bitwiseOR(short).alias("shape"), "key").unionByName(equal).unionByName(met)
     # nearly all keys are single, so summing before the shuffle saves nothing: dealt once, for the sums and the join
@@ -243,11 +253,7 @@ def near_copy_classes(
     grouped = members.join(sizes.filter("low < high AND any = 1").select("key"), "key").distinct()
     n = F.shiftright("shape", 1).bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
     ranked = durable(grouped.select("key", "node", n.alias("n"), (F.col("shape") % 2 == 1).alias("short"), F.shiftright("shape", 33).cast("int").alias("central")))
-    asked = ranked.select("node").distinct()
-    # copies of a text have the same set, any of them will do
-    held = durable(rows.join(asked, "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes")))
-    bits = rows.join(asked, "node", "left_semi").groupBy("node").agg(F.first("bits").alias("bits"))
-    labels = _joined(ranked, held, bits, similarity)
+    labels = _joined(ranked, nodes.select("node", "hashes"), nodes.select("node", "bits"), similarity)
     return nodes.join(labels, "node", "left").select(
         "digest", "id", F.coalesce("label", "node").alias("component")
     )
@@ -267,8 +273,8 @@ def drop_near_copies(
     of = F.sha2(F.coalesce(text_col, F.lit("")), 256)
     best = F.min(F.struct(F.col("id").isNull().alias("null"), F.col("id"), F.col("digest")))
     kept = durable(classes.groupBy("component").agg(best.alias("k")).select("k.id", "k.digest"))
-    marked = docs.withColumn(digest, of)
-    right = kept.select(F.col("digest").alias(digest), F.col("id").alias(taken))
-    found = marked.join(right, digest).filter(F.col(id_col).eqNullSafe(F.col(taken)))
+    # one key for the join and the choice among rows of an id and text, so that texts are shuffled once; null ids are equal in it
+    marked = docs.withColumn(digest, F.struct(of.alias("digest"), F.col(id_col).alias("id")))
+    found = marked.join(kept.select(F.struct("digest", "id").alias(digest)), digest)
     order = Window.partitionBy(digest).orderBy(*[F.col(f"`{c}`").asc_nulls_first() for c in docs.columns if c != text_col])
     return found.withColumn(taken, F.row_number().over(order)).filter(F.col(taken) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -65,6 +65,22 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, by: str) -> DataFrame:
+    """Write a result to the shared folder in buckets of a column and go on from there.
+
+    Like `durable`, but joins and groups by that column read the buckets as they lie: only the other side is shuffled.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, "dealt")
+    name = f"dealt_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").bucketBy(buckets, by).option("path", path).saveAsTable(name)
+    kept = spark.table(name)
+    # the catalog forgets the name, the files stay
+    spark.sql(f"DROP TABLE {name}")
+    return kept
+
+
 def sized(df: DataFrame) -> DataFrame:
     """Materialise a summary table so that Catalyst plans with its measured size.
 
