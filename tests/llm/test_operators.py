@@ -657,6 +657,20 @@ def test_near_copies_shuffle_sets_and_texts_once(spark, monkeypatch):
     assert {r for r in got if r[0] is None or r[0] < 10} == {(2, text, "a"), (None, "alone", "x"), (9, "x y z", None)}
 
 
+def test_near_copies_leave_no_shuffled_files(spark, monkeypatch):
+    setting, seen = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", []
+    before = spark.conf.get(setting, None)
+
+    def kept(df):
+        seen.append(spark.conf.get(setting, None))
+        return durable(df)
+
+    monkeypatch.setattr(near_copies, "durable", kept)
+    df = spark.createDataFrame([(i, f"a b c d e f g h {i % 2}") for i in range(4)], "doc_id bigint, text string")
+    assert {r["doc_id"] for r in near_copies.drop_near_copies(df).collect()} == {0, 1}
+    assert seen and set(seen) == {"true"} and spark.conf.get(setting, None) == before
+
+
 def test_dealt_rows_lie_in_one_file_a_bucket(spark):
     df = dealt(spark.range(5000).select((F.col("id") % 700).alias("k")).groupBy("k").count(), "k")
     assert len(df.inputFiles()) <= int(spark.conf.get("spark.sql.shuffle.partitions"))

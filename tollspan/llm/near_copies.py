@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 from tollspan.llm.common import free_name
 from tollspan.llm.graph import components
 from tollspan.llm.simhash import near_links, shingle_hashes, simhash
-from tollspan.session import dealt, durable
+from tollspan.session import dealt, durable, swept
 
 #: Counters (2 to this power) of the frequency table, and the parts it is summed in.
 COUNTER_BITS, COUNTER_PARTS = 22, 64
@@ -269,10 +269,11 @@ def drop_near_copies(
     stays only where its group has no other. Rows with the same id and text count once. All columns stay.
     """
     digest, taken = free_name(docs.columns, "_digest"), free_name(docs.columns, "_turn")
-    classes = near_copy_classes(docs, id_col, text_col, shingle=shingle, similarity=similarity)
     of = F.sha2(F.coalesce(text_col, F.lit("")), 256)
     best = F.min(F.struct(F.col("id").isNull().alias("null"), F.col("id"), F.col("digest")))
-    kept = durable(classes.groupBy("component").agg(best.alias("k")).select("k.id", "k.digest"))
+    with swept(docs.sparkSession):
+        classes = near_copy_classes(docs, id_col, text_col, shingle=shingle, similarity=similarity)
+        kept = durable(classes.groupBy("component").agg(best.alias("k")).select("k.id", "k.digest"))
     # one key for the join and the choice among rows of an id and text, so that texts are shuffled once; null ids are equal in it
     marked = docs.withColumn(digest, F.struct(of.alias("digest"), F.col(id_col).alias("id")))
     found = marked.join(kept.select(F.struct("digest", "id").alias(digest)), digest)

@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -81,6 +83,21 @@ def dealt(df: DataFrame, by: str) -> DataFrame:
     return kept
 
 
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """Inside, Spark removes what a query has shuffled once the query is done, instead of when the driver's memory is cleared.
+
+    For chains of steps that are each written (`durable`, `dealt`) or collected, so that none reads those files again.
+    """
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)
+
+
 def sized(df: DataFrame) -> DataFrame:
     """Materialise a summary table so that Catalyst plans with its measured size.
 
