@@ -10,6 +10,7 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tollspan.operators import balance, cluster, density, evaluate, models, nearest, study
+from tollspan.plans import QUERIES, q_model
 
 
 @pytest.fixture(scope="module")
@@ -180,6 +181,53 @@ def test_search_without_a_fit_prunes_every_trial(slots):
     assert study.outcome(one, one, one, ["flow_a"], trials=2) == {"trials": 2, "pruned": 2}
 
 
+def test_parameter_sweep_covers_the_whole_search_ranges(spark, slots, monkeypatch):
+    """All trials of a sweep, drawn from the library's own ranges; fits are small here and only note what was asked."""
+    asked, fit = [], models.fit_model
+
+    def noted(train, features, kind, params, seed):
+        asked.append(params)
+        return fit(train, features, kind, {"n_trees": 2, "max_depth": 2}, seed)
+
+    monkeypatch.setattr(models, "fit_model", noted)
+    monkeypatch.setattr(q_model, "dataset", lambda spark, sf: slots)
+    found = QUERIES["ML23_parameter_sweep"](spark, "").first()
+    assert (found["trials"], found["pruned"], len(asked)) == (20, 0, 20)
+    trees, depths = [p["n_trees"] for p in asked], [p["max_depth"] for p in asked]
+    assert 50 <= min(trees) < 80 and 170 < max(trees) <= 200
+    assert 3 <= min(depths) < 6 and 17 < max(depths) <= 20
+
+
+def test_sweep_finds_neighbours_once_for_the_same_rows(slots, monkeypatch):
+    features = ["flow_a", "cluster_b"]
+    near = balance.minority_neighbours(slots, features, 5)
+
+    def made(**kw):
+        out = balance.smote(slots, features, ratio=0.8, k=3, **kw).select("row_id", "target", "synthetic", *features)
+        return sorted((tuple(r) for r in out.collect()), key=repr)
+
+    assert made() == made(near=near) == made(near=near, ordered=True)
+    searched, find = [], balance.nearest
+    monkeypatch.setattr(balance, "nearest", lambda rows, k: (searched.append(k), find(rows, k))[1])
+    train, val, test = evaluate.three_way_split(slots, 0.2, 0.3)
+    space = {"n_trees": (2, 9), "max_depth": (2, 3)}
+    one, two = (study.search(train, val, test, features, trials=4, space=space, objective=o) for o in ("auc", "auc"))
+    assert len(searched) == 2 and one.pop("model") and two.pop("model") and one == two
+
+
+def test_draws_that_need_much_room_are_fitted_alone(slots, monkeypatch):
+    monkeypatch.setattr(study, "MOST_NODES", 100)
+    assert study._rounds([60, 30, 20, 500, 1, 99, 1]) == [[0, 1], [2], [3], [4, 5], [6]]
+    assert study._most_nodes("forest", {"n_trees": 10, "max_depth": 20}, 50, 0.5) == 1500
+    assert study._most_nodes("forest", {"n_trees": 10, "max_depth": 3}, 50, 0.5) == 160
+    train, val, test = evaluate.three_way_split(slots, 0.2, 0.3)
+    space = {"n_trees": (2, 9), "max_depth": (2, 3)}
+    alone = study.search(train, val, test, ["flow_a", "cluster_b"], trials=4, space=space)
+    monkeypatch.undo()
+    together = study.search(train, val, test, ["flow_a", "cluster_b"], trials=4, space=space)
+    assert alone.pop("model") and together.pop("model") and alone == together
+
+
 def test_sweep_fits_run_together(blobs, monkeypatch):
     """Fits wait for one another here, so one after the other they would not end."""
     x = cluster.standardise(blobs, blobs, ["a", "b"])

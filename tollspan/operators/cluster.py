@@ -77,7 +77,7 @@ def fit_kmeans(scaled: DataFrame, k: int, restarts: int = 10, seed: int = 42) ->
     return _cheapest(fits)
 
 
-def _together(spark: SparkSession, calls: Sequence[Callable]) -> list:
+def together(spark: SparkSession, calls: Sequence[Callable]) -> list:
     """Results of independent calls, several at a time.
 
     A fit is a chain of small jobs; one after the other, the cluster waits for the driver between any two of them.
@@ -93,7 +93,7 @@ def _kmeans_fits(data: DataFrame, jobs: Sequence[tuple[int, int]]) -> list[tuple
         model = KMeans(k=k, featuresCol="v", seed=seed, maxIter=100).fit(data)
         return model.summary.trainingCost, model.clusterCenters()
 
-    return _together(data.sparkSession, [lambda k=k, seed=seed: fit(k, seed) for k, seed in jobs])
+    return together(data.sparkSession, [lambda k=k, seed=seed: fit(k, seed) for k, seed in jobs])
 
 
 def _cheapest(fits: Sequence[tuple[float, list]]) -> np.ndarray:
@@ -188,7 +188,7 @@ def sweep_kmeans(scaled: DataFrame, ks: Sequence[int], restarts: int = 3, seed:
         return separation(near).withColumns({"k": F.lit(k), "silhouette": F.lit(float(judge.evaluate(near)))})
 
     out = None
-    for row in _together(data.sparkSession, [lambda k=k: judged(k) for k in ks]):
+    for row in together(data.sparkSession, [lambda k=k: judged(k) for k in ks]):
         out = row if out is None else out.unionByName(row)
     data.unpersist()
     return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable, Iterable, Sequence
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tollspan.operators import balance, evaluate, models
 from tollspan.operators.clean import filter_section, section_keys
+from tollspan.operators.cluster import together
 from tollspan.operators.joint_study import forest_study
 from tollspan.sources.ingest import cluster_features, numeric_features
 
@@ -24,6 +26,8 @@ RESULT = (
     "section string, result_type string, k int, model string, trials int, pruned int, params string, threshold double, "
     "val_objective double, f1 double, far double, sensitivity double, accuracy double, auc double, error string"
 )
+#: Tree nodes that the models of fits under way may hold on the driver.
+MOST_NODES = 1 << 22
 #: Data that cannot be fitted. A lost executor or lack of memory is none of these and ends the run.
 UNFIT = (ValueError, IllegalArgumentException)
 
@@ -77,15 +81,25 @@ def search(
 
     The number of neighbours of synthetic rows is drawn too. Test rows never take part in the choice. A draw
     that cannot be fitted (too few rows of a class for it) is counted as pruned; any other failure ends the sweep.
+    Neighbours are found once for all draws, and several draws are fitted at a time.
     """
     rng = np.random.default_rng(seed)
-    best, pruned = None, 0
-    for _ in range(trials):
-        params = draw_params(kind, rng, space)
-        ratio, k = float(rng.uniform(*ratios)), int(rng.integers(neighbours[0], neighbours[1] + 1))
+    drawn = [
+        (draw_params(kind, rng, space), float(rng.uniform(*ratios)), int(rng.integers(neighbours[0], neighbours[1] + 1))) for _ in range(trials)
+    ]
+    try:
+        rows = sum(balance.class_sizes(train)[1:])
+        near = balance.minority_neighbours(train, features, max((k for _, _, k in drawn), default=1))
+    except UNFIT as e:
+        raise NoTrial("every trial failed") from e
+    best, pruned, one = None, 0, threading.Lock()
+
+    def tried(number: int) -> None:
+        nonlocal best, pruned
+        params, ratio, k = drawn[number]
         kept: list[DataFrame] = []
         try:
-            made = balance.smote(train, features, k=k, ratio=ratio, seed=seed).persist()
+            made = balance.smote(train, features, k=k, ratio=ratio, seed=seed, near=near, ordered=True).persist()
             kept.append(made)
             model = models.fit_model(made, features, kind, params, seed)
             scored = models.with_score(model, val, features).select("target", "score").persist()
@@ -96,19 +110,46 @@ def search(
                 rates = _rates(scored, threshold, auc=objective == "auc")
             value = _objective(rates, objective)
         except UNFIT:
-            pruned += 1
-            continue
+            with one:
+                pruned += 1
+            return
         finally:
             for df in kept:
                 df.unpersist()
-        if best is None or value > best["val_objective"]:
-            best = {"params": {**params, "ratio": round(ratio, 4), "neighbours": k}, "threshold": threshold, "val_objective": value, "model": model}
+        with one:  # only the best model stays; the first of equal ones
+            if best is None or (value, -number) > (best["val_objective"], -best["number"]):
+                best = {"params": {**params, "ratio": round(ratio, 4), "neighbours": k}, "threshold": threshold, "val_objective": value, "model": model, "number": number}
+
+    for part in _rounds([_most_nodes(kind, params, rows, ratio) for params, ratio, _ in drawn]):
+        together(train.sparkSession, [lambda number=number: tried(number) for number in part])
     if best is None:
         raise NoTrial("every trial failed")
+    del best["number"]
     scored = models.with_score(best["model"], test, features).select("target", "score")
     return {**best, **_rates(scored, best["threshold"]), "trials": trials, "pruned": pruned}
 
 
+def _most_nodes(kind: str, params: dict, rows: int, ratio: float) -> int:
+    """Nodes that a model's trees have at most: two for each train row, and no level holds more than twice the one above."""
+    if kind == "svm":
+        return 0
+    leaves = rows + int(rows * ratio)
+    return int(params.get("n_trees", 100)) * min(2 * leaves, 2 ** (int(params.get("max_depth", 10)) + 1))
+
+
+def _rounds(nodes: Sequence[int]) -> list[list[int]]:
+    """Numbers of the models to fit together: as many as MOST_NODES has room for, one at least."""
+    out: list[list[int]] = []
+    room = 0
+    for number, n in enumerate(nodes):
+        if not out or room + n > MOST_NODES:
+            out.append([])
+            room = 0
+        out[-1].append(number)
+        room += n
+    return out
+
+
 def outcome(train: DataFrame, val: DataFrame, test: DataFrame, features: Sequence[str], *, trials: int = 20, **kw) -> dict:
     """What `search` finds; where no draw can be fitted (one class only, say) all trials are pruned and nothing else is known."""
     try:
