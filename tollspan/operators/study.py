@@ -14,6 +14,7 @@ from tollspan.operators import balance, evaluate, models
 from tollspan.operators.clean import filter_section, section_keys
 from tollspan.operators.cluster import together
 from tollspan.operators.joint_study import forest_study
+from tollspan.session import durable
 from tollspan.sources.ingest import cluster_features, numeric_features
 
 # Default search ranges.
@@ -81,8 +82,10 @@ def search(
 
     The number of neighbours of synthetic rows is drawn too. Test rows never take part in the choice. A draw
     that cannot be fitted (too few rows of a class for it) is counted as pruned; any other failure ends the sweep.
-    Neighbours are found once for all draws, and several draws are fitted at a time.
+    Neighbours are found once for all draws, and several draws are fitted at a time. Train and validation rows are
+    written first, so that no job of a draw carries the plan that made them.
     """
+    train, val = durable(train), durable(val)
     rng = np.random.default_rng(seed)
     drawn = [
         (draw_params(kind, rng, space), float(rng.uniform(*ratios)), int(rng.integers(neighbours[0], neighbours[1] + 1))) for _ in range(trials)
